@@ -7,10 +7,15 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.shipping import ship
-from . import ann, langid, lines, mixing, quality, simhash, urls, warc
+from . import ann, langid, lines, mixing, quality, simhash, substrings, urls, warc
 from .common import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.train(docs))
@@ -60,6 +65,7 @@ def _shipped(query):
 
 def queries() -> dict:
     found = {
+        "op1_substring_dedup": op1_substring_dedup,
         "op2_language_id": op2_language_id,
         "op4_ann": op4_ann,
         "op5_warc": op5_warc,
