@@ -7,7 +7,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.shipping import ship
-from . import ann, langid, lines, mixing, quality, simhash, substrings, urls, warc
+from . import ann, decontam, langid, lines, mixing, quality, simhash, substrings, urls, warc
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
@@ -67,6 +71,7 @@ def queries() -> dict:
     found = {
         "op1_substring_dedup": op1_substring_dedup,
         "op2_language_id": op2_language_id,
+        "op3_decontamination": op3_decontamination,
         "op4_ann": op4_ann,
         "op5_warc": op5_warc,
         "op6_simhash": op6_simhash,
