@@ -46,12 +46,9 @@ CELLS, WORDS = 1 << 22, 1 << 18
 
 def words_of(codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and text of each word: lower-cased runs of letters."""
-    flags = (ta.classes()[codes] & ta.LETTER) > 0
-    start, end = ta.runs(flags, bounds)
-    size = end - start
-    first = np.cumsum(size) - size
-    hashes = ta.run_hashes(ta.lowered()[codes[flags]], first, first + size)
-    return hashes, np.searchsorted(bounds, start, "right") - 1
+    low = ta.lowered()[codes]
+    start, end = ta.runs(low > 0, bounds)
+    return ta.run_hashes(low, start, end), np.searchsorted(bounds, start, "right") - 1
 
 
 def windows(doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -199,6 +196,9 @@ def search(texts: list[str | None], p: Passages, near: float = NEAR) -> list[tup
             rows = np.where(doc[word] == doc[at][:, None], row[word], len(p.basis.table) - 1)
             rows[:, 1:][word[:, 1:] == word[:, :-1]] = len(p.basis.table) - 1
             v = _row_sums(p.basis.table, rows)
+            # No cosine is above the share of the window that the basis holds.
+            far = (v * v).sum(axis=1) < (near * p.own.min()) ** 2 * norm[w]
+            v, w, at = v[~far], w[~far], at[~far]
             hit = (v @ p.vector.T) >= near * np.sqrt(norm[w])[:, None] * p.own
             for x, j in zip(*np.nonzero(hit), strict=True):
                 d = int(owner[w[x]])

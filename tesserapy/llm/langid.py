@@ -45,17 +45,18 @@ class Words:
 
 
 def words_of(codes: np.ndarray, bounds: np.ndarray, buckets: int = BUCKETS) -> Words:
-    flags = (ta.classes()[codes] & ta.LETTER) > 0
+    lower = ta.lowered()[codes]
+    flags = lower > 0
     start, end = ta.runs(flags, bounds)
     size = end - start
     first = np.cumsum(size) - size
-    low = ta.lowered()[codes[flags]].astype(np.uint64)
+    low = lower[flags].astype(np.uint64)
     left, right = np.zeros_like(low), np.zeros_like(low)
     left[1:], right[:-1] = low[:-1], low[1:]
     left[first] = 0
     right[first + size - 1] = 0
     tri = ta.mix((left << np.uint64(42)) | (low << np.uint64(21)) | right) & np.uint64(buckets - 1)
-    whole = ta.run_hashes(low, first, first + size) & np.uint64(buckets - 1)
+    whole = ta.run_hashes(lower, start, end) & np.uint64(buckets - 1)
     doc = np.searchsorted(bounds, start, "right") - 1
     return Words(doc, start, end, ta.scripts()[codes[start]], whole.astype(np.int64), tri.astype(np.int64), first)
 

@@ -97,27 +97,38 @@ def sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return total[ends] - total[starts]
 
 
-_STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
+_STEP = 0x9E3779B97F4A7C15
+
+
+class _Powers:
+    """Powers of an odd number and of its inverse, as many as were asked for."""
+
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(cls.up):
+            cls.up, cls.down = np.ones(n, np.uint64), np.ones(n, np.uint64)
+            cls.up[1:] = np.cumprod(np.full(n - 1, _STEP, np.uint64))
+            cls.down[1:] = np.cumprod(np.full(n - 1, pow(_STEP, -1, 1 << 64), np.uint64))
+        return cls.up[:n], cls.down[:n]
 
 
 def run_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each [start, end) run of code points (the same anywhere).
 
-    Each code point is weighed by a power of an odd number for its place in the
-    run, so the sum of a run is a difference of running sums after scaling.
+    Each code point is weighed by a power of an odd number for its place, so the
+    sum of a run is a difference of running sums, brought back to place zero.
     """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    at = np.repeat(np.arange(len(starts)), ends - starts)
-    place = np.arange(len(at)) - np.repeat(np.cumsum(ends - starts) - (ends - starts), ends - starts)
-    most = int((ends - starts).max())
-    powers = np.ones(most, np.uint64)
-    if most > 1:
-        powers[1:] = np.cumprod(np.full(most - 1, _STEP, np.uint64))
-    picked = codes[np.repeat(starts, ends - starts) + place].astype(np.uint64) + np.uint64(1)
-    picked *= powers[place]
-    first = np.cumsum(ends - starts) - (ends - starts)
-    return mix(np.add.reduceat(picked, first))
+    up, down = _Powers.of(len(codes))
+    total = np.zeros(len(codes) + 1, np.uint64)
+    weighed = codes.astype(np.uint64)
+    weighed += np.uint64(1)
+    weighed *= up
+    np.cumsum(weighed, out=total[1:])
+    return mix(mix((total[ends] - total[starts]) * down[starts]) + (ends - starts).astype(np.uint64))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
