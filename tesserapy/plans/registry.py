@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import oracle
+from .queries import QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return oracle.oracle_sql()
