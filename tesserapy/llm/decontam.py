@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -337,13 +338,16 @@ def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     blocks = max(1, -(-items.count() // ITEMS))
     frequency, n = document_frequencies(docs, text_col)
     idf = (np.log((1 + n) / (1 + frequency)) + 0.1).astype(np.float32)
-    best: Column = F.lit(None).cast(HIT)
+    found = docs
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
         basis = latent_basis(block.select("text"), idf)
         rows = [(r["id"], r["text"]) for r in block.orderBy("id", "text").collect()]
-        best = _better(best, _finder(spark, prepare(rows, basis), near)(F.col(text_col)))
-    return docs.withColumn(into, best)
+        # A column of its own for each block: the search must run once a row.
+        found = found.withColumn(f"__hit_{b}", _finder(spark, prepare(rows, basis), near)(F.col(text_col)))
+    best = reduce(_better, [F.col(f"__hit_{b}") for b in range(blocks)])
+    clean_hit = F.when(best["item_id"].isNotNull(), best)
+    return found.select(*docs.columns, clean_hit.alias(into))
 
 
 HIT = "struct<item_id: bigint, similarity: double, kind: string, n_items: int>"
@@ -351,10 +355,10 @@ HIT = "struct<item_id: bigint, similarity: double, kind: string, n_items: int>"
 
 def _better(a: Column, b: Column) -> Column:
     """The better of two hits; numbers of items add up."""
-    first = F.when(b.isNull(), True).when(a.isNull(), False).otherwise((a["similarity"] > b["similarity"]) | ((a["similarity"] == b["similarity"]) & (a["item_id"] < b["item_id"])))
+    first = F.when(b["item_id"].isNull(), True).when(a["item_id"].isNull(), False).otherwise((a["similarity"] > b["similarity"]) | ((a["similarity"] == b["similarity"]) & (a["item_id"] < b["item_id"])))
     pick = F.when(first, a).otherwise(b)
     both = F.coalesce(a["n_items"], F.lit(0)) + F.coalesce(b["n_items"], F.lit(0))
-    return F.when(a.isNotNull() | b.isNotNull(), F.struct(pick["item_id"].alias("item_id"), pick["similarity"].alias("similarity"), pick["kind"].alias("kind"), both.alias("n_items")))
+    return F.struct(pick["item_id"].alias("item_id"), pick["similarity"].alias("similarity"), pick["kind"].alias("kind"), both.alias("n_items"))
 
 
 def _finder(spark, passages: Passages, near: float):
@@ -372,9 +376,9 @@ def _finder(spark, passages: Passages, near: float):
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, item_id, similarity, kind, n_items: a row for each contaminated row of the documents."""
     found = mark(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), benchmark, **options)
-    return found.where(F.col("__hit.item_id").isNotNull()).select("doc_id", "__hit.item_id", "__hit.similarity", "__hit.kind", "__hit.n_items")
+    return found.where(F.col("__hit").isNotNull()).select("doc_id", "__hit.item_id", "__hit.similarity", "__hit.kind", "__hit.n_items")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The documents that hold no benchmark item, with their own columns."""
-    return mark(docs, benchmark, text_col, **options).where(F.col("__hit.item_id").isNull()).select(*docs.columns)
+    return mark(docs, benchmark, text_col, **options).where(F.col("__hit").isNull()).select(*docs.columns)
