@@ -9,8 +9,8 @@ NAN, INF = float("nan"), float("inf")
 
 
 def ratio(a: Column, b: Column) -> Column:
-    """a / b with x/0 infinite and 0/0 NaN instead of an error."""
-    zero = F.when(a == 0, F.lit(NAN)).when(a > 0, F.lit(INF)).otherwise(F.lit(-INF))
+    """a / b of doubles, with x/0 infinite and 0/0 and NaN/0 NaN instead of an error."""
+    zero = F.when((a == 0) | F.isnan(a), F.lit(NAN)).when(a > 0, F.lit(INF)).otherwise(F.lit(-INF))
     return F.when(b == 0, zero).otherwise(a / F.when(b != 0, b))
 
 
