@@ -59,17 +59,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the windows within them count once for each row. A text that loses every
     line is empty. Other columns pass through unchanged.
     """
-    starts = covered(docs, id_col, text_col, window).select(F.col("__k1").alias("__s1"), F.col("__k2").alias("__s2"), "starts")
+    starts = covered(docs, id_col, text_col, window).select(F.col("__k1").alias("__s1"), F.col("__k2").alias("__s2"), F.col("starts").alias("__starts"))
     keyed = _keyed(docs, id_col, text_col)
     joined = keyed.join(starts, (F.col("__k1") == F.col("__s1")) & (F.col("__k2") == F.col("__s2")), "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    cover = F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.lit(window - 1))))
+    cover = F.flatten(F.transform("__starts", lambda s: F.sequence(s, s + F.lit(window - 1))))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), cover)
-    text = F.when(F.col("starts").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    text = F.when(F.col("__starts").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
     joined = joined.withColumn("n_lines", F.coalesce(F.size(lines).cast("long"), F.lit(0).cast("long")))
     joined = joined.withColumn("n_lines", F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(F.col("n_lines")))
     joined = joined.withColumn("n_removed", F.coalesce(F.size(F.array_distinct(cover)).cast("long"), F.lit(0).cast("long")))
-    joined = joined.withColumn("n_removed", F.when(F.col("starts").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_removed")))
+    joined = joined.withColumn("n_removed", F.when(F.col("__starts").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_removed")))
     joined = joined.withColumn("__text", text)
     others = [c for c in docs.columns if c not in (text_col, "n_lines", "n_removed")]
     return joined.select(*others, F.col("__text").alias(text_col), "n_lines", "n_removed")
