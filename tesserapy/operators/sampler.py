@@ -22,8 +22,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans.shipping import ship
+from ..sources.atlas import write_samples
+from ..sources.graph import edges as edges_of
+from ..sources.graph import precincts, read_graph
+from ..sources.shared import checkpoint
 
 #: Share of steps that change the partition.
 TWO_TREE = 0.1
@@ -187,24 +192,28 @@ class Chain:
                 out.setdefault((min(x, y), max(x, y)), []).append((a, b) if x < y else (b, a))
         return {key: e for key, e in out.items() if len(e) > 1}
 
+    def log_trees(self, d: int) -> float:
+        """Logarithm of the number of spanning trees of a district."""
+        inside = [v for v in range(self.n) if self.home[v] == d]
+        place = {v: k for k, v in enumerate(inside)}
+        lap = np.zeros((len(inside), len(inside)))
+        for v in inside:
+            for u in self.near[v]:
+                if u in place:
+                    lap[place[v], place[v]] += 1
+                    lap[place[v], place[u]] -= 1
+        return float(np.linalg.slogdet(lap[1:, 1:])[1]) if len(inside) > 1 else 0.0
+
+    def isoperimetric(self, d: int) -> float:
+        """Squared number of border edges over the number of precincts."""
+        inside = [v for v in range(self.n) if self.home[v] == d]
+        return sum(self.home[u] != d for v in inside for u in self.near[v]) ** 2 / len(inside)
+
     def energy(self, districts: tuple[int, int]) -> float:
         """Part of the target's energy that two districts change."""
-        out = 0.0
-        for d in districts:
-            inside = [v for v in range(self.n) if self.home[v] == d]
-            if self.set.gamma:
-                place = {v: k for k, v in enumerate(inside)}
-                lap = np.zeros((len(inside), len(inside)))
-                for v in inside:
-                    for u in self.near[v]:
-                        if u in place:
-                            lap[place[v], place[v]] += 1
-                            lap[place[v], place[u]] -= 1
-                out += self.set.gamma * (np.linalg.slogdet(lap[1:, 1:])[1] if len(inside) > 1 else 0.0)
-            if self.set.iso_weight:
-                border = sum(self.home[u] != d for v in inside for u in self.near[v])
-                out += self.set.iso_weight * border**2 / len(inside)
-        return out
+        trees = sum(map(self.log_trees, districts)) if self.set.gamma else 0.0
+        shape = sum(map(self.isoperimetric, districts)) if self.set.iso_weight else 0.0
+        return self.set.gamma * trees + self.set.iso_weight * shape
 
     def two_tree(self) -> None:
         self.tried["two"] += 1
@@ -259,23 +268,53 @@ class Chain:
         for u, d in old_home.items():
             self.home[u] = d
 
-    def run(self) -> Iterator[tuple[int, list[int]]]:
-        """(step, plan) as often as the settings say."""
+    def run(self) -> Iterator[tuple[int, list[int], float, float]]:
+        """(step, plan, log of the number of forests, isoperimetric score) as often as the settings say."""
         for step in range(1, self.set.steps + 1):
             self.two_tree() if self.rng.random() < TWO_TREE else self.one_tree()
             if step % self.set.every == 0:
-                yield step, list(self.home)
+                every = range(self.k)
+                yield step, list(self.home), sum(map(self.log_trees, every)), sum(map(self.isoperimetric, every))
+
+    def diagnostics(self) -> dict[str, float]:
+        """Share of accepted steps of each kind."""
+        return {kind: self.taken[kind] / self.tried[kind] if self.tried[kind] else 0.0 for kind in self.tried}
+
+
+SAMPLE = "chain int, step bigint, plan_vector array<int>, log_forests double, isoperimetric double, accepted_one double, accepted_two double"
 
 
 def sample_plans(spark: SparkSession, weights: list[int], edges: list[tuple[int, int]], districts: int, settings: Settings, chains: int = 1) -> DataFrame:
-    """chain, step, plan_vector: a task for each chain."""
+    """chain, step, plan_vector, scores, and the chain's shares of accepted steps (null unless asked for).
+
+    A task runs a chain; the graph goes with the task.
+    """
     ship(spark)
     seeds = spark.range(chains).selectExpr("cast(id as int) as chain").repartition(chains, "chain")
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for chain in pdf["chain"]:
-                rows = list(Chain(weights, edges, districts, settings, settings.rng_seed + int(chain)).run())
-                yield pd.DataFrame({"chain": int(chain), "step": [s for s, _ in rows], "plan_vector": [p for _, p in rows]}).astype({"chain": "int32"})
+            for k in pdf["chain"]:
+                chain = Chain(weights, edges, districts, settings, settings.rng_seed + int(k))
+                rows = list(chain.run())
+                rate = chain.diagnostics() if settings.run_diagnostics else {"one": None, "two": None}
+                out = pd.DataFrame(rows, columns=["step", "plan_vector", "log_forests", "isoperimetric"])
+                yield out.assign(chain=np.int32(k), accepted_one=rate["one"], accepted_two=rate["two"]).astype({"accepted_one": float, "accepted_two": float})
+
+    return seeds.mapInPandas(walk, SAMPLE)
+
 
-    return seeds.mapInPandas(walk, "chain int, step bigint, plan_vector array<int>")
+def main(spark: SparkSession, args: list[str]) -> DataFrame:
+    """Run one chain over a graph document and write it as an atlas; returns the samples."""
+    map_file, output_file, settings = parse_args(args)
+    doc = read_graph(spark, map_file)
+    nodes = precincts(doc)
+    people = [int(r["population"]) for r in nodes.orderBy("precinct_idx").collect()]
+    pairs = [(r["src"], r["dst"]) for r in edges_of(doc).collect()]
+    districts = int(doc.first()["num_districts"])
+    rows = sample_plans(spark, people, pairs, districts, settings)
+    rows = checkpoint(rows)
+    header = {"districts": districts, "popdev": settings.pop_dev, "gamma": settings.gamma, "iso_weight": settings.iso_weight}
+    names = nodes.select("precinct_idx", F.col("precinct_id_str").alias("label"))
+    write_samples(rows, names, output_file, header, listed_keys=True)
+    return rows

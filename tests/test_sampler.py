@@ -51,3 +51,20 @@ def test_infeasible_deviation_and_arguments():
     for bad in (["--map_file", "m"], ["--map_file", "m", "--output_file", "o.json"], ["--map_file", "m", "--output_file", "o.jsonl.gz", "--other", "1"]):
         with pytest.raises(SystemExit):
             parse_args(bad)
+
+
+def test_command_line_writes_an_atlas_that_can_be_read(spark, tmp_path):
+    from tesserapy.operators import grid
+    from tesserapy.operators.sampler import main
+    from tesserapy.sources import atlas, graph
+
+    path, out = str(tmp_path / "map.json"), str(tmp_path / "atlas.jsonl.gz")
+    graph.write_graph(grid.grid_nodes(spark, 3), grid.grid_edges(spark, 3), path, 3)
+    rows = main(spark, ["--map_file", path, "--output_file", out, "--pop_dev", "0.34", "--cycle_walk_steps", "30", "--cycle_walk_out_freq", "10", "--run_diagnostics", "true"])
+    made = rows.orderBy("step").collect()
+    assert [r["step"] for r in made] == [100, 200, 300] and 0 < made[0]["accepted_one"] <= 1 and made[0]["log_forests"] >= 0 and made[0]["isoperimetric"] > 0
+    lines = atlas.read_lines(spark, [out])
+    assert atlas.header_districts(lines) == 3
+    labels = graph.labels(graph.precincts(graph.read_graph(spark, path)))
+    back = atlas.read_samples(lines, labels, 9, 100).orderBy("step").collect()
+    assert [(r["step"], r["plan_vector"], r["sample_tag"]) for r in back] == [(r["step"], r["plan_vector"], "atlas") for r in made]
