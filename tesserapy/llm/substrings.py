@@ -7,7 +7,9 @@ anchors at the same place. A document is so cut into segments, each the union of
 consecutive windows with one anchor, and windows can only be equal in segments
 of equal anchors. Segments are brought together by the anchor's hash:
 
-* a segment that occurs twice as a whole is covered at once;
+* a segment that occurs twice as a whole is covered at once; within a batch of
+  documents that is found before anything is shuffled, so a segment that very
+  many documents share costs a row for each batch;
 * segments that share only their anchor go to a suffix array, built by linear
   grouping (``gsaca``) over symbols of eight bytes counted from the anchor. Runs
   of suffixes that agree in 24 symbols give classes; a window is a class and
@@ -123,21 +125,61 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), tag.alias("tag"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def combine(text: np.ndarray, s: np.ndarray, run: np.ndarray, h: np.ndarray, g: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """Rows to keep, whether they stand for several, and (text, a, b) of covered ranges.
+
+    Segments that repeat among the given ones are covered at once; the first of
+    them stays to meet those of other batches. Ranges of a text are merged.
+    """
+    order = np.lexsort((g, h))
+    new = np.ones(len(order), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
+    at = np.flatnonzero(new)
+    sizes = np.diff(np.append(at, len(order)))
+    kept, several = order[at], sizes > 1
+    rows = order[np.repeat(several, sizes)]
+    rows = rows[np.lexsort((s[rows], text[rows]))]
+    t, a, b = text[rows], s[rows].astype(np.int64), s[rows].astype(np.int64) + run[rows] - 1 + length
+    if not len(rows):
+        return kept, several, (t, a, b)
+    # Running ends within each text: texts are set apart by a wide step.
+    wide = np.int64(int(b.max()) + 1) * np.cumsum(np.append(0, (t[1:] != t[:-1]).astype(np.int64)))
+    top = np.maximum.accumulate(b + wide)
+    first = np.ones(len(rows), bool)
+    first[1:] = a[1:] + wide[1:] > top[:-1]
+    begin = np.flatnonzero(first)
+    end = np.append(begin[1:], len(rows)) - 1
+    return kept, several, (t[begin], a[begin], (top - wide)[end])
+
+
 def segments(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """h, g, id, tag, s, off, run: a row for each segment of each document."""
-    names = ["h", "g", "id", "tag", "s", "off", "run"]
+    """h, g, id, tag, s, off, run, many, done: segments that no earlier one of their batch repeats.
+
+    many: others of the batch are equal. Rows with ``done`` are no segments but
+    ranges found covered within a batch, under keys of their own.
+    """
+    names = ["h", "g", "id", "tag", "s", "off", "run", "many", "done"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(length, gram)
         for batch in batches:
             ids, tags = batch.column(0), batch.column(1)
-            data, offsets = _bytes_of(batch.column(2))
-            for text, s, off, run, h, g in scanner.segments(data, offsets):
-                own = pa.array(text)
-                cols = [h.view(np.int64), g.view(np.int64), ids.take(own), tags.take(own), s.astype(np.int32), off.astype(np.int16), run.astype(np.int16)]
-                yield pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=names)
+            parts = list(scanner.segments(*_bytes_of(batch.column(2))))
+            if not parts:
+                continue
+            text, s, off, run, h, g = (np.concatenate(c) for c in zip(*parts, strict=True))
+            kept, several, (t, a, b) = combine(text, s, run, h, g, length)
+            own, n, m = pa.array(np.concatenate([text[kept], t])), len(kept), len(t)
+            alone = mix(a.astype(np.uint64) * np.uint64(_STEP) + mix(t.astype(np.uint64) + h[0]))
+            cols = [
+                np.concatenate([h[kept], alone]).view(np.int64), np.concatenate([g[kept], mix(alone)]).view(np.int64), ids.take(own), tags.take(own),
+                np.concatenate([s[kept], a]).astype(np.int32), np.concatenate([off[kept], np.zeros(m, np.int64)]).astype(np.int16),
+                np.concatenate([run[kept], b - a - length + 1]).astype(np.int32), np.concatenate([several, np.ones(m, bool)]), np.arange(n + m) >= n,
+            ]
+            yield pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=names)
 
-    return rows.where(F.octet_length("text") >= length).mapInArrow(scan, "h long, g long, id long, tag int, s int, off short, run short")
+    schema = "h long, g long, id long, tag int, s int, off short, run int, many boolean, done boolean"
+    return rows.where(F.octet_length("text") >= length).mapInArrow(scan, schema)
 
 
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -276,10 +318,10 @@ def covered(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int =
     """
     by_anchor = Window.partitionBy("h").orderBy("g")
     near = segments(rows, length, gram).withColumn("__p", F.lag("g").over(by_anchor)).withColumn("__n", F.lead("g").over(by_anchor))
-    near = near.where("__p is not null or __n is not null")
+    near = near.where("__p is not null or __n is not null or many")
     beside = lambda test: F.coalesce(test(F.col("__p")), F.lit(False)) | F.coalesce(test(F.col("__n")), F.lit(False))
-    near = near.withColumn("twice", beside(lambda c: c == F.col("g"))).withColumn("other", beside(lambda c: c != F.col("g")))
-    near = near.withColumn("m", F.sum(F.col("other").cast("int")).over(Window.partitionBy("h"))).drop("__p", "__n")
+    near = near.withColumn("twice", F.col("many") | beside(lambda c: c == F.col("g"))).withColumn("other", ~F.col("done") & beside(lambda c: c != F.col("g")))
+    near = near.withColumn("m", F.sum(F.col("other").cast("int")).over(Window.partitionBy("h"))).drop("__p", "__n", "many", "done")
     near = checkpoint(near)
     whole = near.where("twice").select("id", "tag", F.col("s").alias("a"), (F.col("s") + F.col("run") + F.lit(length - 1)).alias("b"))
     apart = near.where("other").select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), "h", "g", "m", "s", "off", "run", (~F.col("twice")).alias("need"))
