@@ -12,12 +12,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import unit_hash, word_count
+from .common import checkpoint, unit_hash, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
 SEED = 17
+#: The table of sources is broadcast up to so many rows and bytes of names.
+SMALL_ROWS, SMALL_BYTES = 50_000, 4 << 20
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -48,6 +50,14 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     return df.select("source", "source_size", got.alias("target"))
 
 
+def _goals(sized: DataFrame, weights, share: float, most: float) -> DataFrame:
+    """__source, source_size, target; broadcast if the table has been found small, else joined by source."""
+    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    goal = checkpoint(targets(per, weights, share, most).withColumnRenamed("source", "__source"))
+    size = goal.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("__source")), F.lit(0)).alias("b")).first()
+    return F.broadcast(goal) if size["n"] <= SMALL_ROWS and size["b"] <= SMALL_BYTES else goal
+
+
 def rates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED,
@@ -56,12 +66,12 @@ def rates(
 
     A row of the input is a row of the result, repeated rows too (the same id
     draws alike). Null texts and texts without a word have size 0. Null sources
-    are one source. The hot source is summed before the shuffle, and the join on
-    sources is an ordinary one, which adaptive execution splits where skewed.
+    are one source. The hot source is summed before the shuffle. Documents meet
+    the table of sources without a shuffle while it is small; beyond that the join
+    is an ordinary one, which adaptive execution splits where skewed.
     """
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goal = targets(per, weights, share, most).withColumnRenamed("source", "__source")
+    goal = _goals(sized, weights, share, most)
     joined = sized.join(goal, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
     return joined.withColumn("copies", copies(F.col("doc_id"), F.col("target"), F.col("source_size"), seed))
 
@@ -79,8 +89,7 @@ def mix(
 ) -> DataFrame:
     """The mixed corpus: the documents' own columns, each row as often as it is taken."""
     sized = docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goal = targets(per, weights, share, most).select(F.col("source").alias("__source"), F.col("source_size").alias("__size"), F.col("target").alias("__target"))
+    goal = _goals(sized, weights, share, most).select("__source", F.col("source_size").alias("__size"), F.col("target").alias("__target"))
     joined = docs.join(goal, F.col(source_col).eqNullSafe(F.col("__source")), "left")
     n = copies(F.col(id_col), F.col("__target"), F.col("__size"), seed)
     repeated = joined.withColumn("__copies", n).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))

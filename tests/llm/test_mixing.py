@@ -54,3 +54,10 @@ def test_taken_comes_near_the_target_and_equals_the_mix(spark):
 
 def test_no_rows(spark):
     assert mixing.mixed_sizes(docs(spark, [])).count() == 0 and mixing.mix(docs(spark, [])).count() == 0
+
+
+def test_many_sources_are_joined_instead_of_broadcast(spark, monkeypatch):
+    df = docs(spark, [(k, "a b", f"s{k % 4}", 0, 0) for k in range(40)])
+    want = sorted(map(str, mixing.mixed_sizes(df).collect()))
+    monkeypatch.setattr(mixing, "SMALL_ROWS", 2)
+    assert sorted(map(str, mixing.mixed_sizes(df).collect())) == want
