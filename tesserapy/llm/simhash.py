@@ -58,6 +58,34 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * votes > n, bitorder="little").tobytes(), "little")
 
 
+def word_fingerprint(text: str | None, seed: int) -> int:
+    """The 64-bit fingerprint of a text's distinct words, unsigned; 0 without a word.
+
+    A frequent word counts as little as a rare one, so that texts of one language
+    lie far apart and copies with a few changed words close together.
+    """
+    words = set(_WORDS.findall(text.encode("utf-8", "replace").translate(_LOWER))) if text else set()
+    if not words:
+        return 0
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+    votes = np.zeros(BITS, np.int64)
+    for k in range(0, len(hashes), 1 << 15):
+        part = hashes[k : k + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8)
+        votes += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * votes > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def jaccard(a: str | None, b: str | None, shingle: int) -> float:
+    """Similarity of the sets of word shingles (the whole text, if it has fewer words)."""
+    sets = []
+    for text in (a, b):
+        words = _WORDS.findall((text or "").encode("utf-8", "replace").translate(_LOWER))
+        sets.append({tuple(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))} if words else set())
+    both = len(sets[0] & sets[1])
+    union = len(sets[0]) + len(sets[1]) - both
+    return both / union if union else 1.0
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long)."""
 
@@ -109,21 +137,29 @@ def _signed(x: int) -> int:
 def _forest(values: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links that join what is within the radius, in a run of equal keys.
 
-    Breadth first from each value in turn: what a value reaches leaves the list
-    of those not yet reached, so a dense group costs little over its size.
+    Breadth first from each value in turn, those nearest to the run's centre (the
+    majority of each bit) first: what a value reaches leaves the list of those
+    not yet reached, so a dense group costs little over its size, and hangs on
+    the value that its members are copies of, if that is there. Each value joins
+    the nearest of those that reach it.
     """
-    out, rest = [], values
+    bits = np.zeros(BITS, np.int64)
+    for k in range(0, len(values), 1 << 15):
+        part = np.ascontiguousarray(values[k : k + (1 << 15)]).view(np.uint8).reshape(-1, 8)
+        bits += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    centre = np.packbits(2 * bits > len(values), bitorder="little").view(np.uint64)[0]
+    out, rest = [], values[np.argsort(np.bitwise_count(values ^ centre), kind="stable")]
     while len(rest) > 1:
         front, rest = rest[:1], rest[1:]
         while len(front) and len(rest):
             new = []
             step = max(1, BLOCK // max(1, len(rest)))
             for k in range(0, len(front), step):
-                near = np.bitwise_count(front[k : k + step, None] ^ rest[None, :]) <= radius
-                hit = near.any(axis=0)
+                gap = np.bitwise_count(front[k : k + step, None] ^ rest[None, :])
+                nearest = gap.argmin(axis=0)
+                hit = gap[nearest, np.arange(len(rest))] <= radius
                 if hit.any():
-                    parents = front[k : k + step][near[:, hit].argmax(axis=0)]
-                    out.append((parents, rest[hit]))
+                    out.append((front[k + nearest[hit]], rest[hit]))
                     new.append(rest[hit])
                     rest = rest[~hit]
                     if not len(rest):
@@ -164,12 +200,15 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     distinct: one column ``fp`` without repeats. Every fingerprint is sent to a
     key for each of its bits; rows of a task come sorted by key and are read as
-    a stream, so no more than one run of equal keys is held at a time.
+    a stream, so no more than one run of equal keys is held at a time. Runs of up
+    to 24 give all their links, larger ones a spanning forest. Only the slot and
+    the fingerprint are shuffled; the key follows from them.
     """
     masks, chains = [_signed(m) for m in key_masks(radius)], chain_masks(radius)
-    slots = F.array(*[F.struct(F.lit(k).alias("slot"), F.lit(m).alias("mask")) for k, m in enumerate(masks)])
-    rows = distinct.select("fp", F.inline(slots)).select("slot", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
-    rows = rows.repartition("slot", "key").sortWithinPartitions("slot", "key")
+    key = F.col("fp").bitwiseAND(F.element_at(F.array(*[F.lit(m) for m in masks]), F.col("slot") + 1))
+    rows = distinct.select(F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("slot"), "fp")
+    rows = rows.repartition("slot", key).sortWithinPartitions("slot", key)
+    keep = np.array(masks, np.int64)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +236,8 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+            slot, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+            cols = [slot, fp & keep[slot], fp]
             goes_on = held and cols[0][-1] == held[0][0][0] and cols[1][-1] == held[0][1][0]
             held.append(cols)
             if goes_on:
@@ -256,14 +296,66 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     return marked.join(named, F.col("fp") == F.col("__fp")).select("doc_id", "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The documents, one of each component: the one with the smallest id.
+#: Seeds of the fingerprints that propose near copies.
+SEEDS = (42, 43)
+NEAR_SHINGLE, SIMILARITY = 5, 0.8
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS, seeds=SEEDS) -> DataFrame:
+    """doc_id, group_id (the smallest id of the group) for every id.
+
+    Texts are near copies if the Jaccard similarity of their five-word shingles
+    is ``similarity`` or more. Candidates come from fingerprints of the distinct
+    words under each of the seeds, linked at ``radius`` bits as elsewhere here;
+    every candidate is then compared exactly. Equal texts are one group; so are
+    all texts without a word. Null ids are one id.
+    """
+
+    def fp(seed: int):
+        @F.pandas_udf(T.LongType())
+        def of(texts: pd.Series) -> pd.Series:
+            return pd.Series(np.array([word_fingerprint(t, seed) for t in texts], np.uint64).view(np.int64))
+
+        return of(F.col(text_col)).alias(f"fp{seed}")
+
+    key = [F.xxhash64(F.lit(k), F.coalesce(F.col(text_col), F.lit(""))).alias(f"k{k}") for k in (1, 2)]
+    marked = checkpoint(docs.select(F.col(id_col).alias("doc_id"), *key, *[fp(x) for x in seeds]))
+    names = [f"fp{x}" for x in seeds]
+    texts = checkpoint(marked.groupBy("k1", "k2").agg(F.min("doc_id").alias("lead"), *[F.first(n).alias(n) for n in names]))
+    found = None
+    for name in names:
+        group = checkpoint(texts.where("lead is not null").groupBy(F.col(name).alias("fp")).agg(F.min("lead").alias("head")))
+        edges = links(group.select("fp"), radius)
+        one, two = group.select(F.col("fp").alias("a"), F.col("head").alias("x")), group.select(F.col("fp").alias("b"), F.col("head").alias("y"))
+        far = edges.join(one, "a").join(two, "b").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+        same = texts.select("lead", F.col(name).alias("f")).join(group, F.col("f") == F.col("fp")).where("lead <> head").select(F.col("head").alias("x"), F.col("lead").alias("y"))
+        part = checkpoint(far.unionByName(same))
+        found = part if found is None else found.unionByName(part)
+    pairs = checkpoint(found.where("x <> y").distinct())
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("__id")).distinct()
+    held = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, F.col("id") == F.col("__id"), "left_semi").dropDuplicates(["id"])
+    held = checkpoint(held)
+
+    @F.pandas_udf("double")
+    def compare(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([jaccard(x, y, shingle) for x, y in zip(a, b, strict=True)], dtype=float)
+
+    left, right = held.select(F.col("id").alias("x"), F.col("text").alias("a")), held.select(F.col("id").alias("y"), F.col("text").alias("b"))
+    good = pairs.join(left, "x").join(right, "y").where(compare("a", "b") >= similarity).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    nodes = checkpoint(components(good))
+    named = texts.join(nodes, F.col("lead") == F.col("node"), "left").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.coalesce("root", "lead").alias("group_id"))
+    joined = marked.join(named, (F.col("k1") == F.col("__k1")) & (F.col("k2") == F.col("__k2")))
+    return joined.select("doc_id", "group_id")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents, one of each group of near copies: the one with the smallest id.
 
     Rows that share an id are one document; one of them stays. All rows with a
     null id count as one document.
     """
-    found = cluster(docs, id_col, text_col, shingle, radius)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    found = near_groups(docs, id_col, text_col, **options)
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("group_id"))).select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(keep, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([id_col])
 
 

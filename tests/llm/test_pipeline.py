@@ -25,13 +25,14 @@ def brute_lines(rows):
 
 
 def brute_near(rows):
-    fps = {r["doc_id"]: simhash.fingerprint(r["text"], cp.SHINGLE) for r in rows}
-    ids, home = sorted(fps), {}
-    for i in ids:
-        home[i] = i
+    """Smallest ids of the groups over all pairs: near by a fingerprint, and alike by shingles."""
+    text = {r["doc_id"]: r["text"] for r in rows}
+    fps = {i: [simhash.word_fingerprint(t, seed) for seed in simhash.SEEDS] for i, t in text.items()}
+    ids = sorted(fps)
+    home = {i: i for i in ids}
     for k, a in enumerate(ids):
         for b in ids[k + 1 :]:
-            if (fps[a] ^ fps[b]).bit_count() <= cp.RADIUS:
+            if any((x ^ y).bit_count() <= simhash.RADIUS for x, y in zip(fps[a], fps[b], strict=True)) and simhash.jaccard(text[a], text[b], cp.SHINGLE) >= cp.SIMILARITY:
                 x, y = sorted((home[a], home[b]))
                 home = {i: x if h == y else h for i, h in home.items()}
     return {i for i in ids if home[i] == i}

@@ -97,3 +97,29 @@ def test_cluster_and_dedup(spark):
     kept = sorted(str(r["doc_id"]) for r in simhash.near_dedup(df).collect())
     assert kept == ["2", "4", "7", "None"]
     assert simhash.cluster(df.limit(0)).count() == 0
+
+
+def test_near_groups_catch_copies_and_leave_others(spark):
+    """Copies with a few words changed, one large group of them, and texts of the same words in another order."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(900)]
+    bases = [[rng.choice(words) for _ in range(200)] for _ in range(12)]
+    rows = [(k, " ".join(b)) for k, b in enumerate(bases)]
+    for n in range(40):
+        copy = list(bases[0])
+        copy[rng.randrange(200)] = f"new{n}"
+        rows.append((100 + n, " ".join(copy)))
+    for k in range(1, 6):
+        copy = list(bases[k])
+        copy[50] = "other"
+        rows.append((200 + k, " ".join(copy).upper()))
+    order = list(bases[7])
+    rng.shuffle(order)
+    rows += [(300, " ".join(order)), (301, "few words"), (302, "few words"), (303, "few other"), (None, rows[1][1]), (304, None), (305, ""), (306, "x " * 100000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["group_id"] for r in simhash.near_groups(df).collect()}
+    want = {i: i for i, _ in rows} | {100 + n: 0 for n in range(40)} | {200 + k: k for k in range(1, 6)} | {302: 301, None: 1, 305: 304}
+    assert got == want
+    assert {r["doc_id"] for r in simhash.near_dedup(df).collect()} == {i for i, g in want.items() if i == g}
+    assert simhash.near_groups(df.limit(0)).count() == 0
+
