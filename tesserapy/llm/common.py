@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpoint, shared_dir
+
+__all__ = ["WORD", "checkpoint", "fold_of", "shared_dir", "table", "unit_hash", "word_count"]
+
 #: A word: a run of anything but the space and the five ASCII control blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,33 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a local folder is made, once for the session.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    sc = spark.sparkContext
-    known = sc._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get()
-    made = tempfile.mkdtemp(prefix="tesserapy-checkpoint-")
-    sc.setCheckpointDir(made)
-    return made
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and cut their lineage."""
-    spark = df.sparkSession
-    where = shared_dir(spark)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint()
-
-
 def word_count(text: Column) -> Column:
     """Words of a text; none for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
