@@ -26,6 +26,8 @@ from .common import checkpoint, shared_dir
 
 LEAST = 100
 FILE_BYTES = 64 << 20
+#: Repeated digests are broadcast up to so many; beyond that pages are joined by digest.
+SMALL = 50_000
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
@@ -45,6 +47,9 @@ def decide(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha2(payload.cast("binary"), 256).alias("digest"), F.octet_length(payload).cast("long").alias("n_bytes"))
     short = rows.select("page_id", "digest", "n_bytes").where(F.col("n_bytes") >= least)
     first = short.groupBy("digest").agg(F.min("page_id").alias("__first"), F.count("*").alias("__n")).where("__n > 1").withColumnRenamed("digest", "__digest")
+    first = checkpoint(first)
+    if first.count() <= SMALL:  # a row has a digest and a number
+        first = F.broadcast(first)
     joined = rows.join(first, F.col("digest") == F.col("__digest"), "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("__first")), F.col("__first"))
     return joined.select("page_id", "url", "payload", "digest", "n_bytes", refers.alias("refers_to"))

@@ -57,3 +57,10 @@ def test_damage_ends_the_chain(spark, tmp_path):
     for crc in path.glob(".*.crc"):
         crc.unlink()
     assert sorted(r["page_id"] for r in warc.read(spark, str(path)).collect()) == [0, 1]
+
+
+def test_many_repeated_digests_are_joined_instead_of_broadcast(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([(k, "u", f"body {k % 3} " * 30) for k in range(9)], "page_id long, url string, html string")
+    want = sorted(map(str, warc.round_trip(pages, str(tmp_path / "a")).collect()))
+    monkeypatch.setattr(warc, "SMALL", 1)
+    assert sorted(map(str, warc.round_trip(pages, str(tmp_path / "b")).collect())) == want
