@@ -299,18 +299,205 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
 #: Seeds of the fingerprints that propose near copies.
 SEEDS = (42, 43)
 NEAR_SHINGLE, SIMILARITY = 5, 0.8
+#: Shingles in so many texts come last in the order of shingles, and the most that are ordered so.
+COMMON, ORDERED = 32, 1 << 19
+#: Shingles counted at once.
+COUNTED = 1 << 21
+#: Runs of a shingle up to this long give all their pairs at once; of longer ones so many heads go first.
+SHORT, HEADS = 24, 4
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS, seeds=SEEDS) -> DataFrame:
-    """doc_id, group_id (the smallest id of the group) for every id.
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted hashes of the distinct word shingles (the whole text, if it has fewer words)."""
+    words = _WORDS.findall(text.encode("utf-8", "replace").translate(_LOWER)) if text else []
+    if not words:
+        return np.zeros(0, np.uint64)
+    digest, k = xxhash.xxh64_intdigest, min(shingle, len(words))
+    one = np.fromiter((digest(w, SEED) for w in words), np.uint64, len(words))
+    n = len(words) - k + 1
+    out = np.full(n, k, np.uint64)
+    for d in range(k):
+        out = (out ^ one[d : d + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
 
-    Texts are near copies if the Jaccard similarity of their five-word shingles
-    is ``similarity`` or more. Candidates come from fingerprints of the distinct
-    words under each of the seeds, linked at ``radius`` bits as elsewhere here;
-    every candidate is then compared exactly. Equal texts are one group; so are
-    all texts without a word. Null ids are one id.
+
+def _least_overlap(total, similarity: float):
+    """Shared shingles that two texts of so many shingles together need."""
+    return np.ceil(similarity / (1 + similarity) * total - 1e-6)
+
+
+def _may_reach(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sizes and places (``at``) of a shared shingle leave room for the similarity.
+
+    At the first shingle that a pair shares it is never wrongly false.
+    """
+    n, m = x >> 32, y >> 32
+    left = np.minimum(n - (x & 0xFFFFFFFF), m - (y & 0xFFFFFFFF))
+    return (left >= _least_overlap(n + m, similarity)) & (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-6)
+
+
+def common_shingles(docs: DataFrame, shingle: int, least: int = COMMON, most: int = ORDERED) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of many texts, sorted, and about how many texts hold them.
+
+    Only the order of shingles depends on them, never which pairs are found: a
+    shingle is counted where it repeats among texts that are read together.
+    docs: one column of texts.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, seen = [], 0, set()
+
+        def counted():
+            token, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.record_batch([pa.array(token[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["token", "n"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if text and hash(text) not in seen:
+                    seen.add(hash(text))
+                    held.append(shingle_hashes(text, shingle))
+                    size += len(held[-1])
+                    if size >= COUNTED:
+                        yield counted()
+                        held, size, seen = [], 0, set()
+        if held:
+            yield counted()
+
+    total = checkpoint(docs.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+    limits = [least << k for k in range(32)]
+    sizes = total.agg(*[F.count(F.when(F.col("n") >= x, 1)).alias(str(x)) for x in limits]).first()
+    limit = next((x for x, n in zip(limits, sizes, strict=True) if n <= most), limits[-1])
+    got = total.where(F.col("n") >= limit).toPandas()
+    token, n = got["token"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
+    order = np.argsort(token)
+    return token[order], n[order]
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of sorted rows, in parts that hold whole runs of the first column."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        goes_on = held and cols[0][-1] == held[0][0][0]
+        held.append(cols)
+        if goes_on:
+            continue
+        cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+        cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
+        held = [[c[cut:] for c in cols]]
+        if cut:
+            yield [c[:cut] for c in cols]
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def shared_prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """token, k, at, long: the prefix shingles that several texts have.
+
+    docs: k (a hash of the text), text. Shingles have one order everywhere, those
+    of many texts last. Two texts of the similarity share a shingle among the
+    first ``n - ceil(similarity * n) + 1`` of the n of each (prefix filtering).
+    at: n times 2**32, plus the place of the shingle. In runs up to SHORT texts,
+    those that can reach no other one from the shingle are left out.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs.select("text"), shingle))
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, often = shared.value
+        for batch in batches:
+            token, key, at, seen = [], [], [], set()
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if k in seen:
+                    continue
+                seen.add(k)
+                own = shingle_hashes(text, shingle)
+                n = len(own)
+                if not n:
+                    continue
+                if len(common):
+                    place = np.minimum(np.searchsorted(common, own), len(common) - 1)
+                    own = own[np.argsort(np.where(common[place] == own, often[place], 0), kind="stable")]
+                m = n - int(np.ceil(similarity * n - 1e-6)) + 1
+                token.append(own[:m])
+                key.append(np.full(len(token[-1]), k, np.int64))
+                at.append((n << 32) + np.arange(len(token[-1]), dtype=np.int64))
+            if token:
+                yield pa.record_batch([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(key)), pa.array(np.concatenate(at))], names=["token", "k", "at"])
+
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for token, key, at in _whole_runs(batches):
+            new = np.ones(len(token), bool)
+            new[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
+            token, key, at = token[new], key[new], at[new]
+            starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            sizes = np.diff(np.append(starts, len(token)))
+            long = np.repeat(sizes > SHORT, sizes)
+            keep = long.copy()
+            end = np.where(long, 0, np.repeat(starts + sizes, sizes))
+            i = np.flatnonzero(end)
+            for d in range(1, SHORT):
+                i = i[i + d < end[i]]
+                if not len(i):
+                    break
+                ok = i[_may_reach(at[i], at[i + d], similarity)]
+                keep[ok] = keep[ok + d] = True
+            if keep.any():
+                yield pa.record_batch([pa.array(x[keep]) for x in (token, key, at, long)], names=["token", "k", "at", "long"])
+
+    rows = docs.select("k", "text").mapInArrow(prefix, "token long, k long, at long")
+    return rows.repartition("token").sortWithinPartitions("token", "k").mapInArrow(repeated, "token long, k long, at long, long boolean")
+
+
+def prefix_pairs(held: DataFrame, similarity: float, heads: bool) -> DataFrame:
+    """a, b: pairs of texts of different roots that may have the similarity.
+
+    held: token, k, at, root. Pairs whose sizes, or whose places of the shingle,
+    rule the similarity out are left. With heads, only pairs with a few members
+    of each long run; else all pairs, without exception.
     """
 
+    def fit(at, root, i, j):
+        return (root[i] != root[j]) & _may_reach(at[i], at[j], similarity)
+
+    def out(a, b):
+        pair = np.unique(np.sort(np.stack([a, b]), axis=0), axis=1)
+        return pa.record_batch([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for token, key, at, root in _whole_runs(batches):
+            starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            sizes = np.diff(np.append(starts, len(token)))
+            mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+            small = mixed & (sizes <= SHORT)
+            if small.any() and not heads:
+                end = np.repeat(np.where(small, starts + sizes, 0), sizes)
+                i = np.flatnonzero(end)
+                for d in range(1, int(sizes[small].max())):
+                    i = i[i + d < end[i]]
+                    ok = i[fit(at, root, i, i + d)]
+                    if len(ok):
+                        yield out(key[ok], key[ok + d])
+            for s, n in zip(starts[mixed & ~small].tolist(), sizes[mixed & ~small].tolist(), strict=True):
+                rest = np.arange(s, s + n)
+                # Other heads in each run, so that a text meets many of its family.
+                front = rest[np.argsort((key[rest] ^ token[s]).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), kind="stable")][:HEADS] if heads else rest
+                step = max(1, BLOCK // n)
+                for k in range(0, len(front), step):
+                    x, y = np.nonzero(fit(at, root, front[k : k + step, None], rest[None, :]))
+                    if not heads:
+                        x, y = x[rest[y] > front[k + x]], y[rest[y] > front[k + x]]
+                    if len(x):
+                        yield out(key[front[k + x]], key[rest[y]])
+
+    return held.repartition("token").sortWithinPartitions("token").select("token", "k", "at", "root").mapInArrow(scan, "a long, b long").distinct()
+
+
+def _near_texts(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, radius: int, seeds) -> tuple[DataFrame, DataFrame]:
+    """Each row's doc_id, k1, k2; and k1, k2, lead, root of each different text."""
+
     def fp(seed: int):
         @F.pandas_udf(T.LongType())
         def of(texts: pd.Series) -> pd.Series:
@@ -318,32 +505,64 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         return of(F.col(text_col)).alias(f"fp{seed}")
 
-    key = [F.xxhash64(F.lit(k), F.coalesce(F.col(text_col), F.lit(""))).alias(f"k{k}") for k in (1, 2)]
-    marked = checkpoint(docs.select(F.col(id_col).alias("doc_id"), *key, *[fp(x) for x in seeds]))
+    @F.pandas_udf("double")
+    def compare(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([jaccard(x, y, shingle) for x, y in zip(a, b, strict=True)], dtype=float)
+
+    marked = checkpoint(docs.select(F.col(id_col).alias("doc_id"), *_text_keys(text_col), *[fp(x) for x in seeds]))
     names = [f"fp{x}" for x in seeds]
-    texts = checkpoint(marked.groupBy("k1", "k2").agg(F.min("doc_id").alias("lead"), *[F.first(n).alias(n) for n in names]))
+    texts = marked.groupBy("k1", "k2").agg(F.min("doc_id").alias("lead"), *[F.first(n).alias(n) for n in names])
+    texts = checkpoint(texts.withColumn("node", F.monotonically_increasing_id()))
     found = None
     for name in names:
-        group = checkpoint(texts.where("lead is not null").groupBy(F.col(name).alias("fp")).agg(F.min("lead").alias("head")))
+        group = checkpoint(texts.groupBy(F.col(name).alias("fp")).agg(F.min("node").alias("head")))
         edges = links(group.select("fp"), radius)
         one, two = group.select(F.col("fp").alias("a"), F.col("head").alias("x")), group.select(F.col("fp").alias("b"), F.col("head").alias("y"))
         far = edges.join(one, "a").join(two, "b").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-        same = texts.select("lead", F.col(name).alias("f")).join(group, F.col("f") == F.col("fp")).where("lead <> head").select(F.col("head").alias("x"), F.col("lead").alias("y"))
+        same = texts.select("node", F.col(name).alias("f")).join(group, F.col("f") == F.col("fp")).where("node <> head").select(F.col("head").alias("x"), F.col("node").alias("y"))
         part = checkpoint(far.unionByName(same))
         found = part if found is None else found.unionByName(part)
     pairs = checkpoint(found.where("x <> y").distinct())
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("__id")).distinct()
-    held = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, F.col("id") == F.col("__id"), "left_semi").dropDuplicates(["id"])
-    held = checkpoint(held)
+    runs = checkpoint(shared_prefixes(docs.select(_text_keys(text_col)[0].alias("k"), F.col(text_col).alias("text")), shingle, similarity))
+    keys = texts.select("k1", "k2", "node")
+
+    def good(pairs: DataFrame) -> DataFrame:
+        wanted = checkpoint(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(keys, "node"))
+        held = docs.select(*_text_keys(text_col), F.col(text_col).alias("text")).join(wanted, ["k1", "k2"]).dropDuplicates(["node"])
+        held = checkpoint(held.select("node", "text"))
+        left, right = held.select(F.col("node").alias("x"), F.col("text").alias("a")), held.select(F.col("node").alias("y"), F.col("text").alias("b"))
+        return checkpoint(pairs.join(left, "x").join(right, "y").where(compare("a", "b") >= similarity).select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+    edges = good(pairs)
+    roots = checkpoint(components(edges))
+    for heads in (True, False):
+        home = keys.join(roots, "node", "left").select(F.col("k1").alias("k"), F.coalesce("root", "node").alias("root"))
+        more = checkpoint(prefix_pairs((runs.where("long") if heads else runs).join(home, "k"), similarity, heads))
+        one, two = keys.select(F.col("k1").alias("a"), F.col("node").alias("x")), keys.select(F.col("k1").alias("b"), F.col("node").alias("y"))
+        edges = edges.unionByName(good(checkpoint(more.join(one, "a").join(two, "b").select("x", "y"))))
+        roots = checkpoint(components(edges))
+    return marked, texts.join(roots, "node", "left").select("k1", "k2", "lead", F.coalesce("root", "node").alias("root"))
+
+
+def _text_keys(text_col: str) -> list:
+    return [F.xxhash64(F.lit(k), F.coalesce(F.col(text_col), F.lit(""))).alias(f"k{k}") for k in (1, 2)]
 
-    @F.pandas_udf("double")
-    def compare(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(x, y, shingle) for x, y in zip(a, b, strict=True)], dtype=float)
 
-    left, right = held.select(F.col("id").alias("x"), F.col("text").alias("a")), held.select(F.col("id").alias("y"), F.col("text").alias("b"))
-    good = pairs.join(left, "x").join(right, "y").where(compare("a", "b") >= similarity).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    nodes = checkpoint(components(good))
-    named = texts.join(nodes, F.col("lead") == F.col("node"), "left").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.coalesce("root", "lead").alias("group_id"))
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS, seeds=SEEDS) -> DataFrame:
+    """doc_id, group_id (the smallest id of the group) for every id.
+
+    Texts are near copies if the Jaccard similarity of their five-word shingles
+    is ``similarity`` or more; groups are the components over all such pairs.
+    First come candidates by fingerprints of the distinct words under each of the
+    seeds, linked at ``radius`` bits as elsewhere here, which join most of a
+    family at little cost. Prefix filtering then proposes every other pair of
+    texts not yet in one group that can have the similarity. Every candidate is
+    compared exactly. Equal texts are one group; so are all texts without a word.
+    Null ids are one id.
+    """
+    marked, texts = _near_texts(docs, id_col, text_col, shingle, similarity, radius, seeds)
+    least = texts.groupBy("root").agg(F.min("lead").alias("group_id"))
+    named = texts.join(least, "root").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "group_id")
     joined = marked.join(named, (F.col("k1") == F.col("__k1")) & (F.col("k2") == F.col("__k2")))
     return joined.select("doc_id", "group_id")
 

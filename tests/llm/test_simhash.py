@@ -123,3 +123,60 @@ def test_near_groups_catch_copies_and_leave_others(spark):
     assert {r["doc_id"] for r in simhash.near_dedup(df).collect()} == {i for i, g in want.items() if i == g}
     assert simhash.near_groups(df.limit(0)).count() == 0
 
+
+def brute_groups(rows, shingle=5, similarity=0.8):
+    """Smallest id of each component over all pairs by their shingles alone."""
+    sets = {}
+    for i, t in rows:
+        w = t.lower().split()
+        sets[i] = {tuple(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))}
+    home = {i: i for i in sets}
+
+    def root(i):
+        while home[i] != i:
+            i = home[i]
+        return i
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both >= similarity * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((root(a), root(b)))
+                home[y] = x
+    return {i: root(i) for i in ids}
+
+
+def edited(rng, words, n, tag):
+    out = list(words)
+    for k, at in enumerate(rng.sample(range(len(out)), n)):
+        out[at] = f"{tag}e{k}"
+    return out
+
+
+def test_near_groups_lose_no_pair_of_a_large_family(spark):
+    """Twins within a family whose other members are alike in their fingerprints, but below the similarity."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    rows = []
+    for k in range(350):
+        one = edited(rng, base, 8, f"m{k}")
+        rows += [(2 * k, " ".join(one)), (2 * k + 1, " ".join(edited(rng, one, 2, f"t{k}")))]
+    want = brute_groups(rows)
+    assert len(set(want.values())) > 300 and all(want[2 * k + 1] == want[2 * k] for k in range(350))
+    got = {r["doc_id"]: r["group_id"] for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_near_groups_are_those_of_the_similarity_alone(spark):
+    """Text appended, cut off or a block replaced: fingerprints lie far apart."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(60):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(3, 200))]
+        more = [f"x{rng.randrange(10**6)}" for _ in range(len(base) * rng.randrange(5, 30) // 100)]
+        block = [*base[: len(base) // 2], *more, *base[len(base) // 2 + len(more) // 2 :]]
+        rows += [(4 * k, " ".join(base)), (4 * k + 1, " ".join(base + more)), (4 * k + 2, " ".join(base[: len(base) - len(more) // 2])), (4 * k + 3, " ".join(block))]
+    want = brute_groups(rows)
+    got = {r["doc_id"]: r["group_id"] for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
