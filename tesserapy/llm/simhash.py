@@ -570,12 +570,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents, one of each group of near copies: the one with the smallest id.
 
-    Rows that share an id are one document; one of them stays. All rows with a
-    null id count as one document.
+    Rows that agree in id and text are one document. Different texts under one id,
+    or without an id, are documents of their own; a null id comes after all others,
+    and of texts with equal ids a hash of the text decides.
     """
-    found = near_groups(docs, id_col, text_col, **options)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("group_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([id_col])
+    _, texts = _near_texts(docs, id_col, text_col, **{"shingle": NEAR_SHINGLE, "similarity": SIMILARITY, "radius": RADIUS, "seeds": SEEDS, **options})
+    first = F.min(F.struct(F.col("lead").isNull().alias("none"), "lead", "k1", "k2")).alias("first")
+    keep = texts.groupBy("root").agg(first).select(F.col("first.lead").alias("__id"), F.col("first.k1").alias("__k1"), F.col("first.k2").alias("__k2"))
+    k1, k2 = _text_keys(text_col)
+    keyed = docs.withColumn("__d1", k1).withColumn("__d2", k2)
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__d1") == F.col("__k1")) & (F.col("__d2") == F.col("__k2"))
+    return keyed.join(keep, same, "left_semi").dropDuplicates([id_col, "__d1", "__d2"]).drop("__d1", "__d2")
 
 
 def hex_fingerprints(clustered: DataFrame) -> DataFrame:

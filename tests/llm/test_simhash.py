@@ -180,3 +180,11 @@ def test_near_groups_are_those_of_the_similarity_alone(spark):
     want = brute_groups(rows)
     got = {r["doc_id"]: r["group_id"] for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want
+
+
+def test_near_dedup_keeps_different_texts_under_null_or_repeated_ids(spark):
+    texts = [" ".join(f"{x}{k}" for k in range(60)) for x in "abcde"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1] + " more"), (1, texts[2]), (5, texts[2]), (5, texts[3]), (5, texts[3]), (5, texts[4])]
+    got = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = sorted((str(r["doc_id"]), r["text"][:2]) for r in got)
+    assert kept == [("1", "c0"), ("5", "d0"), ("5", "e0"), ("None", "a0"), ("None", "b0")]
