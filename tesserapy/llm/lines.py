@@ -11,68 +11,82 @@ occurrences is one that adaptive execution splits.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 WINDOW = 3
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The documents with a 128-bit key of id and text."""
-    one, two = F.xxhash64(F.col(id_col), F.col(text_col)), F.xxhash64(F.lit("b"), F.col(text_col), F.col(id_col))
-    return docs.withColumn("__k1", one).withColumn("__k2", two)
+def _keys(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """A 128-bit key of id and text."""
+    return F.xxhash64(F.col(id_col), F.col(text_col)), F.xxhash64(F.lit("b"), F.col(text_col), F.col(id_col))
 
 
 def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """Start positions (from 0) of repeated windows: __k1, __k2, starts array<int>."""
-    lines = F.split(F.col(text_col), "\n", -1)
-    keyed = _keyed(docs.select(id_col, text_col), id_col, text_col).select(F.col(id_col).alias("__id"), "__k1", "__k2", lines.alias("__lines"))
-    keyed = keyed.where(F.size("__lines") >= window)
+    """Start positions (from 0, ascending) of repeated windows: k1, k2, starts array<int>."""
+    one, two = _keys(id_col, text_col)
+    keyed = docs.select(F.col(id_col).alias("id"), one.alias("k1"), two.alias("k2"), F.split(F.col(text_col), "\n", -1).alias("lines"))
+    keyed = keyed.where(F.size("lines") >= window)
     hashed = keyed.select(
-        "__id", "__k1", "__k2",
-        F.transform("__lines", lambda x: F.xxhash64(x)).alias("__a"),
-        F.transform("__lines", lambda x: F.xxhash64(F.lit("b"), x)).alias("__b"),
+        "id", "k1", "k2",
+        F.transform("lines", lambda x: F.xxhash64(x)).alias("x"),
+        F.transform("lines", lambda x: F.xxhash64(F.lit("b"), x)).alias("y"),
     )
     at = lambda name, i, k: F.get(F.col(name), i + F.lit(k))
     windows = F.transform(
-        F.sequence(F.lit(0), F.size("__a") - window),
+        F.sequence(F.lit(0), F.size("x") - window),
         lambda i: F.struct(
             i.alias("pos"),
-            F.xxhash64(*[at("__a", i, k) for k in range(window)]).alias("a"),
-            F.xxhash64(*[at("__b", i, k) for k in range(window)]).alias("b"),
+            F.xxhash64(*[at("x", i, k) for k in range(window)]).alias("a"),
+            F.xxhash64(*[at("y", i, k) for k in range(window)]).alias("b"),
         ),
     )
-    found = hashed.select("__id", "__k1", "__k2", F.inline(windows))
-    place = F.struct("__id", "__k1", "__k2", "pos")
-    first = found.groupBy("a", "b").agg(F.count("*").alias("__n"), F.min(place).alias("__first")).where("__n > 1")
-    first = first.select(F.col("a").alias("__fa"), F.col("b").alias("__fb"), "__first")
-    later = found.join(first, (F.col("a") == F.col("__fa")) & (F.col("b") == F.col("__fb"))).where(~place.eqNullSafe(F.col("__first")))
-    return later.groupBy("__k1", "__k2").agg(F.collect_set("pos").alias("starts"))
+    found = hashed.select("id", "k1", "k2", F.inline(windows))
+    place = F.struct("id", "k1", "k2", "pos")
+    first = found.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
+    first = first.select(F.col("a").alias("fa"), F.col("b").alias("fb"), "first")
+    later = found.join(first, (F.col("a") == F.col("fa")) & (F.col("b") == F.col("fb"))).where(~place.eqNullSafe(F.col("first")))
+    return later.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("pos")).alias("starts"))
+
+
+def _kept(starts: Column, n: Column, window: int) -> Column:
+    """A flag for each of n lines: true outside the windows at the (ascending) starts.
+
+    Each window gives its flags up to the next start; what follows a window that
+    ends before that start stays. So the flags cost as much as there are lines.
+    """
+    after = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(n))
+    runs = F.zip_with(starts, after, lambda s, t: F.concat(F.array_repeat(F.lit(False), F.least(F.lit(window), t - s)), F.array_repeat(F.lit(True), F.greatest(F.lit(0), t - s - window))))
+    return F.concat(F.array_repeat(F.lit(True), F.get(starts, F.lit(0))), F.flatten(runs))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, counts: bool = True) -> DataFrame:
     """The documents with repeated windows cut from the text, and n_lines, n_removed.
 
     Lines end at ``\\n``. Texts of fewer lines than the window, empty texts and
     null texts stay as they are (null: 0 lines). Rows that agree in id and text
     are one document, read alike: all of them keep or lose the same lines, and
-    the windows within them count once for each row. A text that loses every
-    line is empty. Other columns pass through unchanged.
+    the windows within them count once for each row; null ids come first. A text
+    that loses every line is empty. A text is one row however long it is, and
+    costs time in proportion to its lines. No documents: no rows. The documents'
+    other columns pass through unchanged, whatever their names; a count whose
+    name they have gets underscores after it. Without ``counts`` there are none.
     """
-    starts = covered(docs, id_col, text_col, window).select(F.col("__k1").alias("__s1"), F.col("__k2").alias("__s2"), F.col("starts").alias("__starts"))
-    keyed = _keyed(docs, id_col, text_col)
-    joined = keyed.join(starts, (F.col("__k1") == F.col("__s1")) & (F.col("__k2") == F.col("__s2")), "left")
+    k1, k2, s1, s2, at, n, gone = fresh(docs, "k1", "k2", "s1", "s2", "starts", "n_lines", "n_removed")
+    starts = covered(docs, id_col, text_col, window).select(F.col("k1").alias(s1), F.col("k2").alias(s2), F.col("starts").alias(at))
+    one, two = _keys(id_col, text_col)
+    keyed = docs.withColumns({k1: one, k2: two})
+    joined = keyed.join(starts, (F.col(k1) == F.col(s1)) & (F.col(k2) == F.col(s2)), "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    cover = F.flatten(F.transform("__starts", lambda s: F.sequence(s, s + F.lit(window - 1))))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), cover)
-    text = F.when(F.col("__starts").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    joined = joined.withColumn("n_lines", F.coalesce(F.size(lines).cast("long"), F.lit(0).cast("long")))
-    joined = joined.withColumn("n_lines", F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(F.col("n_lines")))
-    joined = joined.withColumn("n_removed", F.coalesce(F.size(F.array_distinct(cover)).cast("long"), F.lit(0).cast("long")))
-    joined = joined.withColumn("n_removed", F.when(F.col("__starts").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_removed")))
-    joined = joined.withColumn("__text", text)
-    others = [c for c in docs.columns if c not in (text_col, "n_lines", "n_removed")]
-    return joined.select(*others, F.col("__text").alias(text_col), "n_lines", "n_removed")
+    flags = _kept(F.col(at), F.size(lines), window)
+    # The texts are cut as an argument, once, and not again for each line.
+    text = F.when(F.col(at).isNull(), F.col(text_col)).otherwise(F.array_join(F.zip_with(lines, flags, lambda x, keep: F.when(keep, x)), "\n"))
+    size = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long")
+    lost = F.aggregate(flags, F.lit(0).cast("long"), lambda x, keep: x + F.when(keep, 0).otherwise(1))
+    others = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    return joined.select(*others, *([size.alias(n), F.coalesce(lost, F.lit(0).cast("long")).alias(gone)] if counts else []))
 
 
 LINES_SQL = r"""
