@@ -1,61 +1,123 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages (windows of words) are weighted by TF-IDF over hashed words, with the
-document frequencies of the whole corpus; a word counts once in a passage. A
-randomised SVD of the benchmark's passages, whose products with the passage
-matrix are summed over tasks, gives a latent basis. Every window of every
+document frequencies of the whole corpus. A randomised SVD of the benchmark's
+passages, whose products with the passage matrix are summed over tasks, gives a
+latent basis of fewer dimensions than there are passages. Every window of every
 document is projected and compared with every passage by cosine; a candidate
-reaches half of the passage's own score. It is kept if the longest common
-subsequence of its words with the item covers nearly all of the item, or half of
+reaches a fifth of the passage's own score, which is loose on purpose: the check
+that follows decides. It takes an item for found if the longest common
+subsequence of its words with the text covers nearly all of the item, or half of
 it together with the item's answer (its last words): a paraphrase.
 
+A window is projected only if it can reach the score at all: each word of the
+basis has a largest part in any passage's score, and the sum of these parts
+bounds the window's scores from above.
+
+Items of few words have no subsequence to speak of; they are found where their
+words stand one after the other, and those of very few words where they make a
+line of their own.
+
 The benchmark is a query set: it is taken in blocks of bounded size, each block
-with its own basis and against all rows.
+with its own basis and against all rows. A worker holds one block at a time.
 """
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
+from .common import fresh
 
 BUCKETS = 1 << 17
-RANK, OVERSAMPLE = 128, 16
+#: Dimensions of a block's basis as a share of its passages, and at most.
+RANK_SHARE, RANK, OVERSAMPLE = 0.65, 256, 16
 #: Words of a window: STRIDE times STRIDES.
 STRIDE, STRIDES = 8, 3
-#: Items that one pass over the corpus looks for, about.
-ITEMS = 1024
+#: Items of a block, about.
+ITEMS = 192
 #: Share of a passage's own score from which a window is a candidate.
-NEAR = 0.5
-#: Share of a window's squared weight that words of the benchmark must hold; half
-#: of the shortest items' words hold more.
-HELD = 0.15
+NEAR = 0.2
 COPY, PARAPHRASE = 0.8, 0.5
 ANSWER, ANSWER_HOLD = 6, 0.8
-#: Items of fewer words are not looked for.
-LEAST = 8
+#: Items of fewer words are found word for word, and of still fewer as whole lines.
+LEAST, LINE = 8, 4
 #: Cosines held at once, and words.
 CELLS, WORDS = 1 << 22, 1 << 18
 
+#: Code point ranges (first, last) of scripts without blanks between words.
+ALONE = (
+    (0xE00, 0xE7F), (0xE80, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x31F0, 0x31FF),
+    (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9D), (0x20000, 0x323AF),
+)
+
+
+@lru_cache(maxsize=1)
+def _folded() -> np.ndarray:
+    """Lower-case form of what words are made of (letters, digits, marks on them); else 0."""
+    out = ta.lowered().copy()
+    for c in range(sys.maxunicode + 1):
+        if unicodedata.category(chr(c))[0] in "NM":
+            out[c] = c
+    return out
+
+
+@lru_cache(maxsize=1)
+def _alone() -> np.ndarray:
+    out = np.zeros(sys.maxunicode + 1, bool)
+    for a, b in ALONE:
+        out[a : b + 1] = True
+    return out
+
+
+@dataclass
+class Words:
+    """Words of a chunk of texts: hash, text, and whether it begins or ends a line."""
 
-def words_of(codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and text of each word: lower-cased runs of letters."""
-    low = ta.lowered()[codes]
-    start, end = ta.runs(low > 0, bounds)
-    return ta.run_hashes(low, start, end), np.searchsorted(bounds, start, "right") - 1
+    hash: np.ndarray
+    doc: np.ndarray
+    begins: np.ndarray
+    ends: np.ndarray
 
 
-def windows(doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First word of each stride; text, first stride and strides of each window.
+def words_of(codes: np.ndarray, bounds: np.ndarray) -> Words:
+    """Words are runs of letters, digits and their marks, in lower case.
 
-    Windows begin at every stride of a text; the last ones are shorter.
+    In scripts that put no blanks between words each character is one.
+    """
+    n = len(codes)
+    if not n:
+        return Words(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, bool))
+    low, alone = _folded()[codes], _alone()[codes]
+    flags = low > 0
+    apart = np.zeros(n + 1, bool)
+    apart[bounds[:-1][bounds[:-1] < n]] = True
+    apart[1:n] |= alone[1:] | alone[:-1]
+    start, end = flags.copy(), flags.copy()
+    start[1:] &= ~flags[:-1] | apart[1:n]
+    end[:-1] &= ~flags[1:] | apart[1:n]
+    start, end = np.flatnonzero(start), np.flatnonzero(end) + 1
+    doc = np.searchsorted(bounds, start, "right") - 1
+    line = np.cumsum(codes == 10)[start]
+    new = np.ones(len(start) + 1, bool)
+    new[1:-1] = (line[1:] != line[:-1]) | (doc[1:] != doc[:-1])
+    return Words(ta.run_hashes(low, start, end), doc, new[:-1], new[1:])
+
+
+def windows(doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word of each stride, and text and first stride of each window.
+
+    Windows begin at every stride of a text; those that only shorten the one
+    before are left out.
     """
     count = np.bincount(doc, minlength=n_docs)
     strides = -(-count // STRIDE)
@@ -63,18 +125,8 @@ def windows(doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.nd
     owner = np.repeat(np.arange(n_docs), strides)
     first = np.cumsum(strides) - strides
     step = np.arange(len(owner)) - first[owner]
-    last = step + STRIDES - 1 >= strides[owner]
-    # Windows that only shorten the one before are left out.
-    keep = ~last | (step == np.maximum(strides[owner] - STRIDES, 0))
-    return begin[owner] + step * STRIDE, owner[keep], np.flatnonzero(keep), np.minimum(STRIDES, strides[owner] - step)[keep]
-
-
-def first_uses(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Which words do not repeat one of the words of a window before them."""
-    out = np.ones(len(hashes), bool)
-    for d in range(1, min(STRIDE * STRIDES, len(hashes))):
-        out[d:] &= (hashes[d:] != hashes[:-d]) | (doc[d:] != doc[:-d])
-    return out
+    keep = (step + STRIDES <= strides[owner]) | (step == 0)
+    return begin[owner] + step * STRIDE, owner[keep], np.flatnonzero(keep)
 
 
 def over_windows(parts: np.ndarray, owner_of_stride: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -87,11 +139,17 @@ def over_windows(parts: np.ndarray, owner_of_stride: np.ndarray, first: np.ndarr
     return out
 
 
-def lcs(a: list[int], b: list[int]) -> int:
+def places(words: list[int]) -> dict[int, int]:
+    """For each word a number with a bit for each of its places."""
+    out: dict[int, int] = {}
+    for k, x in enumerate(words):
+        out[x] = out.get(x, 0) | (1 << k)
+    return out
+
+
+def lcs(a: list[int], b: list[int], where: dict[int, int] | None = None) -> int:
     """Length of the longest common subsequence, by bits of one large integer."""
-    where: dict[int, int] = {}
-    for k, x in enumerate(a):
-        where[x] = where.get(x, 0) | (1 << k)
+    where = places(a) if where is None else where
     full = (1 << len(a)) - 1
     row = full
     for x in b:
@@ -108,15 +166,6 @@ class Basis:
 
     row: np.ndarray  # bucket -> row
     table: np.ndarray
-    idf: np.ndarray
-
-    def weights(self, hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, squared weight, and squared weight within the basis, of each word."""
-        bucket = (hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
-        row = self.row[bucket]
-        square = np.where(first_uses(hashes, doc), self.idf[bucket] ** 2, np.float32(0))
-        row = np.where(square > 0, row, len(self.table) - 1)
-        return row, square, np.where(row < len(self.table) - 1, square, np.float32(0))
 
 
 @dataclass
@@ -125,10 +174,13 @@ class Passages:
 
     item: np.ndarray  # passage -> item
     at: np.ndarray  # passage -> its first word in the item
-    vector: np.ndarray  # passages x rank, unit length
+    vector: np.ndarray  # passages x rank: unit length over the passage's own score
     own: np.ndarray  # passage -> its score against itself
+    most: np.ndarray  # row of the basis -> its largest part in any passage's score
     ids: list
     words: list[list[int]]  # item -> hashes of its words
+    where: list[tuple[dict, dict]]  # item -> places of its words, and of its answer's
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # words -> sorted hashes of items so short, and the items
     basis: Basis
 
 
@@ -144,73 +196,103 @@ def passages_of(words: list[list[int]]) -> tuple[list[list[int]], list[int], lis
     return out, item, at
 
 
-def verdict(item: list[int], doc: np.ndarray, at: int) -> tuple[float, str] | None:
+def verdict(item: list[int], doc: np.ndarray, at: int, where: tuple[dict, dict] | None = None) -> tuple[float, str] | None:
     """Share of an item's words found in order near a place, and the kind of match."""
-    slack = max(STRIDE, len(item) // 4)
+    slack = max(STRIDE * STRIDES // 2, len(item) // 4)
     near = doc[max(0, at - slack) : at + len(item) + slack].tolist()
-    share = lcs(item, near) / len(item)
+    answer = item[-ANSWER:]
+    whole, last = where or (places(item), places(answer))
+    share = lcs(item, near, whole) / len(item)
     if share >= COPY:
         return share, "copy"
-    answer = item[-ANSWER:]
-    if share >= PARAPHRASE and lcs(answer, near) >= ANSWER_HOLD * len(answer):
+    if share >= PARAPHRASE and lcs(answer, near, last) >= ANSWER_HOLD * len(answer):
         return share, "paraphrase"
     return None
 
 
-def _row_sums(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sum of the table's rows named in each row; the table's last row is zero."""
-    rows = np.sort(rows, axis=1)
-    count = (rows < len(table) - 1).sum(axis=1)
-    order = np.argsort(-count, kind="stable")
-    rows, count = rows[order], count[order]
-    total = np.zeros((len(rows), table.shape[1]), np.float32)
-    for k in range(int(count[0]) if len(count) else 0):
-        m = int(np.searchsorted(-count, -k, "left"))
-        total[:m] += table[rows[:m, k]]
-    out = np.empty_like(total)
-    out[order] = total
+def run_of(hashes: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each n consecutive words."""
+    out = np.full(max(0, len(hashes) - n + 1), n, np.uint64)
+    for d in range(n):
+        out = ta.mix(out + hashes[d : d + len(out)])
     return out
 
 
-def search(texts: list[str | None], p: Passages, near: float = NEAR) -> list[tuple | None]:
-    """For each text: (item_id, similarity, kind, items found), or None."""
+def _short_hits(w: Words, p: Passages) -> Iterator[tuple[int, int]]:
+    """(text, item) of the short items that stand in the texts."""
+    for n, (known, item) in p.short.items():
+        here = run_of(w.hash, n)
+        if not len(here):
+            continue
+        ok = w.doc[: len(here)] == w.doc[n - 1 :]
+        if n < LINE:
+            ok &= w.begins[: len(here)] & w.ends[n - 1 :]
+        for x in np.flatnonzero(ok & np.isin(here, known)).tolist():
+            for k in range(int(np.searchsorted(known, here[x], "left")), int(np.searchsorted(known, here[x], "right"))):
+                yield int(w.doc[x]), int(item[k])
+
+
+def _long_hits(w: Words, p: Passages, idf: np.ndarray, begin: np.ndarray, n_docs: int, near: float) -> Iterator[tuple[int, int, int]]:
+    """(text, item, place) of the candidates."""
+    none = len(p.basis.table) - 1
+    stride_at, owner, first = windows(w.doc, n_docs)
+    of_stride = w.doc[stride_at]
+    bucket = (w.hash & np.uint64(BUCKETS - 1)).astype(np.int64)
+    row = p.basis.row[bucket]
+    norm = np.sqrt(over_windows(np.add.reduceat(idf[bucket] ** 2, stride_at), of_stride, first))
+    bound = over_windows(np.add.reduceat(p.most[row], stride_at), of_stride, first)
+    alive = np.flatnonzero(bound >= near * norm)
+    step = max(1, min(CELLS // len(p.item), WORDS // (STRIDE * STRIDES)))
+    for a in range(0, len(alive), step):
+        some = alive[a : a + step]
+        # Rows of the basis are summed over each stride that a window of these holds.
+        lo, hi = first[some[0]], min(first[some[-1]] + STRIDES, len(stride_at))
+        used = np.zeros(hi - lo + STRIDES, bool)
+        for d in range(STRIDES):
+            used[first[some] - lo + d] = True
+        used = used[: hi - lo]
+        stop = np.append(stride_at[lo + 1 : hi], stride_at[hi] if hi < len(stride_at) else len(row))
+        size = (stop - stride_at[lo:hi])[used]
+        at = np.cumsum(size) - size
+        word = np.arange(int(size.sum())) - np.repeat(at, size) + np.repeat(stride_at[lo:hi][used], size)
+        known = np.flatnonzero(row[word] < none)
+        sums = np.zeros((len(size), p.vector.shape[1]), np.float32)
+        if len(known):
+            stride = np.repeat(np.arange(len(size)), size)[known]
+            heads = np.flatnonzero(np.append(True, stride[1:] != stride[:-1]))
+            sums[stride[heads]] = np.add.reduceat(p.basis.table[row[word[known]]], heads, axis=0)
+        place = np.cumsum(used) - 1
+        v = over_windows(sums, of_stride[lo:hi][used], place[first[some] - lo])
+        hit = v @ p.vector.T >= near * norm[some][:, None]
+        x, j = np.nonzero(hit)
+        d = owner[some[x]]
+        found = np.unique(np.stack([d, p.item[j], stride_at[first[some[x]]] - begin[d] - p.at[j]]), axis=1)
+        yield from zip(*found.tolist(), strict=True)
+
+
+def search(texts: list[str | None], blocks: list, idf: np.ndarray, near: float = NEAR) -> list[tuple | None]:
+    """For each text: (item_id, similarity, kind, items found), or None.
+
+    blocks: what holds Passages as ``value``; of several, one is held at a time.
+    """
     out: list[tuple | None] = [None] * len(texts)
-    if not len(p.item):
-        return out
     for k, end, codes, bounds in ta.chunks(texts):
-        hashes, doc = words_of(codes, bounds) if len(codes) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        if not len(hashes):
+        w = words_of(codes, bounds)
+        if not len(w.hash):
             continue
-        stride_at, owner, first, _ = windows(doc, end - k)
-        row, square, inside = p.basis.weights(hashes, doc)
-        of_stride = doc[stride_at]
-        norm = over_windows(np.add.reduceat(square, stride_at), of_stride, first)
-        held = over_windows(np.add.reduceat(inside, stride_at), of_stride, first)
-        alive = np.flatnonzero((held > 0) & (held >= HELD * norm))
-        begin = np.searchsorted(doc, np.arange(end - k + 1))
-        found: dict[tuple[int, int], list[int]] = {}
-        step = max(1, min(CELLS // len(p.item), WORDS // (STRIDE * STRIDES)))
-        for a in range(0, len(alive), step):
-            w = alive[a : a + step]
-            at = stride_at[first[w]]
-            word = np.minimum(at[:, None] + np.arange(STRIDE * STRIDES), len(row) - 1)
-            rows = np.where(doc[word] == doc[at][:, None], row[word], len(p.basis.table) - 1)
-            rows[:, 1:][word[:, 1:] == word[:, :-1]] = len(p.basis.table) - 1
-            v = _row_sums(p.basis.table, rows)
-            # No cosine is above the share of the window that the basis holds.
-            far = (v * v).sum(axis=1) < (near * p.own.min()) ** 2 * norm[w]
-            v, w, at = v[~far], w[~far], at[~far]
-            hit = (v @ p.vector.T) >= near * np.sqrt(norm[w])[:, None] * p.own
-            for x, j in zip(*np.nonzero(hit), strict=True):
-                d = int(owner[w[x]])
-                found.setdefault((d, int(p.item[j])), []).append(int(at[x] - begin[d]) - int(p.at[j]))
+        begin = np.searchsorted(w.doc, np.arange(end - k + 1))
         best: dict[int, list[tuple]] = {}
-        for (d, i), places in found.items():
-            own = hashes[begin[d] : begin[d + 1]]
-            judged = [x for x in (verdict(p.words[i], own, a) for a in dict.fromkeys(places)) if x]
-            if judged:
-                share, kind = max(judged)
+        for block in blocks:
+            p = block.value
+            judged: dict[tuple[int, int], tuple[float, str]] = {pair: (1.0, "copy") for pair in _short_hits(w, p)}
+            for d, i, at in _long_hits(w, p, idf, begin, end - k, near) if len(p.item) else ():
+                got = verdict(p.words[i], w.hash[begin[d] : begin[d + 1]], at, p.where[i])
+                if got and got > judged.get((d, i), (0.0, "")):
+                    judged[d, i] = got
+            for (d, i), (share, kind) in judged.items():
                 best.setdefault(d, []).append((-share, p.ids[i], kind))
+            if len(blocks) > 1:
+                block.__dict__.pop("_value", None)
         for d, items in best.items():
             share, item, kind = min(items)
             out[k + d] = (item, -share, kind, len(items))
@@ -225,9 +307,9 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
         for pdf in frames:
             texts = pdf["__text"].tolist()
             n += len(texts)
-            for k, end, codes, bounds in ta.chunks(texts):
-                hashes, doc = words_of(codes, bounds)
-                cell = doc * BUCKETS + (hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
+            for _, _, codes, bounds in ta.chunks(texts):
+                w = words_of(codes, bounds)
+                cell = w.doc * BUCKETS + (w.hash & np.uint64(BUCKETS - 1)).astype(np.int64)
                 total += np.bincount(np.unique(cell) % BUCKETS, minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": np.append(at, -1), "n": np.append(total[at], n)})
@@ -242,7 +324,7 @@ def _matrix(texts: list[str | None], idf: np.ndarray) -> tuple[np.ndarray, np.nd
     """Passage, bucket and value of the cells of unit TF-IDF rows, in order of passages."""
     row, bucket, value, n = [], [], [], 0
     for words in words_by_text(texts):
-        for part in passages_of([words])[0]:
+        for part in passages_of([words] if len(words) >= LEAST else [])[0]:
             own = (np.array(list(dict.fromkeys(part)), np.uint64) & np.uint64(BUCKETS - 1)).astype(np.int64)
             if len(own):
                 row.append(np.full(len(own), n))
@@ -257,20 +339,21 @@ def _matrix(texts: list[str | None], idf: np.ndarray) -> tuple[np.ndarray, np.nd
 def words_by_text(texts: list[str | None]) -> list[list[int]]:
     out: list[list[int]] = []
     for k, end, codes, bounds in ta.chunks(texts):
-        hashes, doc = words_of(codes, bounds) if len(codes) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        at = np.searchsorted(doc, np.arange(end - k + 1))
-        out += [hashes[a:b].tolist() for a, b in zip(at, at[1:], strict=False)]
+        w = words_of(codes, bounds)
+        at = np.searchsorted(w.doc, np.arange(end - k + 1))
+        out += [w.hash[a:b].tolist() for a, b in zip(at, at[1:], strict=False)]
     return out
 
 
-def latent_basis(items: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 5) -> Basis:
+def latent_basis(items: DataFrame, idf: np.ndarray, share: float = RANK_SHARE, most: int = RANK, seed: int = 5) -> Basis:
     """The right singular vectors of the TF-IDF passages of the items' texts.
 
     items: one column ``text``, a block of the benchmark. With a random X, the
     product A'(A X), and with an orthonormal Q of its range the Gram matrix of
-    A Q, are each made in parts by tasks and added up.
+    A Q, are each made in parts by tasks and added up. The rank is a share of the
+    number of passages, so that the basis always has fewer dimensions than they.
     """
-    spark, width = items.sparkSession, rank + OVERSAMPLE
+    spark, width = items.sparkSession, most + OVERSAMPLE
     start = np.random.default_rng(seed).normal(size=(BUCKETS, width)).astype(np.float32)
     shared = spark.sparkContext.broadcast((start, idf))
 
@@ -283,9 +366,10 @@ def latent_basis(items: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int
                 own, place = np.unique(bucket, return_inverse=True)
                 total = np.zeros((len(own), width), np.float32)
                 np.add.at(total, place, y[row] * value[:, None])
-                yield pd.DataFrame({"bucket": [own.tobytes()], "part": [total.tobytes()]})
+                yield pd.DataFrame({"n": [int(row[-1]) + 1], "bucket": [own.tobytes()], "part": [total.tobytes()]})
 
-    parts = items.mapInPandas(range_of, "bucket binary, part binary").collect()
+    parts = items.mapInPandas(range_of, "n long, bucket binary, part binary").collect()
+    rank = min(most, int(np.ceil(share * sum(r["n"] for r in parts))))
     used = np.unique(np.concatenate([np.frombuffer(r["bucket"], np.int64) for r in parts])) if parts else np.zeros(0, np.int64)
     row = np.full(BUCKETS, len(used), np.int64)
     row[used] = np.arange(len(used))
@@ -293,7 +377,7 @@ def latent_basis(items: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int
     for r in parts:
         total[row[np.frombuffer(r["bucket"], np.int64)]] += np.frombuffer(r["part"], np.float32).reshape(-1, width)
     if not len(used):
-        return Basis(row, np.zeros((1, rank), np.float32), idf)
+        return Basis(row, np.zeros((1, 1), np.float32))
     q = np.linalg.qr(total)[0]
     second = spark.sparkContext.broadcast((q, row, idf))
 
@@ -309,76 +393,90 @@ def latent_basis(items: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int
     value, vector = np.linalg.eigh(gram)
     keep = np.argsort(-value)[:rank]
     table = (q @ vector[:, keep] * idf[used][:, None]).astype(np.float32)
-    return Basis(row, np.concatenate([table, np.zeros((1, len(keep)), np.float32)]), idf)
+    return Basis(row, np.concatenate([table, np.zeros((1, len(keep)), np.float32)]))
 
 
-def prepare(rows: list, basis: Basis) -> Passages:
-    """Passages of (item_id, text) rows; items under LEAST words are left out."""
-    kept = [(item, w) for (item, _), w in zip(rows, words_by_text([t for _, t in rows]), strict=True) if len(w) >= LEAST]
-    ids, words = [i for i, _ in kept], [w for _, w in kept]
-    parts, item, at = passages_of(words)
+def prepare(rows: list, basis: Basis, idf: np.ndarray) -> Passages:
+    """Passages of (item_id, text) rows; items without a word are left out."""
+    named = [(item, w) for (item, _), w in zip(rows, words_by_text([t for _, t in rows]), strict=True) if w]
+    ids, words = [i for i, _ in named], [w for _, w in named]
+    long = [k for k, w in enumerate(words) if len(w) >= LEAST]
+    parts, item, at = passages_of([words[k] for k in long])
     vector, own = np.zeros((len(parts), basis.table.shape[1]), np.float32), np.zeros(len(parts), np.float32)
     for k, part in enumerate(parts):
-        row, square, _ = basis.weights(np.array(part, np.uint64), np.zeros(len(part), np.int64))
-        v = basis.table[row].sum(axis=0)
-        length = np.sqrt((v * v).sum())
-        vector[k], own[k] = v / max(length, 1e-12), length / max(np.sqrt(square.sum()), 1e-12)
-    return Passages(np.array(item, np.int64), np.array(at, np.int64), vector, own, ids, words, basis)
+        bucket = (np.array(part, np.uint64) & np.uint64(BUCKETS - 1)).astype(np.int64)
+        v = basis.table[basis.row[bucket]].sum(axis=0)
+        length = max(np.sqrt((v * v).sum()), 1e-6)
+        own[k] = length / max(np.sqrt((idf[bucket] ** 2).sum()), 1e-6)
+        vector[k] = v / length / max(own[k], 1e-6)
+    most = np.zeros(len(basis.table), np.float32)
+    for a in range(0, len(most) if len(parts) else 0, 4096):
+        most[a : a + 4096] = np.maximum((basis.table[a : a + 4096] @ vector.T).max(axis=1), 0)
+    short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for n in sorted({len(w) for w in words if len(w) < LEAST}):
+        own_items = np.array([k for k, w in enumerate(words) if len(w) == n])
+        hashes = np.array([run_of(np.array(words[k], np.uint64), n)[0] for k in own_items], np.uint64)
+        order = np.argsort(hashes, kind="stable")
+        short[n] = hashes[order], own_items[order]
+    where = [(places(w), places(w[-ANSWER:])) for w in words]
+    return Passages(np.array(long, np.int64)[np.array(item, np.int64)], np.array(at, np.int64), vector, own, most * np.float32(1 + 1e-4), ids, words, where, short, basis)
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", into: str = "__hit", near: float = NEAR) -> DataFrame:
-    """The documents with a column struct(item_id, similarity, kind, n_items), null for clean ones.
+HIT = "struct<item_id: bigint, similarity: double, kind: string, n_items: int>"
 
-    Null and empty texts are clean. Of several items the most similar counts,
-    then the smallest id. Items with a null id or text, or under LEAST words, are
-    not looked for; without items every document is clean.
-    """
-    spark = docs.sparkSession
+
+def finder(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str, near: float):
+    """A function of a text column that gives the HIT, of null fields for clean texts; null without items."""
+    sc = docs.sparkSession.sparkContext
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).alias("text")).where("id is not null and text is not null")
-    blocks = max(1, -(-items.count() // ITEMS))
+    n_items = items.count()
+    if not n_items:
+        return None
+    n_blocks = -(-n_items // ITEMS)
     frequency, n = document_frequencies(docs, text_col)
     idf = (np.log((1 + n) / (1 + frequency)) + 0.1).astype(np.float32)
-    found = docs
-    for b in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
-        basis = latent_basis(block.select("text"), idf)
+    blocks = []
+    for b in range(n_blocks):
+        block = items.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b)
         rows = [(r["id"], r["text"]) for r in block.orderBy("id", "text").collect()]
-        # A column of its own for each block: the search must run once a row.
-        found = found.withColumn(f"__hit_{b}", _finder(spark, prepare(rows, basis), near)(F.col(text_col)))
-    best = reduce(_better, [F.col(f"__hit_{b}") for b in range(blocks)])
-    clean_hit = F.when(best["item_id"].isNotNull(), best)
-    return found.select(*docs.columns, clean_hit.alias(into))
-
-
-HIT = "struct<item_id: bigint, similarity: double, kind: string, n_items: int>"
-
-
-def _better(a: Column, b: Column) -> Column:
-    """The better of two hits; numbers of items add up."""
-    first = F.when(b["item_id"].isNull(), True).when(a["item_id"].isNull(), False).otherwise((a["similarity"] > b["similarity"]) | ((a["similarity"] == b["similarity"]) & (a["item_id"] < b["item_id"])))
-    pick = F.when(first, a).otherwise(b)
-    both = F.coalesce(a["n_items"], F.lit(0)) + F.coalesce(b["n_items"], F.lit(0))
-    return F.struct(pick["item_id"].alias("item_id"), pick["similarity"].alias("similarity"), pick["kind"].alias("kind"), both.alias("n_items"))
-
-
-def _finder(spark, passages: Passages, near: float):
-    shared = spark.sparkContext.broadcast(passages)
+        blocks.append(sc.broadcast(prepare(rows, latent_basis(block.select("text"), idf), idf)))
+    weights = sc.broadcast(idf)
 
     @F.pandas_udf(HIT)
     def find(texts: pd.Series) -> pd.DataFrame:
-        got = [x or (None, None, None, None) for x in search(texts.tolist(), shared.value, near)]
+        got = [x or (None, None, None, None) for x in search(texts.tolist(), blocks, weights.value, near)]
         out = pd.DataFrame(got, columns=["item_id", "similarity", "kind", "n_items"])
         return out.astype({"item_id": "Int64", "similarity": "float64", "n_items": "Int32"})
 
     return find.asNondeterministic()
 
 
+def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", into: str = "hit", near: float = NEAR) -> DataFrame:
+    """The documents with a column struct(item_id, similarity, kind, n_items), null for clean ones.
+
+    Null and empty texts are clean. Of several items the most similar counts,
+    then the smallest id. Items with a null id or text, or without a letter or
+    digit, are not looked for; without items every document is clean, and
+    without documents there are no rows. Whole texts are searched, in chunks of
+    bounded size (one text at least). Repeated rows are marked alike. The
+    documents' own columns stay, whatever their names: if they have one named
+    like ``into``, the new one is the last, with underscores after its name.
+    """
+    [name] = fresh(docs, into)
+    find = finder(docs, benchmark, text_col, item_col, item_text, near)
+    if find is None:
+        return docs.withColumn(name, F.lit(None).cast(HIT))
+    found = docs.withColumn(name, find(F.col(text_col)))
+    return found.withColumn(name, F.when(F.col(name)["item_id"].isNotNull(), F.col(name)))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, item_id, similarity, kind, n_items: a row for each contaminated row of the documents."""
     found = mark(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), benchmark, **options)
-    return found.where(F.col("__hit").isNotNull()).select("doc_id", "__hit.item_id", "__hit.similarity", "__hit.kind", "__hit.n_items")
+    return found.where(F.col("hit").isNotNull()).select("doc_id", "hit.item_id", "hit.similarity", "hit.kind", "hit.n_items")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The documents that hold no benchmark item, with their own columns."""
-    return mark(docs, benchmark, text_col, **options).where(F.col("__hit").isNull()).select(*docs.columns)
+    [name] = fresh(docs, "hit")
+    return mark(docs, benchmark, text_col, into=name, **options).where(F.col(name).isNull()).drop(name)
