@@ -11,8 +11,9 @@ subsequence of its words with the text covers nearly all of the item, or half of
 it together with the item's answer (its last words): a paraphrase.
 
 A window is projected only if it can reach the score at all: each word of the
-basis has a largest part in any passage's score, and the sum of these parts
-bounds the window's scores from above.
+basis has a largest part in the scores of each group of passages, and the sum of
+these parts bounds the window's scores from above. A subsequence is sought only
+if the words near the place that the item has, in any order, are enough for it.
 
 Items of few words have no subsequence to speak of; they are found where their
 words stand one after the other, and those of very few words where they make a
@@ -51,6 +52,8 @@ COPY, PARAPHRASE = 0.8, 0.5
 ANSWER, ANSWER_HOLD = 6, 0.8
 #: Items of fewer words are found word for word, and of still fewer as whole lines.
 LEAST, LINE = 8, 4
+#: Groups of passages whose scores are bounded together.
+GROUPS = 16
 #: Cosines held at once, and words.
 CELLS, WORDS = 1 << 22, 1 << 18
 
@@ -176,7 +179,9 @@ class Passages:
     at: np.ndarray  # passage -> its first word in the item
     vector: np.ndarray  # passages x rank: unit length over the passage's own score
     own: np.ndarray  # passage -> its score against itself
-    most: np.ndarray  # row of the basis -> its largest part in any passage's score
+    most: np.ndarray  # row of the basis x group -> its largest part in the score of a passage of the group
+    holds: np.ndarray  # item x row of the basis: 1 if the item has the word, and 2 more if its answer has it
+    different: np.ndarray  # item -> such rows of the item, and of its answer
     ids: list
     words: list[list[int]]  # item -> hashes of its words
     where: list[tuple[dict, dict]]  # item -> places of its words, and of its answer's
@@ -198,7 +203,7 @@ def passages_of(words: list[list[int]]) -> tuple[list[list[int]], list[int], lis
 
 def verdict(item: list[int], doc: np.ndarray, at: int, where: tuple[dict, dict] | None = None) -> tuple[float, str] | None:
     """Share of an item's words found in order near a place, and the kind of match."""
-    slack = max(STRIDE * STRIDES // 2, len(item) // 4)
+    slack = int(slack_of(len(item)))
     near = doc[max(0, at - slack) : at + len(item) + slack].tolist()
     answer = item[-ANSWER:]
     whole, last = where or (places(item), places(answer))
@@ -210,6 +215,11 @@ def verdict(item: list[int], doc: np.ndarray, at: int, where: tuple[dict, dict]
     return None
 
 
+def slack_of(size):
+    """Words before and after an item's place that are read as well."""
+    return np.maximum(STRIDE * STRIDES // 2, size // 4)
+
+
 def run_of(hashes: np.ndarray, n: int) -> np.ndarray:
     """A hash of each n consecutive words."""
     out = np.full(max(0, len(hashes) - n + 1), n, np.uint64)
@@ -240,8 +250,9 @@ def _long_hits(w: Words, p: Passages, idf: np.ndarray, begin: np.ndarray, n_docs
     bucket = (w.hash & np.uint64(BUCKETS - 1)).astype(np.int64)
     row = p.basis.row[bucket]
     norm = np.sqrt(over_windows(np.add.reduceat(idf[bucket] ** 2, stride_at), of_stride, first))
-    bound = over_windows(np.add.reduceat(p.most[row], stride_at), of_stride, first)
+    bound = over_windows(np.add.reduceat(p.most[row], stride_at, axis=0), of_stride, first).max(axis=1)
     alive = np.flatnonzero(bound >= near * norm)
+    size = np.array([len(w) for w in p.words])
     step = max(1, min(CELLS // len(p.item), WORDS // (STRIDE * STRIDES)))
     for a in range(0, len(alive), step):
         some = alive[a : a + step]
@@ -252,13 +263,13 @@ def _long_hits(w: Words, p: Passages, idf: np.ndarray, begin: np.ndarray, n_docs
             used[first[some] - lo + d] = True
         used = used[: hi - lo]
         stop = np.append(stride_at[lo + 1 : hi], stride_at[hi] if hi < len(stride_at) else len(row))
-        size = (stop - stride_at[lo:hi])[used]
-        at = np.cumsum(size) - size
-        word = np.arange(int(size.sum())) - np.repeat(at, size) + np.repeat(stride_at[lo:hi][used], size)
+        many = (stop - stride_at[lo:hi])[used]
+        at = np.cumsum(many) - many
+        word = np.arange(int(many.sum())) - np.repeat(at, many) + np.repeat(stride_at[lo:hi][used], many)
         known = np.flatnonzero(row[word] < none)
-        sums = np.zeros((len(size), p.vector.shape[1]), np.float32)
+        sums = np.zeros((len(many), p.vector.shape[1]), np.float32)
         if len(known):
-            stride = np.repeat(np.arange(len(size)), size)[known]
+            stride = np.repeat(np.arange(len(many)), many)[known]
             heads = np.flatnonzero(np.append(True, stride[1:] != stride[:-1]))
             sums[stride[heads]] = np.add.reduceat(p.basis.table[row[word[known]]], heads, axis=0)
         place = np.cumsum(used) - 1
@@ -267,7 +278,28 @@ def _long_hits(w: Words, p: Passages, idf: np.ndarray, begin: np.ndarray, n_docs
         x, j = np.nonzero(hit)
         d = owner[some[x]]
         found = np.unique(np.stack([d, p.item[j], stride_at[first[some[x]]] - begin[d] - p.at[j]]), axis=1)
-        yield from zip(*found.tolist(), strict=True)
+        yield from zip(*found[:, _enough(found, row, begin, size, p)].tolist(), strict=True)
+
+
+def _enough(found: np.ndarray, row: np.ndarray, begin: np.ndarray, size: np.ndarray, p: Passages) -> np.ndarray:
+    """Which candidates have as many of the item's words near their place as a verdict needs."""
+    ok = np.zeros(found.shape[1], bool)
+    length = size[found[1]]
+    slack = slack_of(length)
+    lo = np.maximum(begin[found[0]], begin[found[0]] + found[2] - slack)
+    hi = np.minimum(begin[found[0] + 1], begin[found[0]] + found[2] + length + slack)
+    order = np.argsort(hi - lo, kind="stable")
+    for a in range(0, len(order), 1 << 12):
+        k = order[a : a + (1 << 12)]
+        word = lo[k][:, None] + np.arange(max(0, int((hi - lo)[k].max())))
+        near = np.sort(np.where(word < hi[k][:, None], row[np.minimum(word, len(row) - 1)], len(p.basis.table) - 1), axis=1)
+        has = p.holds[found[1][k][:, None], near]
+        has[:, 1:][near[:, 1:] == near[:, :-1]] = 0
+        # What a subsequence can't hold are the different words that aren't there.
+        lost = p.different[found[1][k]] - np.stack([(has & 1).sum(axis=1), (has >> 1).sum(axis=1)], axis=1)
+        whole, answer = length[k] - lost[:, 0], ANSWER - lost[:, 1]
+        ok[k] = (whole >= COPY * length[k]) | (whole >= PARAPHRASE * length[k]) & (answer >= ANSWER_HOLD * ANSWER)
+    return ok
 
 
 def search(texts: list[str | None], blocks: list, idf: np.ndarray, near: float = NEAR) -> list[tuple | None]:
@@ -409,9 +441,17 @@ def prepare(rows: list, basis: Basis, idf: np.ndarray) -> Passages:
         length = max(np.sqrt((v * v).sum()), 1e-6)
         own[k] = length / max(np.sqrt((idf[bucket] ** 2).sum()), 1e-6)
         vector[k] = v / length / max(own[k], 1e-6)
-    most = np.zeros(len(basis.table), np.float32)
-    for a in range(0, len(most) if len(parts) else 0, 4096):
-        most[a : a + 4096] = np.maximum((basis.table[a : a + 4096] @ vector.T).max(axis=1), 0)
+    n_groups = max(1, min(GROUPS, len(parts)))
+    most = np.zeros((len(basis.table), n_groups), np.float32)
+    for g in range(n_groups if len(parts) else 0):
+        most[:, g] = np.maximum((basis.table @ vector[g::n_groups].T).max(axis=1), 0)
+    holds = np.zeros((len(words), len(basis.table)), np.uint8)
+    for k in long:
+        rows_of = basis.row[(np.array(words[k], np.uint64) & np.uint64(BUCKETS - 1)).astype(np.int64)]
+        holds[k, rows_of] = 1
+        holds[k, rows_of[-ANSWER:]] = 3
+    holds[:, -1] = 0
+    different = np.stack([(holds & 1).sum(axis=1), (holds >> 1).sum(axis=1)], axis=1).astype(np.int64)
     short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for n in sorted({len(w) for w in words if len(w) < LEAST}):
         own_items = np.array([k for k, w in enumerate(words) if len(w) == n])
@@ -419,7 +459,7 @@ def prepare(rows: list, basis: Basis, idf: np.ndarray) -> Passages:
         order = np.argsort(hashes, kind="stable")
         short[n] = hashes[order], own_items[order]
     where = [(places(w), places(w[-ANSWER:])) for w in words]
-    return Passages(np.array(long, np.int64)[np.array(item, np.int64)], np.array(at, np.int64), vector, own, most * np.float32(1 + 1e-4), ids, words, where, short, basis)
+    return Passages(np.array(long, np.int64)[np.array(item, np.int64)], np.array(at, np.int64), vector, own, most * np.float32(1 + 1e-4), holds, different, ids, words, where, short, basis)
 
 
 HIT = "struct<item_id: bigint, similarity: double, kind: string, n_items: int>"
