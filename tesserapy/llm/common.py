@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import checkpoint, shared_dir
 
-__all__ = ["WORD", "checkpoint", "fold_of", "fresh", "shared_dir", "table", "unit_hash", "word_count"]
+__all__ = ["WORD", "checkpoint", "discard", "fold_of", "fresh", "shared_dir", "table", "unit_hash", "word_count"]
 
 #: A word: a run of anything but the space and the five ASCII control blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete what was written under a path, in whatever store it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Each name, with underscores after it until no column of the frame has it."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -1,8 +1,12 @@
 """WARC writing with revisits, and reading by boundary-chain verification.
 
-Writing: payload digests are counted with partial aggregation; of equal payloads
-the smallest id is written in full and the others as revisit records. The files
-are written by Spark's own writer, so they may lie in any store.
+Writing: payload digests are counted with partial aggregation, without the
+payloads; of equal payloads the smallest id is written in full and the others as
+revisit records. The digests that repeat are folded into a table of bits of a
+fixed size, and only pages whose bit is set meet the repeated digests in a join:
+a page that shares its payload with no other never leaves its task, but for the
+few whose bit is set by chance. The files are written by Spark's own writer, so
+they may lie in any store.
 
 Reading: tasks look for the version line wherever it stands, and emit each
 candidate's offset with the offset of the record that would follow it by its
@@ -22,12 +26,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, shared_dir
+from .common import checkpoint, discard, shared_dir
 
 LEAST = 100
 FILE_BYTES = 64 << 20
-#: Repeated digests are broadcast up to so many; beyond that pages are joined by digest.
-SMALL = 50_000
+#: Bits that repeated digests are folded into, in rows of 64: a million rows are broadcast at most.
+FOLDED = 1 << 26
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
@@ -35,24 +39,30 @@ _MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 _END = b"\r\n\r\n"
 
 
-def decide(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST) -> DataFrame:
+def decide(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST, folded: int = FOLDED) -> DataFrame:
     """page_id, url, payload, digest, n_bytes, refers_to (null for responses).
 
     Null payloads are empty. Payloads under ``least`` bytes are all responses.
     Rows that repeat both id and payload are all responses; a null id is never
     referred to unless no other row has the payload, and then its copies are
-    responses too.
+    responses too. A payload is one value of a row, however long it is. No pages:
+    no rows. Other columns of the pages are left, whatever their names.
     """
     payload = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha2(payload.cast("binary"), 256).alias("digest"), F.octet_length(payload).cast("long").alias("n_bytes"))
-    short = rows.select("page_id", "digest", "n_bytes").where(F.col("n_bytes") >= least)
-    first = short.groupBy("digest").agg(F.min("page_id").alias("__first"), F.count("*").alias("__n")).where("__n > 1").withColumnRenamed("digest", "__digest")
-    first = checkpoint(first)
-    if first.count() <= SMALL:  # a row has a digest and a number
-        first = F.broadcast(first)
-    joined = rows.join(first, F.col("digest") == F.col("__digest"), "left")
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("__first")), F.col("__first"))
-    return joined.select("page_id", "url", "payload", "digest", "n_bytes", refers.alias("refers_to"))
+    long = F.col("n_bytes") >= least
+    first = rows.where(long).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = checkpoint(first.select(F.col("digest").alias("repeated"), "first"))
+    place = lambda digest: F.pmod(F.xxhash64(digest), F.lit(folded))
+    bit = lambda at: F.expr(f"shiftleft(1L, cast({at} & 63 as int))")
+    bits = first.select(place("repeated").alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(bit("at")).alias("bits"))
+    marked = rows.withColumn("at", F.when(long, place("digest"))).join(F.broadcast(bits), F.shiftright("at", 6) == F.col("word"), "left")
+    marked = marked.withColumn("several", F.coalesce(F.col("bits").bitwiseAND(bit("at")) != 0, F.lit(False)))
+    names = ["page_id", "url", "payload", "digest", "n_bytes"]
+    alone = marked.where(~F.col("several")).select(*names, F.lit(None).cast(pages.schema[id_col].dataType).alias("refers_to"))
+    joined = marked.where("several").select(*names).join(first, F.col("digest") == F.col("repeated"), "left")
+    refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
+    return alone.unionByName(joined.select(*names, refers.alias("refers_to")))
 
 
 def _record_id(key: Column) -> Column:
@@ -184,10 +194,19 @@ def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, path: str | None = None, least: int = LEAST, file_bytes: int = FILE_BYTES, **columns) -> DataFrame:
-    """Write the pages and read them back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    spark = pages.sparkSession
+    """Write the pages and read them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    A row of the pages is a row of the result, repeated rows too; null and empty
+    payloads, null URLs and ids, long payloads, and tables without rows or with
+    other columns are as in ``decide`` and ``read``. Without a path the files lie
+    in the shared folder and are deleted once they are read.
+    """
+    spark, own = pages.sparkSession, path is None
     path = path or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     html = F.col(columns.get("html_col", "html"))
     mean = pages.agg(F.avg(F.coalesce(F.octet_length(html), F.lit(0)) + 500)).first()[0]
     write(decide(pages, least=least, **columns), path, max(1, int(file_bytes / (mean or 1))))
-    return read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records = read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    if own:  # what read() returns lies in a checkpoint
+        discard(spark, path)
+    return records

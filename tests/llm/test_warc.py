@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tesserapy.llm import warc
 
@@ -59,8 +60,30 @@ def test_damage_ends_the_chain(spark, tmp_path):
     assert sorted(r["page_id"] for r in warc.read(spark, str(path)).collect()) == [0, 1]
 
 
-def test_many_repeated_digests_are_joined_instead_of_broadcast(spark, tmp_path, monkeypatch):
-    pages = spark.createDataFrame([(k, "u", f"body {k % 3} " * 30) for k in range(9)], "page_id long, url string, html string")
-    want = sorted(map(str, warc.round_trip(pages, str(tmp_path / "a")).collect()))
-    monkeypatch.setattr(warc, "SMALL", 1)
-    assert sorted(map(str, warc.round_trip(pages, str(tmp_path / "b")).collect())) == want
+def test_folded_digests_collide_without_harm(spark, tmp_path):
+    """With very few bits every page meets the join, and the result stays the same."""
+    pages = spark.createDataFrame([(k, "u", f"body {k % 40 if k < 90 else k} " * 30) for k in range(200)], "page_id long, url string, html string")
+    want = sorted(map(str, warc.decide(pages).collect()))
+    assert sum("refers_to=None" not in r for r in want) == 50
+    for bits in (64, 256):
+        assert sorted(map(str, warc.decide(pages, folded=bits).collect())) == want
+
+
+def test_very_many_repeated_digests(spark):
+    """120,000 pages, of which each payload comes twice, and a third with one payload; read back whole."""
+    n = 120000
+    body = F.when(F.col("id") % 3 == 0, F.lit("same " * 30)).otherwise(F.concat(F.lit("body "), (F.col("id") % (n // 2)).cast("string"), F.lit(" filled up to one hundred bytes " * 4)))
+    pages = spark.range(n).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), body.alias("html"))
+    got = warc.round_trip(pages)
+    kinds = {r["record_type"]: r["n"] for r in got.groupBy("record_type").agg(F.count("*").alias("n")).collect()}
+    assert kinds == {"response": 1 + 40000, "revisit": n - 40001}
+    wrong = F.when(F.col("page_id") % 3 == 0, ~F.col("refers_to").eqNullSafe(F.when(F.col("page_id") != 0, 0))).otherwise(~F.col("refers_to").eqNullSafe(F.when(F.col("page_id") >= n // 2, F.col("page_id") - n // 2)))
+    assert got.where(wrong).count() == 0
+    assert "/warc-" not in " ".join(got.inputFiles())
+
+
+def test_long_payload_and_clashing_columns(spark):
+    rows = [(1, "u", "x" * 3_000_000, 1, "a", "b", 2, 3), (2, "v", "x" * 3_000_000, 1, "a", "b", 2, 3)]
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string, digest int, payload string, first string, bits int, at int")
+    got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.round_trip(pages).collect()}
+    assert got == {1: (3000000, "response", None), 2: (3000000, "revisit", 1)}
