@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, unit_hash, word_count
+from .common import checkpoint, fresh, unit_hash, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -50,11 +50,11 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     return df.select("source", "source_size", got.alias("target"))
 
 
-def _goals(sized: DataFrame, weights, share: float, most: float) -> DataFrame:
-    """__source, source_size, target; broadcast if the table has been found small, else joined by source."""
+def _goals(sized: DataFrame, weights, share: float, most: float, names: tuple[str, str, str]) -> DataFrame:
+    """Source, size and target under the names; broadcast if the table has been found small, else joined by source."""
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goal = checkpoint(targets(per, weights, share, most).withColumnRenamed("source", "__source"))
-    size = goal.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("__source")), F.lit(0)).alias("b")).first()
+    goal = checkpoint(targets(per, weights, share, most).toDF(*names))
+    size = goal.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(names[0])), F.lit(0)).alias("b")).first()
     return F.broadcast(goal) if size["n"] <= SMALL_ROWS and size["b"] <= SMALL_BYTES else goal
 
 
@@ -71,8 +71,8 @@ def rates(
     is an ordinary one, which adaptive execution splits where skewed.
     """
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    goal = _goals(sized, weights, share, most)
-    joined = sized.join(goal, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
+    goal = _goals(sized, weights, share, most, ("goal", "source_size", "target"))
+    joined = sized.join(goal, F.col("source").eqNullSafe(F.col("goal")), "left").drop("goal")
     return joined.withColumn("copies", copies(F.col("doc_id"), F.col("target"), F.col("source_size"), seed))
 
 
@@ -87,13 +87,18 @@ def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED,
 ) -> DataFrame:
-    """The mixed corpus: the documents' own columns, each row as often as it is taken."""
+    """The mixed corpus: the documents' own columns, each row as often as it is taken.
+
+    Nulls, texts without a word, repeated rows and sources are as in ``rates``. A
+    long text is one row. Columns stay, whatever their names. No documents: no rows.
+    """
     sized = docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    goal = _goals(sized, weights, share, most).select("__source", F.col("source_size").alias("__size"), F.col("target").alias("__target"))
-    joined = docs.join(goal, F.col(source_col).eqNullSafe(F.col("__source")), "left")
-    n = copies(F.col(id_col), F.col("__target"), F.col("__size"), seed)
-    repeated = joined.withColumn("__copies", n).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-    return repeated.select(*docs.columns)
+    name, size, target, times, copy = fresh(docs, "goal", "size", "target", "times", "copy")
+    goal = _goals(sized, weights, share, most, (name, size, target))
+    joined = docs.join(goal, F.col(source_col).eqNullSafe(F.col(name)), "left")
+    n = copies(F.col(id_col), F.col(target), F.col(size), seed)
+    repeated = joined.withColumn(times, n).where(F.col(times) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
+    return repeated.drop(name, size, target, times, copy)
 
 
 def mixed_sizes(docs: DataFrame, **options) -> DataFrame:

@@ -61,3 +61,11 @@ def test_many_sources_are_joined_instead_of_broadcast(spark, monkeypatch):
     want = sorted(map(str, mixing.mixed_sizes(df).collect()))
     monkeypatch.setattr(mixing, "SMALL_ROWS", 2)
     assert sorted(map(str, mixing.mixed_sizes(df).collect())) == want
+
+
+def test_clashing_columns_and_a_long_text(spark):
+    rows = [(k, "w " * (200_000 if k == 0 else 3), "s", k, "a", 1, 2, 3, 4) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, goal int, __source string, size int, target int, times int, copy int")
+    out = mixing.mix(df, most=2.0, share=2.0)
+    assert out.columns == df.columns and out.count() == 40 and {(r["goal"], r["size"], r["copy"]) for r in out.collect()} == {(k, 1, 4) for k in range(20)}
+    assert {r["doc_id"]: r["size"] for r in mixing.mixed_sizes(df).collect()} == {k: 200_000 if k == 0 else 3 for k in range(20)}
