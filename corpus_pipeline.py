@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserapy.llm import decontam, langid, lines, mixing, simhash
-from tesserapy.llm.common import shared_dir, table
+from tesserapy.llm.common import discard, fresh, shared_dir, table
 from tesserapy.plans.shipping import ship
 
 #: Near duplicates: words of a shingle, and their similarity.
@@ -26,14 +26,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter, and those of which no language holds half."""
     ship(spark)
     label = langid.labeller(docs, langid.train(docs)).asNondeterministic()
-    found = docs.withColumn("__label", label(F.col("text")))
-    good = (F.col("__label.lang_pred") != langid.UNKNOWN) & (F.col("__label.score") >= LANGUAGE_SHARE)
+    [name] = fresh(docs, "label")
+    found = docs.withColumn(name, label(F.col("text")))
+    good = (F.col(name)["lang_pred"] != langid.UNKNOWN) & (F.col(name)["score"] >= LANGUAGE_SHARE)
     return found.where(good).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts later occurrences of repeated three-line windows; n_chars follows the text."""
-    out = lines.dedup_lines(docs)
+    out = lines.dedup_lines(docs, counts=False)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
@@ -70,10 +71,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder."""
-    docs, root = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over the documents of a folder.
+
+    A stage's table is deleted once the next one is written; the last is the result.
+    """
+    docs, root, before = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for k, (_, stage) in enumerate(STAGES):
         path = f"{root}/{k}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            discard(spark, before)
+        before = path
     return docs
