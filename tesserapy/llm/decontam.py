@@ -386,16 +386,17 @@ def latent_basis(items: DataFrame, idf: np.ndarray, share: float = RANK_SHARE, m
     number of passages, so that the basis always has fewer dimensions than they.
     """
     spark, width = items.sparkSession, most + OVERSAMPLE
-    start = np.random.default_rng(seed).normal(size=(BUCKETS, width)).astype(np.float32)
-    shared = spark.sparkContext.broadcast((start, idf))
+    shared = spark.sparkContext.broadcast(idf)
 
     def range_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x, weight = shared.value
         for pdf in frames:
-            row, bucket, value = _matrix(pdf["text"].tolist(), weight)
+            row, bucket, value = _matrix(pdf["text"].tolist(), shared.value)
             if len(row):
-                y = np.add.reduceat(x[bucket] * value[:, None], np.flatnonzero(np.diff(row, prepend=-1)), axis=0)
                 own, place = np.unique(bucket, return_inverse=True)
+                # Random signs that follow from the bucket, so that no table of them is sent.
+                cell = own.astype(np.uint64)[:, None] * np.uint64(width) + np.arange(width, dtype=np.uint64) + (np.uint64(seed) << np.uint64(40))
+                x = np.where(ta.mix(cell) >> np.uint64(63), np.float32(1), np.float32(-1))
+                y = np.add.reduceat(x[place] * value[:, None], np.flatnonzero(np.diff(row, prepend=-1)), axis=0)
                 total = np.zeros((len(own), width), np.float32)
                 np.add.at(total, place, y[row] * value[:, None])
                 yield pd.DataFrame({"n": [int(row[-1]) + 1], "bucket": [own.tobytes()], "part": [total.tobytes()]})
@@ -410,7 +411,7 @@ def latent_basis(items: DataFrame, idf: np.ndarray, share: float = RANK_SHARE, m
         total[row[np.frombuffer(r["bucket"], np.int64)]] += np.frombuffer(r["part"], np.float32).reshape(-1, width)
     if not len(used):
         return Basis(row, np.zeros((1, 1), np.float32))
-    q = np.linalg.qr(total)[0]
+    q = np.linalg.qr(total)[0].astype(np.float32)
     second = spark.sparkContext.broadcast((q, row, idf))
 
     def gram_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -419,7 +420,7 @@ def latent_basis(items: DataFrame, idf: np.ndarray, share: float = RANK_SHARE, m
             row, bucket, value = _matrix(pdf["text"].tolist(), weight)
             if len(row):
                 y = np.add.reduceat(q[place[bucket]] * value[:, None], np.flatnonzero(np.diff(row, prepend=-1)), axis=0)
-                yield pd.DataFrame({"part": [(y.T @ y).tobytes()]})
+                yield pd.DataFrame({"part": [(y.T @ y).astype(np.float64).tobytes()]})
 
     gram = sum(np.frombuffer(r["part"]).reshape(q.shape[1], q.shape[1]) for r in items.mapInPandas(gram_of, "part binary").collect())
     value, vector = np.linalg.eigh(gram)
