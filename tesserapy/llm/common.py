@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import checkpoint, shared_dir
 
-__all__ = ["WORD", "checkpoint", "discard", "fold_of", "fresh", "shared_dir", "table", "unit_hash", "word_count"]
+__all__ = ["FOLDED", "WORD", "checkpoint", "discard", "fold_of", "fresh", "parted", "shared_dir", "table", "unit_hash", "word_count"]
 
 #: A word: a run of anything but the space and the five ASCII control blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,6 +24,27 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Bits that a set of keys is folded into, in rows of 64: a million rows of two numbers at most.
+FOLDED = 1 << 26
+
+
+def parted(df: DataFrame, key: Column, keys: DataFrame, folded: int = FOLDED) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key may be among the keys, and those whose key is not; a null key never is.
+
+    key: 64-bit hashes; keys: one column of such hashes. The keys set bits of a
+    table of a fixed size, which is broadcast whatever their number. So rows that
+    need no join with what stands behind the keys are told without a shuffle.
+    """
+    [name] = keys.columns
+    place = F.pmod(F.col(name), F.lit(folded))
+    at, word, bits = fresh(df, "at", "word", "bits")
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(63).cast("int"))
+    table = keys.select(place.alias(at)).groupBy(F.shiftright(at, 6).alias(word)).agg(F.bit_or(bit(F.col(at))).alias(bits))
+    marked = df.withColumn(at, F.pmod(key, F.lit(folded))).join(F.broadcast(table), F.shiftright(at, 6) == F.col(word), "left")
+    has = F.coalesce(F.col(bits).bitwiseAND(bit(F.col(at))) != 0, F.lit(False))
+    return marked.where(has).drop(at, word, bits), marked.where(~has).drop(at, word, bits)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Each name, with underscores after it until no column of the frame has it."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -26,12 +26,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, discard, shared_dir
+from .common import FOLDED, checkpoint, discard, parted, shared_dir
 
 LEAST = 100
 FILE_BYTES = 64 << 20
-#: Bits that repeated digests are folded into, in rows of 64: a million rows are broadcast at most.
-FOLDED = 1 << 26
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
@@ -53,16 +51,12 @@ def decide(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     long = F.col("n_bytes") >= least
     first = rows.where(long).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     first = checkpoint(first.select(F.col("digest").alias("repeated"), "first"))
-    place = lambda digest: F.pmod(F.xxhash64(digest), F.lit(folded))
-    bit = lambda at: F.expr(f"shiftleft(1L, cast({at} & 63 as int))")
-    bits = first.select(place("repeated").alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(bit("at")).alias("bits"))
-    marked = rows.withColumn("at", F.when(long, place("digest"))).join(F.broadcast(bits), F.shiftright("at", 6) == F.col("word"), "left")
-    marked = marked.withColumn("several", F.coalesce(F.col("bits").bitwiseAND(bit("at")) != 0, F.lit(False)))
-    names = ["page_id", "url", "payload", "digest", "n_bytes"]
-    alone = marked.where(~F.col("several")).select(*names, F.lit(None).cast(pages.schema[id_col].dataType).alias("refers_to"))
-    joined = marked.where("several").select(*names).join(first, F.col("digest") == F.col("repeated"), "left")
+    key = F.when(long, F.xxhash64("digest"))
+    several, alone = parted(rows, key, first.select(F.xxhash64("repeated").alias("key")), folded)
+    joined = several.join(first, F.col("digest") == F.col("repeated"), "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return alone.unionByName(joined.select(*names, refers.alias("refers_to")))
+    alone = alone.withColumn("refers_to", F.lit(None).cast(pages.schema[id_col].dataType))
+    return alone.unionByName(joined.select(*rows.columns, refers.alias("refers_to")))
 
 
 def _record_id(key: Column) -> Column:

@@ -1,9 +1,10 @@
 """The pipeline's stages against brute force, and what they keep."""
 
 import importlib
+import re
 
 import corpus_pipeline as cp
-from tesserapy.llm import langid, simhash
+from tesserapy.llm import langid
 
 
 def stage(spark, tmp_path, name, docs, sf_dir):
@@ -25,16 +26,21 @@ def brute_lines(rows):
 
 
 def brute_near(rows):
-    """Smallest ids of the groups over all pairs: near by a fingerprint, and alike by shingles."""
-    text = {r["doc_id"]: r["text"] for r in rows}
-    fps = {i: [simhash.word_fingerprint(t, seed) for seed in simhash.SEEDS] for i, t in text.items()}
-    ids = sorted(fps)
+    """Smallest ids of the groups over all pairs, by their shingles alone."""
+    sets = {}
+    for r in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in r["text"]))
+        sets[r["doc_id"]] = {tuple(words[k : k + cp.SHINGLE]) for k in range(max(1, len(words) - cp.SHINGLE + 1))} if words else set()
+    ids, holders = sorted(sets), {}
     home = {i: i for i in ids}
-    for k, a in enumerate(ids):
-        for b in ids[k + 1 :]:
-            if any((x ^ y).bit_count() <= simhash.RADIUS for x, y in zip(fps[a], fps[b], strict=True)) and simhash.jaccard(text[a], text[b], cp.SHINGLE) >= cp.SIMILARITY:
-                x, y = sorted((home[a], home[b]))
-                home = {i: x if h == y else h for i, h in home.items()}
+    for a in ids:
+        for x in sets[a] or {()}:
+            holders.setdefault(x, []).append(a)
+    for a, b in {(a, b) for found in holders.values() for k, a in enumerate(found) for b in found[k + 1 :]}:
+        both = len(sets[a] & sets[b])
+        if both >= cp.SIMILARITY * (len(sets[a]) + len(sets[b]) - both):
+            x, y = sorted((home[a], home[b]))
+            home = {i: x if h == y else h for i, h in home.items()}
     return {i for i in ids if home[i] == i}
 
 

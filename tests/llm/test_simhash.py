@@ -188,3 +188,34 @@ def test_near_dedup_keeps_different_texts_under_null_or_repeated_ids(spark):
     got = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     kept = sorted((str(r["doc_id"]), r["text"][:2]) for r in got)
     assert kept == [("1", "c0"), ("5", "d0"), ("5", "e0"), ("None", "a0"), ("None", "b0")]
+
+
+def test_near_dedup_keeps_clashing_columns(spark):
+    text = " ".join(f"w{k}" for k in range(50))
+    df = spark.createDataFrame([(1, text, 7, "a", "b", 8), (2, text, 9, "c", "d", 10), (3, None, 1, "e", "f", 2)], "doc_id long, text string, k1 int, d1 string, __k1 string, id int")
+    out = simhash.near_dedup(df)
+    assert out.columns == df.columns and sorted((r["doc_id"], r["k1"], r["id"]) for r in out.collect()) == [(1, 7, 8), (3, 1, 2)]
+
+
+def test_long_texts_and_no_rows(spark):
+    rng = random.Random(6)
+    long = " ".join(f"w{rng.randrange(10**5)}" for _ in range(150_000))
+    rows = [(1, long), (2, long + " more"), (3, long.replace("w1", "v1")), (4, "short one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.cluster(df).collect()}
+    assert got[2] == got[1] == 1 and got[4] == 4
+    assert {r["doc_id"]: r["group_id"] for r in simhash.near_groups(df).collect()}[2] == 1
+    assert simhash.cluster(df.limit(0)).count() == 0 and simhash.near_dedup(df.limit(0)).count() == 0
+
+
+def test_sketches_never_rule_out_a_near_copy():
+    """Sketches differ in no more bits than the sets of shingles."""
+    rng = random.Random(3)
+    for n in (3, 40, 400):
+        a = [f"w{rng.randrange(50)}" for _ in range(n)]
+        b = edited(rng, a, n // 6, "x")
+        one, two = (simhash.near_marks(" ".join(t), 5) for t in (a, b))
+        assert one[: len(simhash.SEEDS)] == [simhash._signed(simhash.word_fingerprint(" ".join(a), s)) for s in simhash.SEEDS]
+        apart = sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(one[len(simhash.SEEDS) : -1], two[len(simhash.SEEDS) : -1], strict=True))
+        assert one[-1] == len(simhash.shingle_hashes(" ".join(a), 5))
+        assert apart <= len(set(simhash.shingle_hashes(" ".join(a), 5).tolist()) ^ set(simhash.shingle_hashes(" ".join(b), 5).tolist()))
