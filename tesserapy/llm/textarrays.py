@@ -10,7 +10,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Texts are handled in chunks of about this many characters (one text at least).
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 LETTER, UPPER, DIGIT, BLANK, MARK = 1, 2, 4, 8, 16
 
