@@ -17,23 +17,25 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, checkpoint
+from .common import WORD, checkpoint, fresh, parted
+from .textarrays import mix
 
 BITS = 64
 RADIUS = 4
 SHINGLE = 4
 SEED = 42
 #: Pairs within a key are compared in blocks of about this many.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _WORDS = re.compile(WORD.encode())
@@ -134,9 +136,13 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _forest(values: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _forest(values: np.ndarray, radius: int, chains: list[tuple[int, int]] = ()) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links that join what is within the radius, in a run of equal keys.
 
+    As in short runs, a pair counts only if each chain from the run's key holds
+    few enough differences, which prunes before the full Hamming check; every
+    link passes in the run of one of its keys, so none is lost.
+
     Breadth first from each value in turn, those nearest to the run's centre (the
     majority of each bit) first: what a value reaches leaves the list of those
     not yet reached, so a dense group costs little over its size, and hangs on
@@ -155,7 +161,11 @@ def _forest(values: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarra
             new = []
             step = max(1, BLOCK // max(1, len(rest)))
             for k in range(0, len(front), step):
-                gap = np.bitwise_count(front[k : k + step, None] ^ rest[None, :])
+                diff = front[k : k + step, None] ^ rest[None, :]
+                ok = np.ones(diff.shape, bool)
+                for mask, limit in chains:
+                    ok &= np.bitwise_count(diff & np.uint64(mask)) <= limit
+                gap = np.where(ok, np.bitwise_count(diff), np.uint8(BITS + 1))
                 nearest = gap.argmin(axis=0)
                 hit = gap[nearest, np.arange(len(rest))] <= radius
                 if hit.any():
@@ -192,7 +202,7 @@ def _run_links(slot: np.ndarray, key: np.ndarray, fp: np.ndarray, radius: int, c
             if len(i):
                 yield fp[i], fp[i + d]
     for s, n in zip(starts[sizes > 24], sizes[sizes > 24], strict=True):
-        yield from _forest(fp[s : s + n], radius)
+        yield from _forest(fp[s : s + n], radius, chains[slot[s]][:-1])
 
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -259,24 +269,34 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating contractions: each node hands its larger neighbours to the
     smallest one it knows (large star), then its smaller ones (small star), until
-    nothing changes. A hub costs a row for each neighbour, never a list.
+    nothing changes. A hub costs a row for each neighbour, never a list. A round
+    never has more rows than the links, so nothing is made distinct before the end.
     """
-    pairs = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = 0, np.uint64(0)
+        for batch in batches:
+            u, v = (c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns)
+            n, total = n + len(u), total + mix(mix(u) + v).sum(dtype=np.uint64)
+        yield pa.record_batch([pa.array([n]), pa.array([int(total) >> 1])], names=["n", "total"])
+
+    pairs = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
     before = None
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
-        small = joined.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = joined.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v")
         pairs = checkpoint(small)
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        parts = pairs.mapInArrow(tally, "n long, total long").collect()
+        now = sum(r["n"] for r in parts), sum(r["total"] for r in parts)
         if now == before:
             break
         before = now
-    roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    ends = F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("root")), F.struct(F.col("v").alias("node"), F.col("v").alias("root")))
+    return pairs.select(F.inline(ends)).distinct()
 
 
 def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -297,7 +317,7 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
 
 
 #: Seeds of the fingerprints that propose near copies.
-SEEDS = (42, 43)
+SEEDS = (42,)
 NEAR_SHINGLE, SIMILARITY = 5, 0.8
 #: Shingles in so many texts come last in the order of shingles, and the most that are ordered so.
 COMMON, ORDERED = 32, 1 << 19
@@ -305,6 +325,9 @@ COMMON, ORDERED = 32, 1 << 19
 COUNTED = 1 << 21
 #: Runs of a shingle up to this long give all their pairs at once; of longer ones so many heads go first.
 SHORT, HEADS = 24, 4
+#: Words of 64 bits in a parity sketch, and their columns.
+SKETCH = 8
+PARITY = [f"s{k}" for k in range(SKETCH)]
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -313,8 +336,12 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint64)
     digest, k = xxhash.xxh64_intdigest, min(shingle, len(words))
-    one = np.fromiter((digest(w, SEED) for w in words), np.uint64, len(words))
-    n = len(words) - k + 1
+    return _shingled(np.fromiter((digest(w, SEED) for w in words), np.uint64, len(words)), k)
+
+
+def _shingled(one: np.ndarray, k: int) -> np.ndarray:
+    """Sorted distinct hashes of each k consecutive words, from the words' hashes."""
+    n = len(one) - k + 1
     out = np.full(n, k, np.uint64)
     for d in range(k):
         out = (out ^ one[d : d + n]) * np.uint64(0x9E3779B97F4A7C15)
@@ -322,6 +349,32 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(out)
 
 
+def near_marks(text: str | None, shingle: int, seeds=SEEDS) -> list[int]:
+    """The fingerprints of a text's distinct words under each seed, its parity sketch, and its number of shingles.
+
+    Bit b of the sketch is the parity of the distinct shingles whose hash falls on
+    b, so two sketches differ in no more bits than the sets in shingles.
+    """
+    words = _WORDS.findall(text.encode("utf-8", "replace").translate(_LOWER)) if text else []
+    if not words:
+        return [0] * (len(seeds) + SKETCH + 1)
+    out, digest, distinct = [], xxhash.xxh64_intdigest, list(set(words))
+    for seed in seeds:
+        hashes = np.fromiter((digest(w, seed) for w in distinct), np.uint64, len(distinct))
+        if seed == SEED:
+            known = dict(zip(distinct, hashes.tolist(), strict=True))
+        votes = np.zeros(BITS, np.int64)
+        for k in range(0, len(hashes), 1 << 15):
+            part = hashes[k : k + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8)
+            votes += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * votes > len(hashes), bitorder="little").view(np.int64)[0]))
+    if SEED not in seeds:
+        known = {w: digest(w, SEED) for w in distinct}
+    own = _shingled(np.fromiter((known[w] for w in words), np.uint64, len(words)), min(shingle, len(words)))
+    odd = np.bincount((own >> np.uint64(33)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    return [*out, *np.packbits(odd.astype(bool), bitorder="little").view(np.int64).tolist(), len(own)]
+
+
 def _least_overlap(total, similarity: float):
     """Shared shingles that two texts of so many shingles together need."""
     return np.ceil(similarity / (1 + similarity) * total - 1e-6)
@@ -454,20 +507,26 @@ def shared_prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFra
 def prefix_pairs(held: DataFrame, similarity: float, heads: bool) -> DataFrame:
     """a, b: pairs of texts of different roots that may have the similarity.
 
-    held: token, k, at, root. Pairs whose sizes, or whose places of the shingle,
-    rule the similarity out are left. With heads, only pairs with a few members
-    of each long run; else all pairs, without exception.
+    held: token, k, at, root and the parity sketch. Pairs whose sizes, whose places
+    of the shingle, or whose sketches rule the similarity out are left: texts of n
+    and m shingles that differ in d have (n + m - d) / (n + m + d). With heads,
+    only pairs with a few members of each long run; else all pairs, without
+    exception.
     """
 
     def fit(at, root, i, j):
         return (root[i] != root[j]) & _may_reach(at[i], at[j], similarity)
 
+    def alike(at, sketch, i, j):
+        apart = sum(np.bitwise_count((s[i] ^ s[j]).view(np.uint64)).astype(np.int64) for s in sketch)
+        return apart * (1 + similarity) <= ((at[i] >> 32) + (at[j] >> 32)) * (1 - similarity) + 1e-6
+
     def out(a, b):
         pair = np.unique(np.sort(np.stack([a, b]), axis=0), axis=1)
         return pa.record_batch([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, key, at, root in _whole_runs(batches):
+        for token, key, at, root, *sketch in _whole_runs(batches):
             starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
             sizes = np.diff(np.append(starts, len(token)))
             mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
@@ -478,6 +537,7 @@ def prefix_pairs(held: DataFrame, similarity: float, heads: bool) -> DataFrame:
                 for d in range(1, int(sizes[small].max())):
                     i = i[i + d < end[i]]
                     ok = i[fit(at, root, i, i + d)]
+                    ok = ok[alike(at, sketch, ok, ok + d)]
                     if len(ok):
                         yield out(key[ok], key[ok + d])
             for s, n in zip(starts[mixed & ~small].tolist(), sizes[mixed & ~small].tolist(), strict=True):
@@ -487,60 +547,68 @@ def prefix_pairs(held: DataFrame, similarity: float, heads: bool) -> DataFrame:
                 step = max(1, BLOCK // n)
                 for k in range(0, len(front), step):
                     x, y = np.nonzero(fit(at, root, front[k : k + step, None], rest[None, :]))
+                    x, y = front[k + x], rest[y]
                     if not heads:
-                        x, y = x[rest[y] > front[k + x]], y[rest[y] > front[k + x]]
-                    if len(x):
-                        yield out(key[front[k + x]], key[rest[y]])
+                        x, y = x[y > x], y[y > x]
+                    ok = alike(at, sketch, x, y)
+                    if ok.any():
+                        yield out(key[x[ok]], key[y[ok]])
 
-    return held.repartition("token").sortWithinPartitions("token").select("token", "k", "at", "root").mapInArrow(scan, "a long, b long").distinct()
+    return held.repartition("token").sortWithinPartitions("token").select("token", "k", "at", "root", *PARITY).mapInArrow(scan, "a long, b long").distinct()
 
 
 def _near_texts(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, radius: int, seeds) -> tuple[DataFrame, DataFrame]:
     """Each row's doc_id, k1, k2; and k1, k2, lead, root of each different text."""
+    names = [f"fp{x}" for x in seeds]
 
-    def fp(seed: int):
-        @F.pandas_udf(T.LongType())
-        def of(texts: pd.Series) -> pd.Series:
-            return pd.Series(np.array([word_fingerprint(t, seed) for t in texts], np.uint64).view(np.int64))
+    marks_of = [*names, *PARITY, "size"]
 
-        return of(F.col(text_col)).alias(f"fp{seed}")
+    @F.pandas_udf(", ".join(f"{c} long" for c in marks_of))
+    def marks(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(np.array([near_marks(t, shingle, seeds) for t in texts], np.int64).reshape(-1, len(marks_of)), columns=marks_of)
 
     @F.pandas_udf("double")
     def compare(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([jaccard(x, y, shingle) for x, y in zip(a, b, strict=True)], dtype=float)
 
-    marked = checkpoint(docs.select(F.col(id_col).alias("doc_id"), *_text_keys(text_col), *[fp(x) for x in seeds]))
-    names = [f"fp{x}" for x in seeds]
-    texts = marked.groupBy("k1", "k2").agg(F.min("doc_id").alias("lead"), *[F.first(n).alias(n) for n in names])
+    marked = docs.select(F.col(id_col).alias("doc_id"), *_text_keys(text_col), marks.asNondeterministic()(F.col(text_col)).alias("of"))
+    marked = checkpoint(marked.select("doc_id", "k1", "k2", "of.*"))
+    texts = marked.groupBy("k1", "k2").agg(F.min("doc_id").alias("lead"), *[F.first(n).alias(n) for n in marks_of])
     texts = checkpoint(texts.withColumn("node", F.monotonically_increasing_id()))
+    side = F.struct("node", "k1", "k2", "size", *PARITY)
     found = None
     for name in names:
-        group = checkpoint(texts.groupBy(F.col(name).alias("fp")).agg(F.min("node").alias("head")))
-        edges = links(group.select("fp"), radius)
+        group = checkpoint(texts.groupBy(F.col(name).alias("fp")).agg(F.min(side).alias("head")))
         one, two = group.select(F.col("fp").alias("a"), F.col("head").alias("x")), group.select(F.col("fp").alias("b"), F.col("head").alias("y"))
-        far = edges.join(one, "a").join(two, "b").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-        same = texts.select("node", F.col(name).alias("f")).join(group, F.col("f") == F.col("fp")).where("node <> head").select(F.col("head").alias("x"), F.col("node").alias("y"))
-        part = checkpoint(far.unionByName(same))
+        far = links(group.select("fp"), radius).join(one, "a").join(two, "b").select("x", "y")
+        same = texts.select(side.alias("y"), F.col(name).alias("fp")).join(group, "fp").where("y.node <> head.node").select(F.col("head").alias("x"), "y")
+        part = far.unionByName(same)
         found = part if found is None else found.unionByName(part)
-    pairs = checkpoint(found.where("x <> y").distinct())
-    runs = checkpoint(shared_prefixes(docs.select(_text_keys(text_col)[0].alias("k"), F.col(text_col).alias("text")), shingle, similarity))
-    keys = texts.select("k1", "k2", "node")
+    # Parities that differ are shingles that differ, so these rule the similarity out.
+    apart = reduce(Column.__add__, [F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in PARITY])
+    found = found.where(apart * (1 + similarity) <= (F.col("x.size") + F.col("y.size")) * (1 - similarity) + 1e-6)
+    brief = [F.struct(*[F.col(f"{c}.{n}").alias(n) for n in ("node", "k1", "k2")]).alias(c) for c in "xy"]
+    pairs = checkpoint(found.select(*brief) if len(names) == 1 else found.select(*brief).distinct())
 
     def good(pairs: DataFrame) -> DataFrame:
-        wanted = checkpoint(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(keys, "node"))
-        held = docs.select(*_text_keys(text_col), F.col(text_col).alias("text")).join(wanted, ["k1", "k2"]).dropDuplicates(["node"])
-        held = checkpoint(held.select("node", "text"))
-        left, right = held.select(F.col("node").alias("x"), F.col("text").alias("a")), held.select(F.col("node").alias("y"), F.col("text").alias("b"))
-        return checkpoint(pairs.join(left, "x").join(right, "y").where(compare("a", "b") >= similarity).select(F.col("x").alias("a"), F.col("y").alias("b")))
-
-    edges = good(pairs)
-    roots = checkpoint(components(edges))
+        """a, b: nodes of the pairs that have the similarity."""
+        wanted = checkpoint(pairs.select(F.inline(F.array("x", "y"))).distinct())
+        # Only texts that may be wanted are shuffled, equal ones of a task once.
+        some, _ = parted(docs.select(*_text_keys(text_col), F.col(text_col).alias("text")), F.col("k1"), wanted.select("k1"))
+        held = checkpoint(some.dropDuplicates(["k1", "k2"]).join(wanted, ["k1", "k2"]).select("node", "text"))
+        left, right = held.select(F.col("node").alias("a"), F.col("text").alias("one")), held.select(F.col("node").alias("b"), F.col("text").alias("two"))
+        both = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).join(left, "a").join(right, "b")
+        return checkpoint(both.where(compare("one", "two") >= similarity).select("a", "b"))
+
+    roots = checkpoint(components(good(pairs)))
+    runs = checkpoint(shared_prefixes(docs.select(_text_keys(text_col)[0].alias("k"), F.col(text_col).alias("text")), shingle, similarity))
     for heads in (True, False):
-        home = keys.join(roots, "node", "left").select(F.col("k1").alias("k"), F.coalesce("root", "node").alias("root"))
-        more = checkpoint(prefix_pairs((runs.where("long") if heads else runs).join(home, "k"), similarity, heads))
-        one, two = keys.select(F.col("k1").alias("a"), F.col("node").alias("x")), keys.select(F.col("k1").alias("b"), F.col("node").alias("y"))
-        edges = edges.unionByName(good(checkpoint(more.join(one, "a").join(two, "b").select("x", "y"))))
-        roots = checkpoint(components(edges))
+        home = texts.join(roots, "node", "left").select(F.col("k1").alias("k"), F.coalesce("root", "node").alias("root"), *PARITY)
+        more = prefix_pairs((runs.where("long") if heads else runs).join(home, "k"), similarity, heads)
+        one, two = (texts.select(F.col("k1").alias(k), F.struct("node", "k1", "k2").alias(n)) for k, n in (("a", "x"), ("b", "y")))
+        edges = good(checkpoint(more.join(one, "a").join(two, "b").select("x", "y")))
+        # What is known of the groups stands for the links that they came from.
+        roots = checkpoint(components(edges.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))))
     return marked, texts.join(roots, "node", "left").select("k1", "k2", "lead", F.coalesce("root", "node").alias("root"))
 
 
@@ -574,13 +642,18 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     or without an id, are documents of their own; a null id comes after all others,
     and of texts with equal ids a hash of the text decides.
     """
-    _, texts = _near_texts(docs, id_col, text_col, **{"shingle": NEAR_SHINGLE, "similarity": SIMILARITY, "radius": RADIUS, "seeds": SEEDS, **options})
+    marked, texts = _near_texts(docs, id_col, text_col, **{"shingle": NEAR_SHINGLE, "similarity": SIMILARITY, "radius": RADIUS, "seeds": SEEDS, **options})
     first = F.min(F.struct(F.col("lead").isNull().alias("none"), "lead", "k1", "k2")).alias("first")
-    keep = texts.groupBy("root").agg(first).select(F.col("first.lead").alias("__id"), F.col("first.k1").alias("__k1"), F.col("first.k2").alias("__k2"))
-    k1, k2 = _text_keys(text_col)
-    keyed = docs.withColumn("__d1", k1).withColumn("__d2", k2)
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__d1") == F.col("__k1")) & (F.col("__d2") == F.col("__k2"))
-    return keyed.join(keep, same, "left_semi").dropDuplicates([id_col, "__d1", "__d2"]).drop("__d1", "__d2")
+    keep = checkpoint(texts.groupBy("root").agg(first).select(F.col("first.lead").alias("id"), F.col("first.k1").alias("one"), F.col("first.k2").alias("two")))
+    # Documents that go, and rows that repeat: only what may be one of these is shuffled.
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("k1") == F.col("one")) & (F.col("k2") == F.col("two"))
+    open_ = marked.groupBy("doc_id", "k1", "k2").agg(F.count("*").alias("n")).join(keep, same, "left").where("n > 1 or one is null")
+    key, one, two, d1, d2 = fresh(docs, "id", "one", "two", "d1", "d2")
+    keyed = docs.withColumns(dict(zip((d1, d2), _text_keys(text_col), strict=True)))
+    some, whole = parted(keyed, F.xxhash64(F.col(id_col), F.col(d1), F.col(d2)), open_.select(F.xxhash64("doc_id", "k1", "k2").alias("key")))
+    same = F.col(id_col).eqNullSafe(F.col(key)) & (F.col(d1) == F.col(one)) & (F.col(d2) == F.col(two))
+    some = some.join(keep.toDF(key, one, two), same, "left_semi").dropDuplicates([id_col, d1, d2])
+    return whole.unionByName(some).drop(d1, d2)
 
 
 def hex_fingerprints(clustered: DataFrame) -> DataFrame:
