@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codecs import members_of, str_to_vec, vec_to_str, weight_of
 from ..functions.keys import numbered
 
-#: Samples in a bucket of the order in which districts first appear.
-BUCKET = 4096
-
 
 def expand_samples(samples: DataFrame, num_districts: int) -> DataFrame:
     """A row for each sample and district, empty districts included.
@@ -26,7 +23,7 @@ def district_catalog(expanded: DataFrame, weights: DataFrame | None = None) -> D
     """district_uid, district_str, members (and weight): distinct districts in order of appearance."""
     first = expanded.groupBy("district_str").agg(F.min(F.struct("plan_id", "district_id")).alias("__first"))
     order = [F.col("__first.plan_id"), F.col("__first.district_id")]
-    out = numbered(first, F.floor(F.col("__first.plan_id") / BUCKET), order, "district_uid").drop("__first")
+    out = numbered(first, order, "district_uid").drop("__first")
     out = out.select("district_uid", "district_str", str_to_vec(F.col("district_str")).alias("members"))
     if weights is not None:
         out = out.crossJoin(F.broadcast(weights.select("weights"))).withColumn("weight", weight_of(F.col("members"), F.col("weights"))).drop("weights")
@@ -50,8 +47,7 @@ def distributions(plans: DataFrame) -> DataFrame:
     counts = plans.groupBy("sample_tag", "plan_str").agg(F.count("*").alias("count"))
     tags = counts.groupBy(F.col("sample_tag").alias("__tag")).agg(F.sum("count").alias("__total"))
     out = counts.join(tags, F.col("sample_tag") == F.col("__tag")).withColumn("freq", F.col("count") / F.col("__total")).drop("__tag", "__total")
-    bucket = F.struct("sample_tag", F.substring("plan_str", 1, 3))
-    out = numbered(out, bucket, [F.col("sample_tag"), F.col("plan_str")], "plan_uid")
+    out = numbered(out, [F.col("sample_tag"), F.col("plan_str")], "plan_uid")
     vector = F.transform(F.filter(F.split("plan_str", "[.]"), lambda x: x != ""), lambda x: x.cast("bigint"))
     return out.select("plan_uid", "sample_tag", "plan_str", "count", "freq", vector.alias("plan_vector"))
 
@@ -87,8 +83,3 @@ def decode_plans(plans: DataFrame, districts: DataFrame, num_precincts: int, key
     owned = each.join(decode_districts(districts), "district_uid").groupBy(key, "precinct").agg(F.max("district_id").alias("district_id"))
     grid = plans.select(key).withColumn("precinct", F.explode(F.sequence(F.lit(0), F.lit(num_precincts - 1))))
     return grid.join(owned, [key, "precinct"], "left").select(key, "precinct", F.coalesce("district_id", F.lit(0)).alias("district_id"))
-
-
-def row_positions(df: DataFrame, partition: list[str], order: list[str], name: str) -> DataFrame:
-    """Add a position from 0 within the partition columns."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*partition).orderBy(*order)) - 1)

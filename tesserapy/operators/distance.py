@@ -7,35 +7,46 @@ from pyspark.sql import functions as F
 
 from ..functions.codecs import dense_l1, indicator, set_distance, weight_of
 
+#: Blocks that districts are dealt into; their square is the number of parts of a join.
+BLOCKS = 8
+
 
 def pair_distances(districts: DataFrame, weights: DataFrame) -> DataFrame:
     """i, j, d for i > j: capped weight of the symmetric difference.
 
-    All pairs are the result itself (n (n - 1) / 2 rows). The pairs are dealt by
-    i: each task compares its rows with all rows of smaller uid. Set weights are
-    computed once for each district, before the join.
+    All pairs are the result itself (n (n - 1) / 2 rows). Districts are dealt into
+    BLOCKS blocks, and each pair of blocks meets in an equi-join, so a district is
+    sent once for each block and none is broadcast. Set weights are computed once
+    for each district, before the join.
     """
     one = weights.select("weights", "cap")
     rows = districts.select("district_uid", "members").crossJoin(F.broadcast(one)).withColumn("w", weight_of(F.col("members"), F.col("weights")))
-    a = rows.select(F.col("district_uid").alias("i"), F.col("members").alias("a"), F.col("w").alias("wa"), "weights", "cap")
-    b = rows.select(F.col("district_uid").alias("j"), F.col("members").alias("b"), F.col("w").alias("wb"))
+    rows = rows.select("district_uid", "members", "w")
     d = set_distance(F.col("a"), F.col("b"), F.col("wa"), F.col("wb"), F.col("weights"), F.col("cap"))
-    return a.join(b, F.col("i") > F.col("j")).select("i", "j", d.alias("d"))
+    met = _met(rows.toDF("i", "a", "wa"), rows.toDF("j", "b", "wb"))
+    return met.crossJoin(F.broadcast(one)).select("i", "j", d.alias("d"))
+
+
+def _met(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of rows with i > j, by pairs of blocks."""
+    each = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
+    left = left.withColumn("p", F.pmod("i", F.lit(BLOCKS)).cast("int")).withColumn("q", each)
+    right = right.withColumn("q", F.pmod("j", F.lit(BLOCKS)).cast("int")).withColumn("p", each)
+    return left.join(right, ["p", "q"]).where("i > j").drop("p", "q")
 
 
 def dense_pair_distances(districts: DataFrame, weights: DataFrame, capped: bool = True) -> DataFrame:
     """i, j, d for i > j over 0/1 vectors, as doubles."""
-    rows = districts.select("district_uid", "members").crossJoin(F.broadcast(weights.select("weights", "cap")))
-    rows = rows.withColumn("v", indicator(F.col("members"), F.size("weights")))
-    a = rows.select(F.col("district_uid").alias("i"), F.col("v").alias("a"), "weights", "cap")
-    b = rows.select(F.col("district_uid").alias("j"), F.col("v").alias("b"))
+    one = weights.select("weights", "cap")
+    rows = districts.select("district_uid", "members").crossJoin(F.broadcast(one))
+    rows = rows.select("district_uid", indicator(F.col("members"), F.size("weights")).alias("v"))
     d = dense_l1(F.col("a"), F.col("b"), F.col("weights"), F.col("cap") if capped else None)
-    return a.join(b, F.col("i") > F.col("j")).select("i", "j", d.alias("d"))
+    return _met(rows.toDF("i", "a"), rows.toDF("j", "b")).crossJoin(F.broadcast(one)).select("i", "j", d.alias("d"))
 
 
 def sampled(districts: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """n districts in the order of a seeded hash (all, if there are fewer)."""
-    return districts.orderBy(F.xxhash64("district_str", F.lit(seed)), "district_str").limit(n)
+    return districts.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("district_str")).cast("binary")), "district_str").limit(n)
 
 
 def quantile_edges(distances: DataFrame, cap: int, bins: int) -> DataFrame:

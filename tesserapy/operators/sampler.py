@@ -30,6 +30,8 @@ from ..sources.graph import edges as edges_of
 from ..sources.graph import precincts, read_graph
 from ..sources.shared import checkpoint
 
+#: Scores of a sample.
+SCORES = ("log_forests", "isoperimetric")
 #: Share of steps that change the partition.
 TWO_TREE = 0.1
 
@@ -87,6 +89,7 @@ class Chain:
             raise ValueError(f"no whole population is within pop_dev; it must be at least {least:.6g}")
         self.tried = {"one": 0, "two": 0}
         self.taken = {"one": 0, "two": 0}
+        self.cycles, self.moved = [0, 0], [0, 0]  # number and total: nodes of the cycles met, nodes that accepted steps moved
         self.home, self.tree = self._start()
 
     def balanced(self, population: float) -> bool:
@@ -226,6 +229,7 @@ class Chain:
         left, right = self._path(a2, a1), self._path(b1, b2)
         cycle = left + right
         m = len(cycle)
+        self.cycles = [self.cycles[0] + 1, self.cycles[1] + m]
         # What hangs on each node of the cycle, the cycle's own edges aside.
         on = set(cycle)
         mass, hung = [], []
@@ -262,6 +266,7 @@ class Chain:
         log = math.log(before) - math.log(after) + energy - self.energy(key) if after else -math.inf
         if log >= 0 or self.rng.random() < math.exp(log):
             self.taken["two"] += 1
+            self.moved = [self.moved[0] + 1, self.moved[1] + sum(self.home[u] != d for u, d in old_home.items())]
             return
         self._swap([edge(i), edge(j)], [])
         self._swap([], [e for e in ((a1, b1), (a2, b2))])
@@ -277,15 +282,18 @@ class Chain:
                 yield step, list(self.home), sum(map(self.log_trees, every)), sum(map(self.isoperimetric, every))
 
     def diagnostics(self) -> dict[str, float]:
-        """Share of accepted steps of each kind."""
-        return {kind: self.taken[kind] / self.tried[kind] if self.tried[kind] else 0.0 for kind in self.tried}
+        """Share of accepted steps of each kind, mean nodes of a cycle, and mean nodes that an accepted step moves."""
+        share = {f"accepted_{kind}": self.taken[kind] / self.tried[kind] if self.tried[kind] else 0.0 for kind in self.tried}
+        means = {"cycle_length": self.cycles, "delta_nodes": self.moved}
+        return share | {name: total / n if n else 0.0 for name, (n, total) in means.items()}
 
 
-SAMPLE = "chain int, step bigint, plan_vector array<int>, log_forests double, isoperimetric double, accepted_one double, accepted_two double"
+DIAGNOSTICS = ("accepted_one", "accepted_two", "cycle_length", "delta_nodes")
+SAMPLE = "chain int, step bigint, plan_vector array<int>, log_forests double, isoperimetric double, " + ", ".join(f"{c} double" for c in DIAGNOSTICS)
 
 
 def sample_plans(spark: SparkSession, weights: list[int], edges: list[tuple[int, int]], districts: int, settings: Settings, chains: int = 1) -> DataFrame:
-    """chain, step, plan_vector, scores, and the chain's shares of accepted steps (null unless asked for).
+    """chain, step, plan_vector, scores, and the chain's diagnostics (null unless asked for).
 
     A task runs a chain; the graph goes with the task.
     """
@@ -297,9 +305,9 @@ def sample_plans(spark: SparkSession, weights: list[int], edges: list[tuple[int,
             for k in pdf["chain"]:
                 chain = Chain(weights, edges, districts, settings, settings.rng_seed + int(k))
                 rows = list(chain.run())
-                rate = chain.diagnostics() if settings.run_diagnostics else {"one": None, "two": None}
-                out = pd.DataFrame(rows, columns=["step", "plan_vector", "log_forests", "isoperimetric"])
-                yield out.assign(chain=np.int32(k), accepted_one=rate["one"], accepted_two=rate["two"]).astype({"accepted_one": float, "accepted_two": float})
+                found = chain.diagnostics() if settings.run_diagnostics else dict.fromkeys(DIAGNOSTICS)
+                out = pd.DataFrame(rows, columns=["step", "plan_vector", *SCORES])
+                yield out.assign(chain=np.int32(k), **found).astype(dict.fromkeys(DIAGNOSTICS, float))
 
     return seeds.mapInPandas(walk, SAMPLE)
 
@@ -316,5 +324,5 @@ def main(spark: SparkSession, args: list[str]) -> DataFrame:
     rows = checkpoint(rows)
     header = {"districts": districts, "popdev": settings.pop_dev, "gamma": settings.gamma, "iso_weight": settings.iso_weight}
     names = nodes.select("precinct_idx", F.col("precinct_id_str").alias("label"))
-    write_samples(rows, names, output_file, header, listed_keys=True)
+    write_samples(rows, names, output_file, header, listed_keys=True, scores=SCORES, one_file=True)
     return rows

@@ -92,5 +92,5 @@ def enumerate_words(dist: DataFrame, letter_lists: DataFrame, degree: int, dedup
     if dedupe:
         first = Window.partitionBy(dedupe_key, "word_str").orderBy("plan_uid", "place")
         rows = rows.withColumn("__r", F.row_number().over(first)).where("__r = 1").drop("__r")
-    names = numbered(rows.select("word_str").distinct(), F.substring("word_str", 1, 3), [F.col("word_str")], "word_uid")
+    names = numbered(rows.select("word_str").distinct(), [F.col("word_str")], "word_uid")
     return rows.join(names, "word_str").select("plan_uid", "place", "word", "distance", "min_distance", "plan_str", "word_str", "word_uid")

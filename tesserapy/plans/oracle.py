@@ -117,6 +117,14 @@ def _r(expr: str, name: str) -> str:
     return f"round({expr}, {DIGITS}) as {name}"
 
 
+def _edges(sample: int, bins: int) -> str:
+    """Quantile edges of the distances among districts sampled in the order of a hash."""
+    return f""", smp as (select district_uid from cat order by md5('0:' || district_str), district_str limit {sample}),
+padded as (select d::double d from dd, capq where d < cap and i in (from smp) and j in (from smp) union all select -1 union all select cap + 1 from capq),
+q as (select unnest(quantile_cont(d, [{", ".join(str(k / bins) for k in range(bins + 1))}])) e from padded)
+select distinct cast(trunc(e) as int) edge from q"""
+
+
 def _with(*parts: str) -> str:
     return "with " + ",".join(parts) + " "
 
@@ -129,6 +137,8 @@ def oracle_sql() -> dict[str, str]:
     dens = (base, one, DENSITY)
     word_cols = "plan_uid, place, array_to_string(word, '.') word, distance, min_distance, plan_str, word_str, word_uid"
     cell = "(select unnest(range(25)) id) q"
+    label = "'(' || (id // 5) || ',' || (id % 5) || ')'"
+    files = "select case when sample_tag = 'row' then 0 else 1 end f, step, sample_tag, string_agg(cast(district_id as varchar), '.' order by p) plan_vector from asg group by 1, 2, 3"
     ltr = "sum(dens * x) / nullif(sum(dens), 0)"
     return {
         "grid_graph_nodes": f"""select cast(id as int) precinct_id, '(' || (id // 5) || ',' || (id % 5) || ')' precinct_id_str,
@@ -149,13 +159,39 @@ where abs(a.id // 5 - b.id // 5) + abs(a.id % 5 - b.id % 5) = 1""",
         "plan_distribution_daily": _with(ensemble("day")) + "select plan_uid, sample_tag, plan_str, cnt, " + _r("freq", "freq") + " from dist",
         "decode_plan": _with(base) + "select plan_uid, mem.p precinct, cast(max(k) as int) district_id from (select plan_uid, unnest(string_split(plan_str, '.'))::bigint district_uid, unnest(range(3)) k from dist) q join mem using (district_uid) group by 1, 2",
         "decode_district": _with(base) + "select district_uid, p precinct from mem",
-        "encode_district": _with(base) + "select a.district_str, b.district_uid from ds a join cat b using (district_str) where a.step = 1",
+        "encode_district": _with(base) + "select a.step, a.district_id, a.district_str, b.district_uid from ds a join cat b using (district_str)",
         "indicator_vector": _with(base) + "select c.district_uid, string_agg(case when m.p is null then '0' else '1' end, '' order by k.n_nationkey) bits from cat c cross join nation k left join mem m on m.district_uid = c.district_uid and m.p = k.n_nationkey group by 1",
         "district_distance": _with(base, PAIRS) + "select i, j, cast(d as bigint) d from dd",
         "district_distance_dense": _with(base, PAIRS) + "select i, j, raw::double d from dd",
         "distance_edges": _with(base, PAIRS) + """, padded as (select d::double d from dd, capq where d < cap union all select -1 union all select cap + 1 from capq),
 q as (select unnest(quantile_cont(d, [""" + ", ".join(str(k / 50) for k in range(51)) + """])) e from padded)
 select distinct cast(trunc(e) as int) edge from q""",
+        "distance_edges_sampled": _with(base, PAIRS) + _edges(40, 20),
+        "ingested_edges": _with(base, PAIRS) + _edges(100, 50),
+        "ingested_edges_on_reload": _with(base, PAIRS) + _edges(500, 400),
+        "ingested_distances": _with(base, PAIRS) + "select least(x.district_str, y.district_str) one, greatest(x.district_str, y.district_str) two, cast(d as bigint) d from dd join cat x on x.district_uid = i join cat y on y.district_uid = j",
+        "ingested_districts": _with(base) + "select district_str, w weight from cat join dw using (district_uid)",
+        "ingested_distributions": _with(base) + """, parts as (select plan_uid, sample_tag, cnt, freq, unnest(string_split(plan_str, '.'))::bigint district_uid from dist)
+select sample_tag, string_agg(district_str, '|' order by district_str) plan, cnt, """ + _r("freq", "freq") + " from parts join cat using (district_uid) group by plan_uid, sample_tag, cnt, freq",
+        "ingested_samples": _with(base) + f", files as ({files})" + " select row_number() over (order by f, step) - 1 as plan_id, step, sample_tag, plan_vector from files",
+        "atlas_two_files": _with(base) + f", files as ({files})" + """, kept as (select * from (select *, row_number() over (partition by f order by step) r from files where step > 9) z where r <= 60)
+select row_number() over (order by f, step) - 1 as plan_id, step, sample_tag, plan_vector, 3 as districts from kept""",
+        "graph_precincts": _with(base) + f"""select cast(id as int) precinct_idx, cast(id as int) precinct_id, {label} precinct_id_str,
+cast((id // 5 = 0)::int + (id // 5 = 4)::int + (id % 5 = 0)::int + (id % 5 = 4)::int as int) border_length,
+cast(id // 5 as int) x_location, cast(id % 5 as int) y_location, 1 area, w::bigint population, 'A' county from (select p id, w from pop) q""",
+        "graph_labels": f"select {label} as label, cast(id as int) precinct_idx from {cell}",
+        "graph_edges": """select cast(a.id as int) src, cast(b.id as int) dst, 1::bigint length from (select unnest(range(25)) id) a, (select unnest(range(25)) id) b
+where abs(a.id // 5 - b.id // 5) + abs(a.id % 5 - b.id % 5) = 1""",
+        "graph_weights": _with(base) + "select string_agg(cast(w as varchar), '.' order by p) weights, cast(sum(w) as bigint) total, any_value(cap) as cap from pop, capq",
+        "hcc_paired_linkage": "select cast(id as int) step, 2 * id + 1 as a, 2 * id as b, id + 1 as distance, 2::bigint as size from (select unnest(range(12)) id) q",
+        "hcc_paired_cut": "select id as district_uid, cast(id // 2 as int) cluster_id from (select unnest(range(24)) id) q",
+        "hcc_linkage_totals": _with(base, PAIRS) + "select n - 1 as merges, n as last_size, f as first_distance, 2 * n - 2 as children, 0::bigint as falls from (select count(*) n from cat) x, (select cast(min(d) as bigint) f from dd) y",
+        "sampled_plan_checks": "select 4 * 20 * 3::bigint as districts, 0::bigint as unbalanced, 0::bigint as split",
+        "spectra_traces": _with(*strata) + """, deg as (select word1, count(*) n from fx where value > 0 group by 1),
+lp as (select word1, word1 word2, (n - 1)::double as value from deg union all select word1, word2, -1.0 from fx where value > 0 and word1 <> word2),
+mats as (select 'flux' kind, word1, word2, value from fx union all select 'laplacian', word1, word2, value from lp)
+select a.kind, round((select sum(value) from mats m where m.kind = a.kind and word1 = word2), 5) as trace, round(sum(a.value * b.value), 5) as trace_of_square
+from mats a join mats b on a.kind = b.kind and a.word1 = b.word2 and a.word2 = b.word1 group by 1""",
         "cluster_density": _with(*dens) + "select c cluster_id, cast(p as int) precinct, " + _r("dens", "dens") + " from den",
         "cluster_centroids": _with(base, one) + "select k.c cluster_id, coalesce(string_agg(cast(p as varchar), '.' order by p), '') members, any_value(k.w) weight from cw1 k left join cm1 using (c) group by 1",
         "assign_nearest": _with(base, one) + "select district_uid, c cluster_id from a1",
@@ -183,7 +219,7 @@ select distinct cast(trunc(e) as int) edge from q""",
         + ", ".join(_r(f"sum(m * {c}) / nullif(sum(m), 0)", n) for c, n in (("cr", "r"), ("cg", "g"), ("cb", "b"))) + ", count(*) filter (where dens >= 0.5) letters, count(*) filter (where dens >= 0.5) > 1 as overlap from m group by 1",
         "word_facets": _with(*dens, LETTERS) + ", f as (select place, letter, cast(p as int) precinct, dens from wl join den on c = letter) select place, letter, precinct, " + _r("dens", "value") + ", " + _r("min(dens) over ()", "vmin") + ", " + _r("max(dens) over ()", "vmax") + " from f",
         "letter_alphas": _with(*dens, LETTERS) + ", f as (select place, letter, cast(p as int) precinct, dens, max(dens) over (partition by place) peak from wl join den on c = letter) select place, letter, precinct, " + _r("dens / peak", "alpha") + " from f where peak > 0",
-        "plan_frame": _with(base) + "select mem.p precinct, cast(max(k) as int) district_id, (mem.p % 5)::double x0, (mem.p // 5)::double y0 from (select unnest(string_split(plan_str, '.'))::bigint district_uid, unnest(range(3)) k from dist where plan_uid = 0) q join mem using (district_uid) group by 1, 3, 4",
+        "plan_frame": _with(base) + "select plan_uid, mem.p precinct, cast(max(k) as int) district_id, (mem.p % 5)::double x0, (mem.p // 5)::double y0 from (select plan_uid, unnest(string_split(plan_str, '.'))::bigint district_uid, unnest(range(3)) k from dist) q join mem using (district_uid) group by 1, 2, 4, 5",
         "district_mask": "select cast(n_nationkey as int) precinct, n_nationkey in (0, 1, 5, 6) selected from nation",
         "atlas_round_trip": _with(base) + "select step - 1 as plan_id, step, 'atlas' as sample_tag, string_agg(cast(district_id as varchar), '.' order by p) plan_vector from asg group by 1, 2, 3",
     }

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codecs import indicator, vec_to_str
 from ..operators import catalog, cluster, distance, frames, grid, hcc, sampler, strata, words
-from ..sources import atlas, ensemble
+from ..sources import atlas, ensemble, graph, ingest
 from ..sources.shared import checkpoint, shared_dir
 from .oracle import CAP, DEGREE, DIGITS, K, SUBSET, WORD
 from .shipping import ship
@@ -186,8 +186,8 @@ def decode_district(spark, sf_dir):
 @query
 def encode_district(spark, sf_dir):
     e = Ensemble(spark, sf_dir)
-    first = e.expanded.where("step = 1").select(vec_to_str(F.col("members")).alias("district_str"))
-    return first.join(e.districts, "district_str").select("district_str", "district_uid")
+    vectors = e.expanded.select("step", "district_id", vec_to_str(F.col("members")).alias("district_str"))
+    return vectors.join(e.districts, "district_str").select("step", "district_id", "district_str", "district_uid")
 
 
 @query
@@ -406,9 +406,9 @@ def letter_alphas(spark, sf_dir):
 @query
 def plan_frame(spark, sf_dir):
     e = Ensemble(spark, sf_dir)
-    labels = catalog.decode_plans(e.dist.where("plan_uid = 0"), e.districts, CELLS)
+    labels = catalog.decode_plans(e.dist, e.districts, CELLS)
     shapes = grid.grid_shape(spark, SIDE).withColumnRenamed("precinct", "label")
-    return frames.with_geometry(labels, shapes).select("precinct", "district_id", "x0", "y0")
+    return frames.with_geometry(labels, shapes).select("plan_uid", "precinct", "district_id", "x0", "y0")
 
 
 @query
@@ -426,10 +426,184 @@ def atlas_round_trip(spark, sf_dir):
     return atlas.read_samples(lines, labels, CELLS, 1 << 30).select("plan_id", "step", "sample_tag", dotted("plan_vector"))
 
 
+def _chains(spark) -> DataFrame:
+    edges = [(r["src"], r["dst"]) for r in grid.grid_edges(spark, SIDE).collect()]
+    settings = sampler.Settings(pop_dev=0.1, cycle_walk_steps=200, cycle_walk_out_freq=10)
+    return sampler.sample_plans(spark, [1] * CELLS, edges, DISTRICTS, settings, chains=4)
+
+
 @query
 def sampled_plans(spark, sf_dir):
     """Four short chains on the grid, as counts by plan."""
-    edges = [(r["src"], r["dst"]) for r in grid.grid_edges(spark, SIDE).collect()]
-    settings = sampler.Settings(pop_dev=0.1, cycle_walk_steps=200, cycle_walk_out_freq=10)
-    rows = sampler.sample_plans(spark, [1] * CELLS, edges, DISTRICTS, settings, chains=4)
-    return rows.groupBy(dotted("plan_vector")).agg(F.count("*").alias("count"))
+    return _chains(spark).groupBy(dotted("plan_vector")).agg(F.count("*").alias("count"))
+
+
+@query
+def sampled_plan_checks(spark, sf_dir):
+    """Districts of the sampled plans, and how many are out of balance or not connected."""
+    rows = _chains(spark).select("chain", "step", "plan_vector", F.explode(F.sequence(F.lit(0), F.lit(DISTRICTS - 1))).alias("d"))
+    rows = rows.withColumn("members", F.expr("filter(sequence(0, size(plan_vector) - 1), p -> plan_vector[p] = d)"))
+    near = f"abs(p div {SIDE} - q div {SIDE}) + abs(p % {SIDE} - q % {SIDE}) = 1"
+    reached = f"aggregate(members, slice(members, 1, 1), (r, x) -> array_union(r, filter(members, p -> exists(r, q -> {near}))))"
+    size = F.size("members")
+    unbalanced = (size < CELLS / DISTRICTS * 0.9) | (size > CELLS / DISTRICTS * 1.1)
+    split = F.size(F.expr(reached)) < size
+    return rows.agg(F.count("*").alias("districts"), F.count(F.when(unbalanced, 1)).alias("unbalanced"), F.count(F.when(split, 1)).alias("split"))
+
+
+def _graph(spark, sf_dir) -> str:
+    """The grid with the customers of each nation as population, written as a graph document."""
+    people = [r["population"] for r in ensemble.precincts(spark, sf_dir).orderBy("precinct").collect()]
+    matrix = [people[k : k + SIDE] for k in range(0, CELLS, SIDE)]
+    path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}.json"
+    graph.write_graph(grid.grid_nodes(spark, SIDE, matrix), grid.grid_edges(spark, SIDE), path, DISTRICTS)
+    return path
+
+
+@query
+def graph_precincts(spark, sf_dir):
+    return graph.precincts(graph.read_graph(spark, _graph(spark, sf_dir)))
+
+
+@query
+def graph_edges(spark, sf_dir):
+    return graph.edges(graph.read_graph(spark, _graph(spark, sf_dir)))
+
+
+@query
+def graph_labels(spark, sf_dir):
+    return graph.labels(graph.precincts(graph.read_graph(spark, _graph(spark, sf_dir))))
+
+
+@query
+def graph_weights(spark, sf_dir):
+    doc = graph.read_graph(spark, _graph(spark, sf_dir))
+    rows = graph.weights(graph.precincts(doc)).crossJoin(doc.select("num_districts"))
+    return rows.select(dotted("weights"), "total", F.floor(F.col("total") * 2 / F.col("num_districts")).alias("cap"))
+
+
+def _atlases(spark, sf_dir) -> list[str]:
+    """The ensemble as two atlases, named by its tags."""
+    root, e = f"{shared_dir(spark)}/atlases-{uuid.uuid4().hex}", Ensemble(spark, sf_dir)
+    labels = grid.grid_nodes(spark, SIDE).select("precinct_idx", F.col("precinct_id_str").alias("label"))
+    paths = [f"{root}/row.jsonl.gz", f"{root}/col.jsonl.gz"]
+    samples = checkpoint(e.samples)
+    for path, tag, listed in zip(paths, ("row", "col"), (True, False), strict=True):
+        atlas.write_samples(samples.where(F.col("sample_tag") == tag), labels, path, {"districts": DISTRICTS}, listed_keys=listed, one_file=True)
+    return paths
+
+
+@query
+def atlas_two_files(spark, sf_dir):
+    """Two files in one list: their tags, a header that names the districts, a first step and a limit a file."""
+    lines = checkpoint(atlas.read_lines(spark, _atlases(spark, sf_dir)))
+    labels = grid.grid_nodes(spark, SIDE).select("precinct_idx", F.col("precinct_id_str").alias("label"))
+    rows = atlas.read_samples(lines, labels, CELLS, 60, min_step=9)
+    return rows.select("plan_id", "step", "sample_tag", dotted("plan_vector"), F.lit(atlas.header_districts(lines)).alias("districts"))
+
+
+def _ingested(spark, sf_dir) -> tuple[str, str]:
+    """Root of a store that the two atlases were processed into, and the graph document."""
+    root, map_file = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", _graph(spark, sf_dir)
+    ingest.process_samples(spark, root, map_file, _atlases(spark, sf_dir), 1 << 30)
+    return root, map_file
+
+
+@query
+def ingested_samples(spark, sf_dir):
+    """Samples that were processed into a store, as loaded from it."""
+    found = ingest.load_processed(spark, *_ingested(spark, sf_dir)).samples
+    return found.select("plan_id", "step", "sample_tag", dotted("plan_vector"))
+
+
+@query
+def ingested_districts(spark, sf_dir):
+    return ingest.load_processed(spark, *_ingested(spark, sf_dir)).districts.select("district_str", "weight")
+
+
+@query
+def ingested_distributions(spark, sf_dir):
+    """Distributions as loaded, with each plan spelt by its districts' members."""
+    p = ingest.load_processed(spark, *_ingested(spark, sf_dir))
+    each = p.distributions.select("sample_tag", "plan_uid", F.col("count").alias("cnt"), "freq", F.explode("plan_vector").alias("district_uid"))
+    named = each.join(p.districts.select("district_uid", "district_str"), "district_uid")
+    spelt = F.array_join(F.array_sort(F.collect_list("district_str")), "|").alias("plan")
+    return named.groupBy("sample_tag", "plan_uid", "cnt", "freq").agg(spelt).select("sample_tag", "plan", "cnt", *rounded("freq"))
+
+
+@query
+def ingested_edges(spark, sf_dir):
+    """Edges of the distances among 100 sampled districts in 50 bins, as stored by ingest."""
+    found = ingest.load_processed(spark, *_ingested(spark, sf_dir)).edges
+    return found.select(F.explode("edges").alias("edge"))
+
+
+@query
+def ingested_edges_on_reload(spark, sf_dir):
+    """Edges that were missing on reload: 500 sampled districts, 400 bins."""
+    root, map_file = _ingested(spark, sf_dir)
+    ingest.load_processed(spark, root, map_file).store.drop("distance_edges")
+    return ingest.load_processed(spark, root, map_file).edges.select(F.explode("edges").alias("edge"))
+
+
+@query
+def ingested_distances(spark, sf_dir):
+    """Distances computed into the store at the first call and read from it at the second."""
+    p = ingest.load_processed(spark, *_ingested(spark, sf_dir))
+    p.distances()
+    uid = p.districts.select("district_uid", "district_str")
+    one, two = uid.toDF("i", "one"), uid.toDF("j", "two")
+    named = p.distances().join(one, "i").join(two, "j")
+    return named.select(F.least("one", "two").alias("one"), F.greatest("one", "two").alias("two"), "d")
+
+
+@query
+def distance_edges_sampled(spark, sf_dir):
+    e = Ensemble(spark, sf_dir)
+    drawn = distance.sampled(e.districts, 40)
+    edges = distance.quantile_edges(distance.pair_distances(drawn, e.weights), int(e.weights.first()["cap"]), 20)
+    return edges.select(F.explode("edges").alias("edge"))
+
+
+#: Vertices of the linkage of pairs.
+PAIRED = 24
+
+
+def _paired(spark) -> DataFrame:
+    """Distances of vertices that lie in pairs: k + 1 within pair k, over 1000 elsewhere."""
+    i, j = F.col("i"), F.col("j")
+    rows = spark.range(PAIRED).toDF("i").crossJoin(spark.range(PAIRED).toDF("j")).where(i > j)
+    own = F.floor(i / 2) == F.floor(j / 2)
+    return rows.select("i", "j", F.when(own, F.floor(i / 2) + 1).otherwise(1000 + i - j).cast("bigint").alias("d"))
+
+
+@query
+def hcc_paired_linkage(spark, sf_dir):
+    """Each pair of vertices merges first, in order of distance."""
+    ship(spark)
+    return hcc.linkage(_paired(spark), PAIRED).where(F.col("step") < PAIRED // 2)
+
+
+@query
+def hcc_paired_cut(spark, sf_dir):
+    ship(spark)
+    return cluster.cut_linkage(hcc.linkage(_paired(spark), PAIRED), PAIRED // 2, PAIRED)
+
+
+@query
+def hcc_linkage_totals(spark, sf_dir):
+    """Merges of the ensemble's linkage: their number, clusters merged, the last size, the first distance, and merges below an earlier one."""
+    e = Ensemble(spark, sf_dir)
+    rows = checkpoint(_linkage(spark, e)[0])
+    child = rows.select(F.explode(F.array("a", "b")).alias("c")).agg(F.countDistinct("c").alias("children"))
+    late = rows.alias("x").join(rows.alias("y"), F.col("y.step") == F.col("x.step") + 1).where("y.distance < x.distance")
+    out = rows.agg(F.count("*").alias("merges"), F.max_by("size", "step").alias("last_size"), F.min_by("distance", "step").alias("first_distance"))
+    return out.crossJoin(child).crossJoin(late.agg(F.count("*").alias("falls")))
+
+
+@query
+def spectra_traces(spark, sf_dir):
+    """Sums of the eigenvalues and of their squares: traces of the matrices and of their squares."""
+    found = spectra(spark, sf_dir)
+    squares = F.col("re") * F.col("re") - F.col("im") * F.col("im")
+    return found.groupBy("kind").agg(F.round(F.sum("re"), 5).alias("trace"), F.round(F.sum(squares), 5).alias("trace_of_square"))

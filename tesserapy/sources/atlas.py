@@ -93,19 +93,32 @@ def require_rows(samples: DataFrame) -> DataFrame:
     return samples
 
 
-def write_samples(samples: DataFrame, labels: DataFrame, path: str, header: dict, listed_keys: bool = False) -> None:
-    """Write an atlas as gzip text under the path, in order of step.
+def write_samples(samples: DataFrame, labels: DataFrame, path: str, header: dict, listed_keys: bool = False, scores: tuple[str, ...] = (), one_file: bool = False) -> None:
+    """Write an atlas as gzip text, in order of step.
 
-    The file is one sequence, so one task writes it. listed_keys writes labels as
-    JSON lists.
+    The file is one sequence, so one task writes it: a part in a folder of the
+    path's name, or with one_file the path itself. listed_keys writes labels as
+    JSON lists. scores are columns that each record carries as its data.
     """
     each = samples.select("step", F.posexplode("plan_vector").alias("precinct_idx", "d")).where("d >= 0").join(labels, "precinct_idx")
     quoted = F.to_json(F.array("label")) if listed_keys else F.col("label")
     entry = F.create_map(quoted, F.col("d") + 1)
     lists = F.transform(F.array_sort(F.collect_list(F.struct("precinct_idx", F.to_json(entry).alias("j")))), lambda x: x["j"])
     rows = each.groupBy("step").agg(lists.alias("l"))
-    line = F.concat(F.lit('{"name":"step'), F.col("step"), F.lit('","districting":['), F.array_join("l", ","), F.lit("]}"))
+    data = F.lit("")
+    if scores:
+        rows = rows.join(samples.select("step", F.struct(*scores).alias("s")), "step")
+        data = F.concat(F.lit('"data":'), F.to_json("s"), F.lit(","))
+    line = F.concat(F.lit('{"name":"step'), F.col("step"), F.lit('",'), data, F.lit('"districting":['), F.array_join("l", ","), F.lit("]}"))
     spark = samples.sparkSession
     head = [(-3, json.dumps({"atlas": "plans"})), (-2, json.dumps({})), (-1, json.dumps(header))]
     out = spark.createDataFrame(head, "step bigint, value string").unionByName(rows.select("step", line.alias("value")))
-    out.repartition(1).sortWithinPartitions("step").select("value").write.mode("overwrite").option("compression", "gzip").text(path)
+    folder = f"{path}.parts" if one_file else path
+    out.repartition(1).sortWithinPartitions("step").select("value").write.mode("overwrite").option("compression", "gzip").text(folder)
+    if one_file:
+        named = spark._jvm.org.apache.hadoop.fs.Path
+        fs = named(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        [part] = [f.getPath() for f in fs.listStatus(named(folder)) if f.getPath().getName().startswith("part-")]
+        fs.delete(named(path), True)
+        fs.rename(part, named(path))
+        fs.delete(named(folder), True)

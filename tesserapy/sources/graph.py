@@ -47,7 +47,7 @@ def distance_cap(total: int, num_districts: int) -> int:
 
 
 def write_graph(nodes: DataFrame, edge_rows: DataFrame, path: str, num_districts: int) -> dict:
-    """Write one indented JSON document on the driver's disk, and return it."""
+    """Write one indented JSON document, to any store that Spark writes, and return it."""
     fields = ["precinct_id", "precinct_id_str", "border_length", "x_location", "y_location", "area", "population", "county"]
     rows = nodes.orderBy("precinct_idx").select(*fields).collect()
     adjacency: list[list[dict]] = [[] for _ in rows]
@@ -57,6 +57,11 @@ def write_graph(nodes: DataFrame, edge_rows: DataFrame, path: str, num_districts
         "directed": False, "multigraph": False, "graph": [], "num_districts": int(num_districts),
         "nodes": [r.asDict() for r in rows], "adjacency": adjacency,
     }
-    with open(path, "w") as f:
-        json.dump(document, f, indent=4)
+    spark = nodes.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(json.dumps(document, indent=4).encode()))
+    finally:
+        out.close()
     return document

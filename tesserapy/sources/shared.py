@@ -8,7 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder named in ``spark.checkpoint.dir``.
+
+    Where that is unset, a session whose tasks run in the driver's own process
+    gets a temporary folder; on a cluster executors could not see one, so there
+    it is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
@@ -16,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     known = sc._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
+    if not (sc.master or "").startswith("local") or (sc.master or "").startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="tesserapy-checkpoint-")
     sc.setCheckpointDir(made)
     return made

@@ -41,6 +41,11 @@ class Store:
         """The stored table; made and stored first if it is absent."""
         return self.read(name) if self.has(name) else self.write(name, make())
 
+    def drop(self, name: str) -> None:
+        """Delete one table."""
+        fs, where = self._fs(self.path(name))
+        fs.delete(where, True)
+
     def clean(self) -> None:
         """Delete the tables and leave an empty folder."""
         fs, where = self._fs(self.root)

@@ -1,3 +1,5 @@
+import gzip
+import json
 from collections import Counter
 
 import pytest
@@ -63,6 +65,9 @@ def test_command_line_writes_an_atlas_that_can_be_read(spark, tmp_path):
     rows = main(spark, ["--map_file", path, "--output_file", out, "--pop_dev", "0.34", "--cycle_walk_steps", "30", "--cycle_walk_out_freq", "10", "--run_diagnostics", "true"])
     made = rows.orderBy("step").collect()
     assert [r["step"] for r in made] == [100, 200, 300] and 0 < made[0]["accepted_one"] <= 1 and made[0]["log_forests"] >= 0 and made[0]["isoperimetric"] > 0
+    assert made[0]["cycle_length"] >= 4 and made[0]["delta_nodes"] >= 0
+    records = [json.loads(x) for x in gzip.open(out, "rt")][3:]
+    assert [(r["data"]["log_forests"], r["data"]["isoperimetric"]) for r in records] == [(r["log_forests"], r["isoperimetric"]) for r in made]
     lines = atlas.read_lines(spark, [out])
     assert atlas.header_districts(lines) == 3
     labels = graph.labels(graph.precincts(graph.read_graph(spark, path)))
