@@ -102,9 +102,10 @@ class Index:
         found = np.zeros(self.n, bool)
         for p in range(self.parts):
             probes = np.flatnonzero(_XOR[code[p]] <= share - (p > rest))
-            for v in probes[self.count[p, probes] > 0].tolist():
-                s = self.start[p, v]
-                found[self.order[s : s + self.count[p, v], p]] = True
+            count = self.count[p, probes]
+            # The places of all probed values' rows in the index, one after the other.
+            place = np.arange(int(count.sum())) + np.repeat(self.start[p, probes] - (np.cumsum(count) - count), count)
+            found[self.order[place, p]] = True
         rows = np.flatnonzero(found)
         return rows[_POP[self.codes[rows] ^ code].sum(axis=1) <= radius]
 
@@ -140,10 +141,10 @@ def _block(rows: DataFrame, queries: list, coder: Coder, k: int) -> DataFrame:
             index = Index(coder.codes(x))
             for q in range(len(qid)):
                 near = index.within(qcode[q], int(radius[q]))
-                near = near[ids[near] != qid[q]]
                 if len(near):
                     far = np.sqrt(((x[near] - qx[q]) ** 2).sum(axis=1))
-                    best[q] = _merge(best[q], ids[near], far, k)
+                    # One more than asked for: the query's own row is among them.
+                    best[q] = _merge(best[q], ids[near], far, k + 1)
         out = [(qid[q], b) for q, b in enumerate(best) if b is not None]
         if out:
             yield pa.record_batch([
@@ -156,19 +157,24 @@ def _block(rows: DataFrame, queries: list, coder: Coder, k: int) -> DataFrame:
 
 
 def _nearest(found: DataFrame, k: int) -> DataFrame:
+    """The k nearest of each query, without one row that equals the query in id and vector: its own."""
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    same = (F.col("vec_id") == F.col("query_id")) & (F.col("score") == 0)
+    found = found.withColumn("place", F.sum(same.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    found = found.where(~(same & (F.col("place") == 1)))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = EVERY, k: int = K, sample: int = SAMPLE, block: int = BLOCK, bits: int = BITS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (Euclidean distance).
 
-    Queries are the rows whose id is divisible by ``every``; a query's own id is
-    no candidate. Rows with a null id, or a vector that is null, empty, zero or
+    Queries are the rows whose id is divisible by ``every``; a query's own row is
+    no candidate (other rows of its id are). Rows with a null id, or a vector that is null, empty, zero or
     not finite, take no part, nor do those of another length than the most
     frequent one. Of a repeated id each row is a candidate; as a query its first
     vector counts (in order of components). A query that finds under k rows
-    within the radius is searched again without one. No vectors: no rows.
+    within the radius is searched again without one. No vectors: no rows. Other
+    columns are left, whatever their names; a vector is one value of a row.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x")).where(F.col("id").isNotNull() & usable(F.col("x")))

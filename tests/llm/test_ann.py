@@ -48,3 +48,22 @@ def test_bad_vectors_ties_and_few_rows(spark):
     assert got == [(0, 1, 100), (0, 2, 1), (0, 3, 1), (0, 4, 2), (100, 1, 0), (100, 2, 1), (100, 3, 1), (100, 4, 2)]
     assert ann.search(df.limit(0)).count() == 0
     assert ann.search(df.where("vec_id = 1")).count() == 0
+
+
+def test_other_rows_of_the_querys_id_are_candidates(spark):
+    rows = [(100, [1.0, 1.0]), (100, [1.0, 1.0]), (100, [3.0, 3.0]), (5, [1.0, 1.0]), (6, [9.0, 9.0])]
+    got = [(r["rank"], r["vec_id"], round(r["score"], 3)) for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()]
+    assert got == [(1, 5, 0.0), (2, 100, 0.0), (3, 100, 2.828), (4, 6, 11.314)]
+
+
+def test_recall_over_many_queries(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = df.orderBy("vec_id").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    got = {}
+    for r in ann.search(df, every=4).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert len(got) >= 100 and all(len(v) == 10 for v in got.values())
+    hits = sum(len(v & {n for n, _ in nearest(ids, x, q)}) for q, v in got.items())
+    print("recall", hits / (10 * len(got)))
+    assert hits >= 0.95 * 10 * len(got)
