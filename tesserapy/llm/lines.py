@@ -25,7 +25,7 @@ def _keys(id_col: str, text_col: str) -> tuple[Column, Column]:
 
 
 def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """Start positions (from 0, ascending) of repeated windows: k1, k2, starts array<int>."""
+    """Start positions (from 0) of repeated windows: k1, k2, starts array<int>."""
     one, two = _keys(id_col, text_col)
     keyed = docs.select(F.col(id_col).alias("id"), one.alias("k1"), two.alias("k2"), F.split(F.col(text_col), "\n", -1).alias("lines"))
     keyed = keyed.where(F.size("lines") >= window)
@@ -48,18 +48,7 @@ def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     first = found.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
     first = first.select(F.col("a").alias("fa"), F.col("b").alias("fb"), "first")
     later = found.join(first, (F.col("a") == F.col("fa")) & (F.col("b") == F.col("fb"))).where(~place.eqNullSafe(F.col("first")))
-    return later.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("pos")).alias("starts"))
-
-
-def _kept(starts: Column, n: Column, window: int) -> Column:
-    """A flag for each of n lines: true outside the windows at the (ascending) starts.
-
-    Each window gives its flags up to the next start; what follows a window that
-    ends before that start stays. So the flags cost as much as there are lines.
-    """
-    after = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(n))
-    runs = F.zip_with(starts, after, lambda s, t: F.concat(F.array_repeat(F.lit(False), F.least(F.lit(window), t - s)), F.array_repeat(F.lit(True), F.greatest(F.lit(0), t - s - window))))
-    return F.concat(F.array_repeat(F.lit(True), F.get(starts, F.lit(0))), F.flatten(runs))
+    return later.groupBy("k1", "k2").agg(F.collect_set("pos").alias("starts"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, counts: bool = True) -> DataFrame:
@@ -74,19 +63,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     other columns pass through unchanged, whatever their names; a count whose
     name they have gets underscores after it. Without ``counts`` there are none.
     """
-    k1, k2, s1, s2, at, n, gone = fresh(docs, "k1", "k2", "s1", "s2", "starts", "n_lines", "n_removed")
+    k1, k2, s1, s2, at, lines, n, gone = fresh(docs, "k1", "k2", "s1", "s2", "starts", "lines", "n_lines", "n_removed")
     starts = covered(docs, id_col, text_col, window).select(F.col("k1").alias(s1), F.col("k2").alias(s2), F.col("starts").alias(at))
     one, two = _keys(id_col, text_col)
-    keyed = docs.withColumns({k1: one, k2: two})
+    # Texts go through the join as lists of lines: below a lambda a list that is
+    # a column costs nothing to reach into, one that is an expression is cut anew.
+    keyed = docs.withColumns({k1: one, k2: two, lines: F.split(F.col(text_col), "\n", -1)}).drop(text_col)
     joined = keyed.join(starts, (F.col(k1) == F.col(s1)) & (F.col(k2) == F.col(s2)), "left")
-    lines = F.split(F.col(text_col), "\n", -1)
-    flags = _kept(F.col(at), F.size(lines), window)
-    # The texts are cut as an argument, once, and not again for each line.
-    text = F.when(F.col(at).isNull(), F.col(text_col)).otherwise(F.array_join(F.zip_with(lines, flags, lambda x, keep: F.when(keep, x)), "\n"))
-    size = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long")
-    lost = F.aggregate(flags, F.lit(0).cast("long"), lambda x, keep: x + F.when(keep, 0).otherwise(1))
+    cover = F.flatten(F.transform(at, lambda s: F.sequence(s, s + F.lit(window - 1))))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), cover)
+    text = F.when(F.col(at).isNull(), F.array_join(lines, "\n")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col(lines), i)), "\n"))
+    size = F.when(F.col(lines).isNull(), 0).otherwise(F.size(lines)).cast("long")
+    lost = F.when(F.col(at).isNull(), 0).otherwise(F.size(F.array_distinct(cover))).cast("long")
     others = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*others, *([size.alias(n), F.coalesce(lost, F.lit(0).cast("long")).alias(gone)] if counts else []))
+    return joined.select(*others, *([size.alias(n), lost.alias(gone)] if counts else []))
 
 
 LINES_SQL = r"""
