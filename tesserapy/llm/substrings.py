@@ -9,13 +9,19 @@ of equal anchors. Segments are brought together by the anchor's hash:
 
 * a segment that occurs twice as a whole is covered at once; within a batch of
   documents that is found before anything is shuffled, so a segment that very
-  many documents share costs a row for each batch;
+  many documents share costs a row for each batch. Likewise only one segment of
+  an anchor and batch is dealt by the anchor: the batch's others know already
+  that they share it, and are dealt by their own hash;
 * segments that share only their anchor go to a suffix array, built by linear
   grouping (``gsaca``) over symbols of eight bytes counted from the anchor. Runs
   of suffixes that agree in 24 symbols give classes; a window is a class and
   eight bytes around it, so equal windows are found to the byte;
-* where very many segments share an anchor, their windows are counted one by one
-  by hash instead, so that no group has to fit a task.
+* where very many different segments share an anchor, each is halved: a window
+  reaches far to the left of the anchor or far to the right, so one half is keyed
+  by the bytes before the anchor as well and the other by those after it. Halves
+  that are equal are covered as wholes, and keys that are still too large are
+  halved again, until a key is a whole window. So no group has to fit a task
+  that is larger than the bound, and all of them end in a suffix array.
 
 Removal is judged on the input; documents meet their covered ranges in one join.
 """
@@ -39,8 +45,8 @@ GRAM = 64
 SYMBOL = 8
 #: Bytes scanned at once; longer texts are scanned in pieces that overlap.
 PIECE = 1 << 20
-#: Segments of one anchor that a task takes; more are counted window by window.
-MOST_IN_TASK = 20_000
+#: Different segments of one key that a suffix array takes; keys of more are made finer.
+MOST_IN_TASK = 2_000
 #: Symbols of a suffix array, about.
 ARRAY_SYMBOLS = 150_000
 
@@ -153,12 +159,13 @@ def combine(text: np.ndarray, s: np.ndarray, run: np.ndarray, h: np.ndarray, g:
 
 
 def segments(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """h, g, id, tag, s, off, run, many, done: segments that no earlier one of their batch repeats.
+    """h, g, id, tag, s, off, run, many, done, mate, salt: segments that no earlier one of their batch repeats.
 
-    many: others of the batch are equal. Rows with ``done`` are no segments but
-    ranges found covered within a batch, under keys of their own.
+    many: others of the batch are equal; mate: others of it have the anchor; salt:
+    0 for the first of an anchor and batch. Rows with ``done`` are no segments
+    but ranges found covered within a batch, under keys of their own.
     """
-    names = ["h", "g", "id", "tag", "s", "off", "run", "many", "done"]
+    names = ["h", "g", "id", "tag", "s", "off", "run", "many", "done", "mate", "salt"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(length, gram)
@@ -170,15 +177,20 @@ def segments(rows: DataFrame, length: int, gram: int) -> DataFrame:
             text, s, off, run, h, g = (np.concatenate(c) for c in zip(*parts, strict=True))
             kept, several, (t, a, b) = combine(text, s, run, h, g, length)
             own, n, m = pa.array(np.concatenate([text[kept], t])), len(kept), len(t)
+            # Kept rows are in the order of their anchors.
+            later = np.zeros(n + 1, bool)
+            later[1:-1] = h[kept][1:] == h[kept][:-1]
+            mate, salt = later[1:] | later[:-1], np.where(later[:-1], g[kept] | np.uint64(1), np.uint64(0))
             alone = mix(a.astype(np.uint64) * np.uint64(_STEP) + mix(t.astype(np.uint64) + h[0]))
             cols = [
                 np.concatenate([h[kept], alone]).view(np.int64), np.concatenate([g[kept], mix(alone)]).view(np.int64), ids.take(own), tags.take(own),
                 np.concatenate([s[kept], a]).astype(np.int32), np.concatenate([off[kept], np.zeros(m, np.int64)]).astype(np.int16),
                 np.concatenate([run[kept], b - a - length + 1]).astype(np.int32), np.concatenate([several, np.ones(m, bool)]), np.arange(n + m) >= n,
+                np.concatenate([mate, np.zeros(m, bool)]), np.concatenate([salt, np.zeros(m, np.uint64)]).view(np.int64),
             ]
             yield pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=names)
 
-    schema = "h long, g long, id long, tag int, s int, off short, run int, many boolean, done boolean"
+    schema = "h long, g long, id long, tag int, s int, off short, run int, many boolean, done boolean, mate boolean, salt long"
     return rows.where(F.octet_length("text") >= length).mapInArrow(scan, schema)
 
 
@@ -255,47 +267,27 @@ def _ranges(found: list[tuple[int, int]], length: int) -> Iterator[tuple[int, in
         yield last
 
 
-def _search(groups: DataFrame, length: int, most: int) -> DataFrame:
-    """id, tag, a, b, w1, w2: ranges covered by windows that segments of one anchor share.
-
-    Of anchors with more segments than ``most``, each window is returned with its
-    hash (w1, w2) instead; their rows are dealt over many tasks.
-    """
-    salt = F.when(F.col("m") > most, F.pmod(F.col("g"), F.ceil(F.col("m") / most))).otherwise(0)
-    rows = groups.withColumn("salt", salt).repartition("h", "salt").sortWithinPartitions("h")
-    rows = rows.select("h", "m", "s", "off", "run", "need", "tag", "id", "seg")
-    schema = pa.schema([("id", pa.int64()), ("tag", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64())])
-    up = _powers(_STEP, 2 * length), _powers(pow(_STEP, 3, 1 << 64), 2 * length)
-    down = _powers(pow(_STEP, -1, 1 << 64), 2 * length), _powers(pow(_STEP, -3, 1 << 64), 2 * length)
+def _search(groups: DataFrame, length: int) -> DataFrame:
+    """id, tag, a, b: ranges covered by windows that segments of one key share."""
+    rows = groups.repartition("h").sortWithinPartitions("h").select("h", "s", "off", "run", "need", "tag", "id", "seg")
+    schema = pa.schema([("id", pa.int64()), ("tag", pa.int32()), ("a", pa.int32()), ("b", pa.int32())])
 
     def find(cols: list) -> Iterator[pa.RecordBatch]:
-        m, s, off, run, need, tag, ids, texts = cols
-        cold = np.flatnonzero(m <= most)
-        if len(cold):
-            found = list(repeated_windows([texts[k] for k in cold], off[cold].astype(np.int64), run[cold].astype(np.int64), length))
-            got = [(cold[k], a, b) for k, a, b in _ranges(found, length) if need[cold[k]]]
-            if got:
-                k, a, b = (np.array(x) for x in zip(*got, strict=True))
-                none = pa.nulls(len(k), pa.int64())
-                yield pa.record_batch([pa.array([ids[x] for x in k], pa.int64()), pa.array(tag[k]), pa.array((s[k] + a).astype(np.int32)), pa.array((s[k] + b).astype(np.int32)), none, none], schema=schema)
-        for k in np.flatnonzero(m > most):
-            data = np.frombuffer(texts[k], np.uint8).astype(np.uint64) + np.uint64(1)
-            n = int(run[k])
-            w = []
-            for u, d in zip(up, down, strict=True):
-                total = np.concatenate([[np.uint64(0)], np.cumsum(data * u[: len(data)])])
-                w.append(pa.array(mix((total[length : length + n] - total[:n]) * d[:n]).view(np.int64)))
-            a = (s[k] + np.arange(n)).astype(np.int32)
-            yield pa.record_batch([pa.array([ids[k]] * n, pa.int64()), pa.array(np.full(n, tag[k], np.int32)), pa.array(a), pa.array(a + np.int32(length)), *w], schema=schema)
+        s, off, run, need, tag, ids, texts = cols
+        found = list(repeated_windows(texts, off.astype(np.int64), run.astype(np.int64), length))
+        got = [x for x in _ranges(found, length) if need[x[0]]]
+        if got:
+            k, a, b = (np.array(x) for x in zip(*got, strict=True))
+            yield pa.record_batch([pa.array([ids[x] for x in k], pa.int64()), pa.array(tag[k]), pa.array((s[k] + a).astype(np.int32)), pa.array((s[k] + b).astype(np.int32))], schema=schema)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)] + [batch.column(k).to_pylist() for k in (7, 8)]
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)] + [batch.column(k).to_pylist() for k in (6, 7)]
             held = [np.concatenate([x, y]) if isinstance(y, np.ndarray) else x + y for x, y in zip(held, cols, strict=True)] if held else cols
-            sizes = np.cumsum([len(t) for t in held[8]])
+            sizes = np.cumsum([len(t) for t in held[7]])
             while held and len(sizes) and sizes[-1] > ARRAY_SYMBOLS * SYMBOL:
                 ends = np.flatnonzero(held[0][1:] != held[0][:-1]) + 1
                 if not len(ends):
@@ -308,7 +300,45 @@ def _search(groups: DataFrame, length: int, most: int) -> DataFrame:
         if held and len(held[0]):
             yield from find(held[1:])
 
-    return rows.mapInArrow(scan, "id long, tag int, a int, b int, w1 long, w2 long")
+    return rows.mapInArrow(scan, "id long, tag int, a int, b int")
+
+
+def _sharing(segs: DataFrame) -> DataFrame:
+    """The segments (one of each kind) whose key has others, one of which is not covered yet, and m, their number."""
+    keys = segs.groupBy("h").agg(F.count("*").alias("m"), F.max("need").alias("lacks")).where("m > 1 and lacks")
+    return segs.join(keys.select(F.col("h").alias("__h"), "m"), F.col("h") == F.col("__h")).drop("__h")
+
+
+def _halved(hot: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """Segments under finer keys as from ``_sharing``, and the ranges of halves that are equal.
+
+    lo and hi bound how far from its start a window of the key has its anchor;
+    the bytes that all windows within these bounds reach belong to the key.
+    """
+    middle = F.expr("(lo + hi + 1) div 2").cast("int")
+    both = F.array(F.struct(middle.alias("lo"), F.col("hi").alias("hi")), F.struct(F.col("lo").alias("lo"), (middle - 1).alias("hi")))
+    cut = hot.withColumn("half", F.explode(both)).withColumn("i", F.greatest(F.lit(0), F.col("off") - F.col("half.hi")))
+    cut = cut.withColumn("n", F.least(F.col("run") - 1, F.col("off") - F.col("half.lo")) - F.col("i") + 1).where("n > 0")
+    cut = cut.select(
+        "h", "id", "tag", (F.col("s") + F.col("i")).alias("s"), (F.col("off") - F.col("i")).alias("off"), F.col("n").alias("run"), "need",
+        F.col("half.lo").alias("lo"), F.col("half.hi").alias("hi"), F.expr(f"substring(seg, i + 1, n + {length - 1})").alias("seg"),
+    )
+    key = F.expr(f"substring(seg, off - lo + 1, lo + {length} - hi)")
+    cut = cut.withColumn("h", F.xxhash64("h", "lo", key)).withColumn("g", F.xxhash64(F.lit("g"), "off", "seg"))
+    cut = checkpoint(cut)
+    rest = [c for c in cut.columns if c not in ("h", "g")]
+    kinds = cut.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct(*rest)).alias("one"))
+    segs = kinds.select("h", "g", *[(F.col("one.need") & (F.col("n") == 1)).alias(c) if c == "need" else F.col(f"one.{c}") for c in rest])
+    # Equal halves may be very many: dealt over some tasks.
+    ways = 32
+    equal = kinds.where("n > 1").select(F.col("h").alias("__h"), F.col("g").alias("__g"), F.explode(F.sequence(F.lit(0), F.lit(ways - 1))).alias("__w"))
+    way = F.pmod(F.xxhash64("id", "tag", "s"), F.lit(ways))
+    equal = cut.where("need").join(equal, (F.col("h") == F.col("__h")) & (F.col("g") == F.col("__g")) & (way == F.col("__w")))
+    return checkpoint(_sharing(segs)), _whole(equal, length)
+
+
+def _whole(segs: DataFrame, length: int) -> DataFrame:
+    return segs.select("id", "tag", F.col("s").alias("a"), (F.col("s") + F.col("run") + F.lit(length - 1)).alias("b"))
 
 
 def covered(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST_IN_TASK) -> DataFrame:
@@ -316,25 +346,32 @@ def covered(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int =
 
     rows: as from ``keyed``.
     """
-    by_anchor = Window.partitionBy("h").orderBy("g")
-    near = segments(rows, length, gram).withColumn("__p", F.lag("g").over(by_anchor)).withColumn("__n", F.lead("g").over(by_anchor))
-    near = near.where("__p is not null or __n is not null or many")
-    beside = lambda test: F.coalesce(test(F.col("__p")), F.lit(False)) | F.coalesce(test(F.col("__n")), F.lit(False))
-    near = near.withColumn("twice", F.col("many") | beside(lambda c: c == F.col("g"))).withColumn("other", ~F.col("done") & beside(lambda c: c != F.col("g")))
-    near = near.withColumn("m", F.sum(F.col("other").cast("int")).over(Window.partitionBy("h"))).drop("__p", "__n", "many", "done")
-    near = checkpoint(near)
-    whole = near.where("twice").select("id", "tag", F.col("s").alias("a"), (F.col("s") + F.col("run") + F.lit(length - 1)).alias("b"))
-    apart = near.where("other").select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), "h", "g", "m", "s", "off", "run", (~F.col("twice")).alias("need"))
-    held = apart.join(rows, F.col("__id").eqNullSafe(F.col("id")) & (F.col("__tag") == F.col("tag")))
-    held = held.select("h", "g", "m", "s", F.col("off").cast("int"), F.col("run").cast("int"), "need", "tag", "id", F.expr(f"substring(cast(text as binary), s + 1, run + {length - 1})").alias("seg"))
-    found = _search(held, length, most)
-    if not near.where(F.col("m") > most).take(1):
-        return whole.unionByName(found.select("id", "tag", "a", "b"))
-    found = checkpoint(found)
-    each = found.where("w1 is not null")
-    twice = each.groupBy("w1", "w2").agg(F.count("*").alias("__n")).where("__n > 1").select(F.col("w1").alias("__w1"), F.col("w2").alias("__w2"))
-    hot = each.join(twice, (F.col("w1") == F.col("__w1")) & (F.col("w2") == F.col("__w2")))
-    return whole.unionByName(found.where("w1 is null").select("id", "tag", "a", "b")).unionByName(hot.select("id", "tag", "a", "b"))
+    near = segments(rows, length, gram).withColumn("met", F.count("*").over(Window.partitionBy("h", "salt")))
+    near = near.where("met > 1 or mate or many")
+    equal = Window.partitionBy("h", "g")
+    near = near.withColumn("twice", (F.count("*").over(equal) > 1) | F.max("many").over(equal))
+    near = near.withColumn("one", ~F.col("done") & (F.row_number().over(equal.orderBy("id", "tag", "s")) == 1))
+    near = checkpoint(near.select("h", "g", "id", "tag", "s", F.col("off").cast("int"), "run", "twice", "one"))
+    found = _whole(near.where("twice"), length)
+    apart = _sharing(near.where("one").withColumn("need", ~F.col("twice")).drop("twice", "one"))
+    theirs = apart.withColumnsRenamed({"id": "__id", "tag": "__tag"})
+    held = theirs.join(rows, F.col("__id").eqNullSafe(F.col("id")) & (F.col("__tag") == F.col("tag")))
+    held = held.select("h", "m", "s", "off", "run", "need", "tag", "id", F.expr(f"substring(cast(text as binary), s + 1, run + {length - 1})").alias("seg"))
+    if not apart.where(F.col("m") > most).take(1):
+        return found.unionByName(_search(held, length))
+    held = checkpoint(held)
+    groups = held.where(F.col("m") <= most)
+    hot = held.where(F.col("m") > most).withColumns({"lo": F.lit(0), "hi": F.lit(length - gram)})
+    for _ in range((length - gram).bit_length()):
+        finer, equal = _halved(hot, length, gram)
+        found, groups = found.unionByName(equal), groups.unionByName(finer.where(F.col("m") <= most).select(*groups.columns))
+        hot = finer.where(F.col("m") > most)
+        if not hot.take(1):
+            break
+    else:
+        # Keys that are whole windows hold one kind, unless hashes collide.
+        groups = groups.unionByName(hot.select(*groups.columns))
+    return found.unionByName(_search(groups, length))
 
 
 def merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -60,6 +60,22 @@ def test_equals_brute_force(spark, most):
     assert [got[k] for k in range(len(texts))] == brute([(t or "").encode() for t in texts], 200)
 
 
+@pytest.mark.parametrize("most", [1, 4, 50])
+def test_many_segments_of_one_anchor(spark, most):
+    """A passage in very many texts, with contexts of their own, of a few kinds, and shared on one side only."""
+    rng = random.Random(7)
+    some = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, kinds = some(190), [some(150) for _ in range(3)]
+    texts = []
+    for k in range(70):
+        left = kinds[k % 3][k % 7 :] if k % 2 else some(150)
+        right = kinds[k % 2][: 150 - k % 5] if k % 3 else some(150)
+        texts.append(left + passage[: 190 - (k % 4) * (k % 9)] + right)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substrings.dedup(df, most=most).collect()}
+    assert [got[k] for k in range(len(texts))] == brute([t.encode() for t in texts], 200)
+
+
 def test_repeated_rows_null_ids_and_no_rows(spark):
     body = "".join(random.Random(2).choice("abcdefgh") for _ in range(400))
     df = spark.createDataFrame([(1, body), (1, body), (None, body[:250] + "q" * 30), (None, "short"), (2, "z" + body[100:])], "doc_id long, text string")
