@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, parted
 from .gsaca import suffix_array
 from .textarrays import mix
 
@@ -303,6 +303,13 @@ def _search(groups: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(scan, "id long, tag int, a int, b int")
 
 
+def _texts(segs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
+    """The segments with seg, their bytes."""
+    theirs = segs.withColumnsRenamed({"id": "__id", "tag": "__tag"})
+    held = theirs.join(rows, F.col("__id").eqNullSafe(F.col("id")) & (F.col("__tag") == F.col("tag")))
+    return held.select("h", "m", "s", "off", "run", "need", "tag", "id", F.expr(f"substring(cast(text as binary), s + 1, run + {length - 1})").alias("seg"))
+
+
 def _sharing(segs: DataFrame) -> DataFrame:
     """The segments (one of each kind) whose key has others, one of which is not covered yet, and m, their number."""
     keys = segs.groupBy("h").agg(F.count("*").alias("m"), F.max("need").alias("lacks")).where("m > 1 and lacks")
@@ -354,14 +361,14 @@ def covered(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int =
     near = checkpoint(near.select("h", "g", "id", "tag", "s", F.col("off").cast("int"), "run", "twice", "one"))
     found = _whole(near.where("twice"), length)
     apart = _sharing(near.where("one").withColumn("need", ~F.col("twice")).drop("twice", "one"))
-    theirs = apart.withColumnsRenamed({"id": "__id", "tag": "__tag"})
-    held = theirs.join(rows, F.col("__id").eqNullSafe(F.col("id")) & (F.col("__tag") == F.col("tag")))
-    held = held.select("h", "m", "s", "off", "run", "need", "tag", "id", F.expr(f"substring(cast(text as binary), s + 1, run + {length - 1})").alias("seg"))
-    if not apart.where(F.col("m") > most).take(1):
-        return found.unionByName(_search(held, length))
-    held = checkpoint(held)
-    groups = held.where(F.col("m") <= most)
-    hot = held.where(F.col("m") > most).withColumns({"lo": F.lit(0), "hi": F.lit(length - gram)})
+    few, many = apart.where(F.col("m") <= most), apart.where(F.col("m") > most)
+    # Texts are dealt by id once, for these segments and for the removal alike.
+    groups = _texts(few, rows, length)
+    if not many.take(1):
+        return found.unionByName(_search(groups, length))
+    # What is halved has to be written first, so only texts that hold it are dealt again.
+    rows, _ = parted(rows, F.xxhash64("id", "tag"), many.select(F.xxhash64("id", "tag").alias("key")))
+    hot = checkpoint(_texts(many, rows, length)).withColumns({"lo": F.lit(0), "hi": F.lit(length - gram)})
     for _ in range((length - gram).bit_length()):
         finer, equal = _halved(hot, length, gram)
         found, groups = found.unionByName(equal), groups.unionByName(finer.where(F.col("m") <= most).select(*groups.columns))
