@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+from operator import itemgetter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,9 +75,39 @@ def beam(lists: Column, degree: int, cap: float | None = None) -> Column:
     return F.aggregate(lists, start, extend)
 
 
-def enumerate_words(dist: DataFrame, letter_lists: DataFrame, degree: int, dedupe: bool = True, cap: float | None = None, dedupe_key: str = "plan_str") -> DataFrame:
+def heap_words(lists: list, degree: int, cap: float | None = None) -> list[tuple[float, list[int]]]:
+    """The ``degree`` nearest words of one plan, ties as a bounded heap leaves them.
+
+    A full heap lets go of the farthest word and, of equally far ones, of the
+    smallest. What stays is sorted by distance alone, so equal distances follow
+    the heap's array, and that order ranks them when the next letters come.
+    """
+    words: list[tuple[float, list[int]]] = [(0.0, [])]
+    for letters in lists:
+        grown = ((d + x["d"], [*w, x["l"]]) for rank, (d, w) in enumerate(words) for x in letters[: degree - rank])
+        heap: list = []
+        for d, w in grown:
+            if cap is None or d <= cap:
+                (heapq.heappush if len(heap) < degree else heapq.heappushpop)(heap, (-d, w))
+        words = sorted(((0.0 - d, w) for d, w in heap), key=itemgetter(0))
+    return words
+
+
+def heap_beam(lists: Column, degree: int, cap: float | None = None) -> Column:
+    """heap_words as a column: Arrow batches to Python, as the order is that of a heap's array."""
+    return F.udf(lambda x: heap_words(x, degree, cap), WORDS, useArrow=True).asNondeterministic()(lists)
+
+
+#: How words of equal distance are kept and ordered.
+BEAMS = {"word": beam, "heap": heap_beam}
+
+
+def enumerate_words(dist: DataFrame, letter_lists: DataFrame, degree: int, dedupe: bool = True, cap: float | None = None, dedupe_key: str = "plan_str", ties: str = "word") -> DataFrame:
     """plan_uid, place, word, distance, min_distance, plan_str, word_str, word_uid.
 
+    Words of equal distance are kept and ordered by their letters, or with
+    ties="heap" as a bounded heap does.
+
     With dedupe, words are sorted multisets of letters, and of the rows that
     share plan_str and word_str the first stays (so a plan that occurs under two
     tags keeps its words once; dedupe_key="plan_uid" keeps them for each). A plan
@@ -84,7 +117,7 @@ def enumerate_words(dist: DataFrame, letter_lists: DataFrame, degree: int, dedup
     each = dist.select("plan_uid", "plan_str", F.posexplode("plan_vector").alias("k", "district_uid")).join(letter_lists, "district_uid")
     lists = F.transform(F.array_sort(F.collect_list(F.struct("k", "letters"))), lambda x: x["letters"])
     plans = each.groupBy("plan_uid", "plan_str").agg(lists.alias("lists"))
-    found = plans.withColumn("words", beam(F.col("lists"), degree, cap)).where(F.size("words") > 0)
+    found = plans.withColumn("words", BEAMS[ties](F.col("lists"), degree, cap)).where(F.size("words") > 0)
     rows = found.select("plan_uid", "plan_str", F.col("words")[0]["d"].alias("min_distance"), F.posexplode("words").alias("place", "x"))
     word = F.array_sort("x.w") if dedupe else F.col("x.w")
     rows = rows.select("plan_uid", "place", word.alias("word"), F.col("x.d").alias("distance"), "min_distance", "plan_str")

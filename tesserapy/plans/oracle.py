@@ -203,6 +203,7 @@ from mats a join mats b on a.kind = b.kind and a.word1 = b.word2 and a.word2 = b
         "letter_subset": _with(base, one) + "select district_uid, cast(row_number() over (partition by district_uid order by d, list_position([7, 2, 9, 4], c)) - 1 as int) place, c letter, d::double distance from cd1 where c in (7, 2, 9, 4)",
         "plan_words": _with(*word_parts) + f"select {word_cols} from wx",
         "plan_words_nodedupe": _with(base, one, words(dedupe=False)) + f"select {word_cols} from wx",
+        "plan_words_heap": _with(base, one, words(dedupe=False)) + "select plan_uid, place, distance, min_distance from wx",
         "plan_words_capped": _with(base, one, words(cap=CAP)) + f"select {word_cols} from wx",
         "plan_words_shared_tags": _with(ensemble("week", True), one, words()) + f"select {word_cols} from wx",
         "pou_weights": _with(*strata) + "select plan_uid, word_uid, " + ", ".join(_r(c, n) for c, n in (("freq", "plan_freq"), ("phi", "phi"), ("phi_normalized", "phi_normalized"), ("phi_freq", "phi_freq"))) + " from pf",

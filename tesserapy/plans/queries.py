@@ -310,6 +310,13 @@ def plan_words_capped(spark, sf_dir):
     return _words_out(Ensemble(spark, sf_dir).words(cap=float(CAP)))
 
 
+@query
+def plan_words_heap(spark, sf_dir):
+    """Distances of the words that a bounded heap keeps: its ties change words, never distances."""
+    ship(spark)
+    return Ensemble(spark, sf_dir).words(dedupe=False, ties="heap").select("plan_uid", "place", "distance", "min_distance")
+
+
 @query
 def plan_words_shared_tags(spark, sf_dir):
     return _words_out(Ensemble(spark, sf_dir, shared_tags=True).words())

@@ -31,6 +31,32 @@ def test_beam_cap_keeps_equal_and_may_empty(spark):
     assert beam_of(spark, lists, 5, cap=1.5) == []
 
 
+def test_heap_ties_keep_the_larger_word(spark):
+    lists = [[(0.0, 5), (1.0, 0)], [(1.0, 1), (2.0, 2)]]
+    rows = [[{"d": d, "l": x} for d, x in arr] for arr in lists]
+    assert words.heap_words(rows, 2) == [(1.0, [5, 1]), (2.0, [5, 2])]
+    assert beam_of(spark, lists, 2) == [(1.0, [5, 1]), (2.0, [0, 1])]
+    assert words.heap_words(rows, 2, cap=1.0) == [(1.0, [5, 1])]
+    assert words.heap_words(rows, 2, cap=0.5) == []
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_heap_finds_the_nearest_distances(seed):
+    rng = np.random.default_rng(seed)
+    lists = [sorted((float(rng.integers(0, 4)), k) for k in range(5)) for _ in range(3)]
+    got = words.heap_words([[{"d": d, "l": x} for d, x in arr] for arr in lists], 6)
+    every = {tuple(x for _, x in pick): sum(d for d, _ in pick) for pick in itertools.product(*lists)}
+    assert [d for d, _ in got] == sorted(every.values())[:6]
+    assert len({tuple(w) for _, w in got}) == 6 and all(every[tuple(w)] == d for d, w in got)
+
+
+def test_heap_mode_of_plans(spark, plans):
+    dist, letters = plans
+    key = lambda r: (r["plan_uid"], r["place"], r["distance"], r["min_distance"])
+    modes = [sorted(key(r) for r in words.enumerate_words(dist, letters, 3, dedupe=False, ties=t).collect()) for t in ("word", "heap")]
+    assert modes[0] == modes[1]
+
+
 @pytest.fixture()
 def plans(spark):
     dist = spark.createDataFrame([(0, "a", "0.1", 0.5, [0, 1]), (1, "b", "0.1", 1.0, [0, 1]), (2, "a", "1.1", 0.5, [1, 1])], "plan_uid long, sample_tag string, plan_str string, freq double, plan_vector array<bigint>")
