@@ -7,7 +7,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.shipping import ship
-from . import ann, decontam, langid, lines, mixing, quality, simhash, substrings, urls, warc
+from . import ann, decontam, langid, lines, mixing, pii, quality, simhash, substrings, urls, warc
 from .common import table
 
 
@@ -56,6 +56,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.counted(table(spark, sf_dir, "documents"))
+
+
 def _shipped(query):
     """The query, after the package has been sent to the workers."""
 
@@ -79,6 +83,7 @@ def queries() -> dict:
         "op8_mixing": op8_mixing,
         "op9_quality": op9_quality,
         "op10_line_dedup": op10_line_dedup,
+        "op11_pii": op11_pii,
     }
     return {name: _shipped(f) for name, f in found.items()}
 
