@@ -7,7 +7,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.shipping import ship
-from . import ann, decontam, langid, lines, mixing, pii, quality, simhash, substrings, urls, warc
+from . import ann, crosstok, decontam, langid, lines, mixing, pii, quality, simhash, substrings, urls, warc
 from .common import table
 
 
@@ -60,6 +60,10 @@ def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.counted(table(spark, sf_dir, "documents"))
 
 
+def op12_crosstok(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstok.aligned(table(spark, sf_dir, "documents"))
+
+
 def _shipped(query):
     """The query, after the package has been sent to the workers."""
 
@@ -84,6 +88,7 @@ def queries() -> dict:
         "op9_quality": op9_quality,
         "op10_line_dedup": op10_line_dedup,
         "op11_pii": op11_pii,
+        "op12_crosstok": op12_crosstok,
     }
     return {name: _shipped(f) for name, f in found.items()}
 
