@@ -60,7 +60,7 @@ def brute(both, texts):
 @given(st.text(alphabet=st.sampled_from("ab'sZ é9.\n\t 🙂中  -<>|\x1c  "), max_size=40))
 def test_parts_encode_like_the_whole(text):
     both = crosstok.tokenizers(crosstok.FOLDER, crosstok.FILE_A, crosstok.FILE_B)
-    parts = [p for run in crosstok.runs(text, 7) for p in run]
+    parts = [p for run in crosstok.parts_of(list(crosstok.runs(text, 7))).to_pylist() for p in run]
     assert " ".join(parts) == text
     a, b = both.encode(parts) if parts else ([], [])
     if text:
@@ -68,6 +68,16 @@ def test_parts_encode_like_the_whole(text):
         assert [i for x in b for i in x] == both.b.encode(text)
 
 
+def test_memory_forgets_and_keeps(both):
+    work, memory = crosstok.Aligner(both), crosstok.Memory(6)
+    for words in (["ab", "cd,", "é"], ["cd,", "x▁", "中文"], ["ab", "q", "r", "s", "t", "cd,"], ["zz", "ab"], ["cd,", "ab", "s"]):
+        got, want = memory.look(words, work.parts), work.parts(words)
+        for one, two in zip(vars(got).values(), vars(want).values(), strict=True):
+            assert one.tolist() == two.tolist()
+        assert len(memory.place) == len(memory.parts.texts) <= 12
+    work.close()
+
+
 TEXTS = ["Hello world, hello!", None, "", " ", "a  b \n c", "naïve café 🙂🙂 中文字", "<|endoftext|> <s> <unk> </s>", "a▁b", "x" * 500, "Hello world, hello!", "tail ", "\ttab", "don't we'll  I'm", "the the the of of", "1234567 89"]
 
 
