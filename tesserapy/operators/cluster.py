@@ -122,3 +122,59 @@ def kcentroids(districts: DataFrame, assignment: DataFrame, weights: DataFrame,
             break
         before = after
     return now, letters
+
+
+def node_members(linkage: DataFrame, n: int) -> DataFrame:
+    """node, district_uid: the leaves under every node of the dendrogram, the leaves' own nodes included.
+
+    Ways to the ancestors double in each round, so it takes log2 of the depth
+    joins. The result has a row for each leaf and ancestor.
+    """
+    child = F.explode(F.array(F.col("a"), F.col("b")))
+    jump = checkpoint(linkage.select(child.alias("node"), (F.col("step") + n).cast("bigint").alias("up")))
+    found = linkage.sparkSession.range(n).select(F.col("id").alias("district_uid"), F.col("id").alias("node"))
+    while jump.take(1):
+        found = checkpoint(found.unionByName(found.join(jump, "node").select("district_uid", F.col("up").alias("node"))))
+        jump = checkpoint(jump.join(jump.select(F.col("node").alias("up"), F.col("up").alias("far")), "up").select("node", F.col("far").alias("up")))
+    return found
+
+
+#: Steps whose running sums one task adds up.
+STEPS = 1024
+
+
+def elbow_curve(districts: DataFrame, linkage: DataFrame, weights: DataFrame, n: int) -> DataFrame:
+    """k, wcss: total of capped distances to the own centroid for each number of clusters that the dendrogram gives, 1 to n.
+
+    One sweep: a merge takes the costs of two nodes away and adds that of the new
+    one, so each node's cost is computed once, whatever the number of cuts. The
+    running sums are taken in blocks of steps with an offset each.
+    """
+    own = node_members(linkage, n).join(districts.select("district_uid", "members"), "district_uid")
+    sizes = own.groupBy("node").agg(F.count("*").alias("size"))
+    held = own.select("node", F.explode("members").alias("precinct")).groupBy("node", "precinct").agg(F.count("*").alias("n"))
+    major = held.join(sizes, "node").where(2 * F.col("n") >= F.col("size")).groupBy("node").agg(F.array_sort(F.collect_list("precinct")).alias("c"))
+    one = F.broadcast(weights.select("weights", "cap"))
+    centre = sizes.join(major, "node", "left").select("node", F.coalesce("c", F.array().cast("array<int>")).alias("c"))
+    rows = own.join(centre, "node").crossJoin(one)
+    d = set_distance(F.col("members"), F.col("c"), weight_of(F.col("members"), F.col("weights")), weight_of(F.col("c"), F.col("weights")), F.col("weights"), F.col("cap"))
+    costs = checkpoint(rows.groupBy("node").agg(F.sum(d).alias("cost")))
+    cost = lambda name: costs.select(F.col("node").alias(name), F.col("cost").alias(f"cost_{name}"))
+    steps = linkage.select("step", "a", "b", (F.col("step") + n).cast("bigint").alias("r")).join(cost("r"), "r").join(cost("a"), "a").join(cost("b"), "b")
+    gain = steps.select("step", F.floor(F.col("step") / STEPS).alias("block"), (F.col("cost_r") - F.col("cost_a") - F.col("cost_b")).alias("gain"))
+    gain = checkpoint(gain)
+    running = gain.withColumn("run", F.sum("gain").over(Window.partitionBy("block").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)))
+    totals = gain.groupBy("block").agg(F.sum("gain").alias("total"))
+    before = totals.alias("x").join(totals.alias("y"), F.col("y.block") < F.col("x.block"), "left").groupBy("x.block").agg(F.coalesce(F.sum("y.total"), F.lit(0)).alias("before"))
+    singles = districts.sparkSession.createDataFrame([(n, 0)] if n else [], "k bigint, wcss bigint")
+    summed = running.join(before, "block").select((F.lit(n - 1) - F.col("step")).cast("bigint").alias("k"), (F.col("run") + F.col("before")).cast("bigint").alias("wcss"))
+    return singles.unionByName(summed)
+
+
+def knee(curve: DataFrame) -> DataFrame:
+    """One row: k, wcss where a falling curve lies farthest below the line between its ends; of equals the smallest k."""
+    ends = curve.agg(F.min("k").alias("k0"), F.max("k").alias("k1"), F.max_by("wcss", F.col("k")).alias("w1"), F.min_by("wcss", F.col("k")).alias("w0"))
+    line = F.col("w0") + (F.col("w1") - F.col("w0")) * (F.col("k") - F.col("k0")) / F.greatest(F.col("k1") - F.col("k0"), F.lit(1))
+    below = curve.crossJoin(F.broadcast(ends)).select("k", "wcss", F.round(line - F.col("wcss"), 6).alias("below"))
+    best = below.agg(F.max(F.struct("below", (-F.col("k")).alias("order"), "k", "wcss")).alias("x"))
+    return best.where("x is not null").select("x.k", "x.wcss")

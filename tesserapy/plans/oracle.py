@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 K, DEGREE = 12, 5
 SUBSET = (7, 2, 9, 2, 4)
 WORD = (3, 1, 8)
 DIGITS = 9
+#: Share of the distance cap within which a word covers a plan, and digits of the fixed point.
+ETA, FIXED_DIGITS = 0.3, 8
+#: Steps of a chain that a stream leaves out at its start, and samples that it takes.
+BURN_IN, CHAIN = 10, 120
+#: Plans drawn from a stratum.
+DRAWN = 3
+#: Share of the cap within which districts are near.
+NEAR = 0.2
 
 
 def ensemble(unit: str = "week", shared_tags: bool = False) -> str:
@@ -110,6 +120,61 @@ fx as (select a.word_uid word1, b.word_uid word2, sum(a.phi_normalized * b.phi_n
   from pf a join pf b on a.plan_uid = b.plan_uid join st on st.word_uid = a.word_uid group by 1, 2)
 """
 
+#: Each plan and its chain's next one, with the cheapest of all ways to match their districts.
+NEXT = f"""
+sym as (select i, j, d from dd union all select j, i, d from dd union all select district_uid, district_uid, 0 from cat),
+nx as (select sample_tag, step, lead(step) over (partition by sample_tag order by step) next_step, string_split(plan, '.')::bigint[] a,
+  lead(string_split(plan, '.')::bigint[]) over (partition by sample_tag order by step) b from pl),
+ways as (select * from (values {", ".join(map(str, permutations((1, 2, 3))))}) v(p1, p2, p3)),
+ma as (select sample_tag, step, next_step, min(x.d + y.d + z.d) d from nx cross join ways
+  join sym x on x.i = a[1] and x.j = b[p1] join sym y on y.i = a[2] and y.j = b[p2] join sym z on z.i = a[3] and z.j = b[p3] where next_step is not null group by all)
+"""
+
+#: A plain greedy cover, a pick at a time.
+COVER = f"""
+wp as (select word_uid, list(distinct plan_uid) plans from wx cross join capq where distance <= cap * {ETA} group by 1),
+picks as (select 0 as n, null::bigint as word_uid, 0::bigint as gain, []::bigint[] as seen
+  union all select n + 1, best.u, best.g, list_concat(seen, best.p) from (
+    select n, any_value(seen) seen, max(struct_pack(g := len(list_filter(plans, lambda x: not list_contains(seen, x))), o := -wp.word_uid, u := wp.word_uid,
+      p := list_filter(plans, lambda x: not list_contains(seen, x)))) best from picks, wp group by n) q where best.g > 0)
+"""
+
+#: Costs of the first t + 1 districts as one cluster, for every t, and the knee of their curve.
+LADDER = """
+pre as (select c.district_uid t, m.district_uid v, m.w from cat c join dw m on m.district_uid <= c.district_uid),
+pc as (select t, p, count(*) n from pre join mem on mem.district_uid = v group by all),
+ctr as (select t, p from pc where 2 * n >= t + 1),
+ctw as (select cat.district_uid t, coalesce(sum(w), 0) cw from cat left join ctr on ctr.t = cat.district_uid left join pop using (p) group by 1),
+shr as (select pre.t, v, sum(pop.w) x from pre join mem on mem.district_uid = v join ctr on ctr.t = pre.t and ctr.p = mem.p join pop on pop.p = mem.p group by all),
+curve as (select (select count(*) from cat) - t k, cast(sum(least(w + cw - 2 * coalesce(x, 0), cap)) as bigint) wcss from pre join ctw using (t) left join shr using (t, v) cross join capq group by t),
+ends as (select min(k) k0, max(k) k1, max_by(wcss, k) w1, min_by(wcss, k) w0 from curve),
+below as (select k, wcss, round(w0 + (w1 - w0) * (k - k0) / greatest(k1 - k0, 1) - wcss, 6) below from curve, ends)
+"""
+
+#: Members of districts, rarest first, with what stands before each.
+INDEX = f"""
+lim as (select cast(floor(cap * {NEAR}) as bigint) as bound from capq),
+oft as (select p, count(*) often from mem group by 1),
+ord as (select district_uid, dw.w, p, coalesce(sum(pop.w) over (partition by district_uid order by often, p rows between unbounded preceding and 1 preceding), 0) before
+  from mem join oft using (p) join pop using (p) join dw using (district_uid)),
+idx as (select ord.* from ord, lim where before <= bound)
+"""
+
+#: The plans of smallest keys in each stratum, and the chance that each was drawn.
+DRAWS = f"""
+ky as (select word_uid, plan_uid, phi_freq w, -ln((cast('0x' || substr(md5('0:' || word_uid || ':' || plan_uid), 1, 12) as bigint) + 0.5) / 281474976710656.0) / phi_freq as key from pf where phi_freq > 0),
+rk as (select *, row_number() over (partition by word_uid order by key, plan_uid) place from ky),
+lo as (select word_uid, key out from rk where place = {DRAWN} + 1),
+dr as (select word_uid, plan_uid, w, case when out is null then 1.0 else 1 - exp(-w * out) end inclusion from rk left join lo using (word_uid) where place <= {DRAWN})
+"""
+
+#: Components of the flux graph, and the weights of each component scaled to 1.
+FIXED = """
+hop as (select word1 a, word2 b from fx where value > 0 union select word2, word1 from fx where value > 0),
+reach as (select a, b from hop union select r.a, hop.b from reach r join hop on hop.a = r.b),
+comp as (select a word_uid, min(b) component from reach group by 1)
+"""
+
 LETTERS = "wl as (select * from (values " + ", ".join(f"({k}, {x})" for k, x in enumerate(WORD)) + ") v(place, letter))"
 
 
@@ -125,8 +190,8 @@ q as (select unnest(quantile_cont(d, [{", ".join(str(k / bins) for k in range(bi
 select distinct cast(trunc(e) as int) edge from q"""
 
 
-def _with(*parts: str) -> str:
-    return "with " + ",".join(parts) + " "
+def _with(*parts: str, recursive: bool = False) -> str:
+    return ("with recursive " if recursive else "with ") + ",".join(parts) + " "
 
 
 def oracle_sql() -> dict[str, str]:
@@ -223,6 +288,18 @@ from mats a join mats b on a.kind = b.kind and a.word1 = b.word2 and a.word2 = b
         "plan_frame": _with(base) + "select plan_uid, mem.p precinct, cast(max(k) as int) district_id, (mem.p % 5)::double x0, (mem.p // 5)::double y0 from (select plan_uid, unnest(string_split(plan_str, '.'))::bigint district_uid, unnest(range(3)) k from dist) q join mem using (district_uid) group by 1, 2, 4, 5",
         "district_mask": "select cast(n_nationkey as int) precinct, n_nationkey in (0, 1, 5, 6) selected from nation",
         "atlas_round_trip": _with(base) + "select step - 1 as plan_id, step, 'atlas' as sample_tag, string_agg(cast(district_id as varchar), '.' order by p) plan_vector from asg group by 1, 2, 3",
+        "plan_step_distance": _with(base, PAIRS, NEXT) + "select sample_tag, step, next_step, cast(d as bigint) d from ma",
+        "word_cover": _with(*word_parts, COVER, recursive=True) + "select word_uid, cast(n - 1 as bigint) as place, gain from picks where n > 0",
+        "plan_cover": _with(*word_parts, COVER, recursive=True) + "select plan_uid, word_uid, cast(place as bigint) place from (select unnest(p) plan_uid, word_uid, place from (select word_uid, n - 1 place, seen[len(seen) - gain + 1:] p from picks where n > 0) a) b",
+        "elbow_of_ladder": _with(base, PAIRS, LADDER) + "select k, wcss, k = (select k from below order by below desc, k limit 1) knee from below",
+        "near_district_candidates": _with(base, PAIRS, INDEX) + """select (select count(*) from (select x.district_uid, y.district_uid from idx x join idx y on x.p = y.p and x.district_uid > y.district_uid, lim where abs(x.w - y.w) <= bound and x.before + y.before <= bound
+  union select x.district_uid, y.district_uid from dw x join dw y on x.district_uid > y.district_uid, lim where x.w + y.w <= bound) q) as candidates,
+(select count(*) from dd, lim where raw <= bound) as near, cast(count(*) * (count(*) - 1) / 2 as bigint) as pairs from cat""",
+        "near_districts": _with(base, PAIRS) + f"select i, j, cast(raw as bigint) d from dd, capq where raw <= cast(floor(cap * {NEAR}) as bigint)",
+        "stratified_plans": _with(*strata, DRAWS) + f"select word_uid, plan_uid, round(w, {FIXED_DIGITS}) w, round(inclusion, {FIXED_DIGITS}) inclusion from dr",
+        "stratified_weights": _with(*strata, DRAWS) + f"select word_uid, count(*) drawn, round(sum(w / inclusion), {FIXED_DIGITS}) estimate, any_value(round(stationary, {FIXED_DIGITS})) stationary from dr join st using (word_uid) group by 1",
+        "streamed_samples": _with(base) + f", one as (select sample_tag, step, string_agg(cast(district_id as varchar), '.' order by p) plan_vector, row_number() over (partition by sample_tag order by step) - 1 place from asg where step > {BURN_IN} group by 1, 2) select sample_tag, step, place, plan_vector from one where place < {CHAIN}",
+        "flux_fixed_point": _with(*strata, FIXED, recursive=True) + f"select word_uid, component, round(stationary / sum(stationary) over (partition by component), {FIXED_DIGITS}) z from st join comp using (word_uid)",
     }
 
 

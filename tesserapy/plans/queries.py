@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codecs import indicator, vec_to_str
-from ..operators import catalog, cluster, distance, frames, grid, hcc, sampler, strata, words
+from ..operators import catalog, cluster, cover, distance, draws, fixed_point, frames, grid, hcc, matching, sampler, spectrum, strata, words
 from ..sources import atlas, ensemble, graph, ingest
-from ..sources.shared import checkpoint, shared_dir
-from .oracle import CAP, DEGREE, DIGITS, K, SUBSET, WORD
+from ..sources.shared import checkpoint, discard, shared_dir
+from ..streaming import atlas_stream
+from .oracle import BURN_IN, CAP, CHAIN, DEGREE, DIGITS, DRAWN, ETA, FIXED_DIGITS, K, NEAR, SUBSET, WORD
 from .shipping import ship
 
 SIDE, DISTRICTS = ensemble.SIDE, ensemble.DISTRICTS
@@ -43,6 +44,14 @@ def dotted(name: str) -> Column:
     return F.array_join(F.transform(name, lambda x: x.cast("string")), ".").alias(name)
 
 
+def kept(rows: DataFrame, *paths: str) -> DataFrame:
+    """The rows, written to the shared folder, after which the files that they came from are deleted."""
+    out = checkpoint(rows)
+    for path in paths:
+        discard(out.sparkSession, path)
+    return out
+
+
 class Ensemble:
     """The tables of a folder's ensemble.
 
@@ -430,7 +439,7 @@ def atlas_round_trip(spark, sf_dir):
     labels = grid.grid_nodes(spark, SIDE).select("precinct_idx", F.col("precinct_id_str").alias("label"))
     atlas.write_samples(e.samples, labels, path, {"districts": DISTRICTS}, listed_keys=True)
     lines = atlas.read_lines(spark, [f"{path}/*.gz"]).withColumn("tag", F.lit("atlas"))
-    return atlas.read_samples(lines, labels, CELLS, 1 << 30).select("plan_id", "step", "sample_tag", dotted("plan_vector"))
+    return kept(atlas.read_samples(lines, labels, CELLS, 1 << 30).select("plan_id", "step", "sample_tag", dotted("plan_vector")), path)
 
 
 def _chains(spark) -> DataFrame:
@@ -469,24 +478,28 @@ def _graph(spark, sf_dir) -> str:
 
 @query
 def graph_precincts(spark, sf_dir):
-    return graph.precincts(graph.read_graph(spark, _graph(spark, sf_dir)))
+    path = _graph(spark, sf_dir)
+    return kept(graph.precincts(graph.read_graph(spark, path)), path)
 
 
 @query
 def graph_edges(spark, sf_dir):
-    return graph.edges(graph.read_graph(spark, _graph(spark, sf_dir)))
+    path = _graph(spark, sf_dir)
+    return kept(graph.edges(graph.read_graph(spark, path)), path)
 
 
 @query
 def graph_labels(spark, sf_dir):
-    return graph.labels(graph.precincts(graph.read_graph(spark, _graph(spark, sf_dir))))
+    path = _graph(spark, sf_dir)
+    return kept(graph.labels(graph.precincts(graph.read_graph(spark, path))), path)
 
 
 @query
 def graph_weights(spark, sf_dir):
-    doc = graph.read_graph(spark, _graph(spark, sf_dir))
+    path = _graph(spark, sf_dir)
+    doc = graph.read_graph(spark, path)
     rows = graph.weights(graph.precincts(doc)).crossJoin(doc.select("num_districts"))
-    return rows.select(dotted("weights"), "total", F.floor(F.col("total") * 2 / F.col("num_districts")).alias("cap"))
+    return kept(rows.select(dotted("weights"), "total", F.floor(F.col("total") * 2 / F.col("num_districts")).alias("cap")), path)
 
 
 def _atlases(spark, sf_dir) -> list[str]:
@@ -503,46 +516,52 @@ def _atlases(spark, sf_dir) -> list[str]:
 @query
 def atlas_two_files(spark, sf_dir):
     """Two files in one list: their tags, a header that names the districts, a first step and a limit a file."""
-    lines = checkpoint(atlas.read_lines(spark, _atlases(spark, sf_dir)))
+    paths = _atlases(spark, sf_dir)
+    lines = checkpoint(atlas.read_lines(spark, paths))
     labels = grid.grid_nodes(spark, SIDE).select("precinct_idx", F.col("precinct_id_str").alias("label"))
     rows = atlas.read_samples(lines, labels, CELLS, 60, min_step=9)
-    return rows.select("plan_id", "step", "sample_tag", dotted("plan_vector"), F.lit(atlas.header_districts(lines)).alias("districts"))
+    return kept(rows.select("plan_id", "step", "sample_tag", dotted("plan_vector"), F.lit(atlas.header_districts(lines)).alias("districts")), *paths)
 
 
 def _ingested(spark, sf_dir) -> tuple[str, str]:
     """Root of a store that the two atlases were processed into, and the graph document."""
-    root, map_file = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", _graph(spark, sf_dir)
-    ingest.process_samples(spark, root, map_file, _atlases(spark, sf_dir), 1 << 30)
+    root, map_file, paths = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", _graph(spark, sf_dir), _atlases(spark, sf_dir)
+    ingest.process_samples(spark, root, map_file, paths, 1 << 30)
+    for path in paths:
+        discard(spark, path)
     return root, map_file
 
 
 @query
 def ingested_samples(spark, sf_dir):
     """Samples that were processed into a store, as loaded from it."""
-    found = ingest.load_processed(spark, *_ingested(spark, sf_dir)).samples
-    return found.select("plan_id", "step", "sample_tag", dotted("plan_vector"))
+    places = _ingested(spark, sf_dir)
+    found = ingest.load_processed(spark, *places).samples
+    return kept(found.select("plan_id", "step", "sample_tag", dotted("plan_vector")), *places)
 
 
 @query
 def ingested_districts(spark, sf_dir):
-    return ingest.load_processed(spark, *_ingested(spark, sf_dir)).districts.select("district_str", "weight")
+    places = _ingested(spark, sf_dir)
+    return kept(ingest.load_processed(spark, *places).districts.select("district_str", "weight"), *places)
 
 
 @query
 def ingested_distributions(spark, sf_dir):
     """Distributions as loaded, with each plan spelt by its districts' members."""
-    p = ingest.load_processed(spark, *_ingested(spark, sf_dir))
+    places = _ingested(spark, sf_dir)
+    p = ingest.load_processed(spark, *places)
     each = p.distributions.select("sample_tag", "plan_uid", F.col("count").alias("cnt"), "freq", F.explode("plan_vector").alias("district_uid"))
     named = each.join(p.districts.select("district_uid", "district_str"), "district_uid")
     spelt = F.array_join(F.array_sort(F.collect_list("district_str")), "|").alias("plan")
-    return named.groupBy("sample_tag", "plan_uid", "cnt", "freq").agg(spelt).select("sample_tag", "plan", "cnt", *rounded("freq"))
+    return kept(named.groupBy("sample_tag", "plan_uid", "cnt", "freq").agg(spelt).select("sample_tag", "plan", "cnt", *rounded("freq")), *places)
 
 
 @query
 def ingested_edges(spark, sf_dir):
     """Edges of the distances among 100 sampled districts in 50 bins, as stored by ingest."""
-    found = ingest.load_processed(spark, *_ingested(spark, sf_dir)).edges
-    return found.select(F.explode("edges").alias("edge"))
+    places = _ingested(spark, sf_dir)
+    return kept(ingest.load_processed(spark, *places).edges.select(F.explode("edges").alias("edge")), *places)
 
 
 @query
@@ -550,18 +569,19 @@ def ingested_edges_on_reload(spark, sf_dir):
     """Edges that were missing on reload: 500 sampled districts, 400 bins."""
     root, map_file = _ingested(spark, sf_dir)
     ingest.load_processed(spark, root, map_file).store.drop("distance_edges")
-    return ingest.load_processed(spark, root, map_file).edges.select(F.explode("edges").alias("edge"))
+    return kept(ingest.load_processed(spark, root, map_file).edges.select(F.explode("edges").alias("edge")), root, map_file)
 
 
 @query
 def ingested_distances(spark, sf_dir):
     """Distances computed into the store at the first call and read from it at the second."""
-    p = ingest.load_processed(spark, *_ingested(spark, sf_dir))
+    places = _ingested(spark, sf_dir)
+    p = ingest.load_processed(spark, *places)
     p.distances()
     uid = p.districts.select("district_uid", "district_str")
     one, two = uid.toDF("i", "one"), uid.toDF("j", "two")
     named = p.distances().join(one, "i").join(two, "j")
-    return named.select(F.least("one", "two").alias("one"), F.greatest("one", "two").alias("two"), "d")
+    return kept(named.select(F.least("one", "two").alias("one"), F.greatest("one", "two").alias("two"), "d"), *places)
 
 
 @query
@@ -614,3 +634,117 @@ def spectra_traces(spark, sf_dir):
     found = spectra(spark, sf_dir)
     squares = F.col("re") * F.col("re") - F.col("im") * F.col("im")
     return found.groupBy("kind").agg(F.round(F.sum("re"), 5).alias("trace"), F.round(F.sum(squares), 5).alias("trace_of_square"))
+
+
+@query
+def plan_step_distance(spark, sf_dir):
+    """Cheapest matching of each plan's districts with those of its chain's next plan."""
+    e = Ensemble(spark, sf_dir)
+    spelt = matching.spelt_plans(e.plans, e.districts, e.weights, vector="plan")
+    found = matching.plan_distances(matching.next_plans(e.plans), spelt, e.weights, DISTRICTS)
+    return found.select("sample_tag", "step", "next_step", "d")
+
+
+def _cover(e: Ensemble) -> tuple[DataFrame, DataFrame]:
+    eta = int(e.weights.first()["cap"]) * ETA
+    return cover.greedy_cover(cover.near_words(e.words(), eta))
+
+
+@query
+def word_cover(spark, sf_dir):
+    """Words that a greedy cover of the plans picks, in order, with what each adds."""
+    return _cover(Ensemble(spark, sf_dir))[0]
+
+
+@query
+def plan_cover(spark, sf_dir):
+    """The word that covers each plan first; plans without a word within the distance have no row."""
+    return _cover(Ensemble(spark, sf_dir))[1]
+
+
+@query
+def flux_fixed_point(spark, sf_dir):
+    """Left eigenvector of the flux by component of its graph."""
+    found = fixed_point.fixed_point(strata.flux(Ensemble(spark, sf_dir).weighted))
+    return found.select("word_uid", "component", F.round("z", FIXED_DIGITS).alias("z"))
+
+
+@query
+def spectra_leading(spark, sf_dir):
+    """The five largest eigenvalues of the flux and of the Laplacian, without a matrix of words."""
+    ship(spark)
+    e = Ensemble(spark, sf_dir)
+    rows = checkpoint(strata.flux(e.weighted))
+    one = spectrum.leading(spectrum.symmetric_flux(rows, strata.stationary(e.weighted)), 5)
+    two = spectrum.leading(strata.laplacian(rows).select(F.col("word1").alias("i"), F.col("word2").alias("j"), "value"), 5)
+    return one.select(F.lit("flux").alias("kind"), "idx", F.round("value", 6).alias("value")).unionByName(two.select(F.lit("laplacian").alias("kind"), "idx", F.round("value", 6).alias("value")))
+
+
+@query
+def elbow_curve(spark, sf_dir):
+    """Dispersion of every cut of the ensemble's own dendrogram, and whether it is the knee."""
+    e = Ensemble(spark, sf_dir)
+    rows, n = _linkage(spark, e)
+    return _with_knee(checkpoint(cluster.elbow_curve(e.districts, checkpoint(rows), e.weights, n)))
+
+
+def _with_knee(curve: DataFrame) -> DataFrame:
+    at = cluster.knee(curve).select(F.col("k").alias("at"))
+    return curve.crossJoin(F.broadcast(at)).select("k", "wcss", (F.col("k") == F.col("at")).alias("knee"))
+
+
+@query
+def elbow_of_ladder(spark, sf_dir):
+    """The curve of a dendrogram that takes up the districts one by one, in order of their numbers."""
+    e = Ensemble(spark, sf_dir)
+    n = e.districts.count()
+    step = F.col("id").cast("int")
+    merged = F.when(step == 0, F.lit(0)).otherwise(step + n - 1).cast("bigint")
+    ladder = spark.range(max(0, n - 1)).select(step.alias("step"), merged.alias("a"), (F.col("id") + 1).alias("b"), F.lit(0).cast("bigint").alias("distance"), (F.col("id") + 2).alias("size"))
+    return _with_knee(checkpoint(cluster.elbow_curve(e.districts, checkpoint(ladder), e.weights, n)))
+
+
+@query
+def near_districts(spark, sf_dir):
+    """Pairs of districts within a share of the cap, by an index on rare precincts."""
+    e = Ensemble(spark, sf_dir)
+    return distance.near_pairs(e.districts, e.weights, int(e.weights.first()["cap"] * NEAR))
+
+
+@query
+def near_district_candidates(spark, sf_dir):
+    """How many pairs the index proposes, how many are within the bound, and all pairs there are."""
+    e = Ensemble(spark, sf_dir)
+    bound = int(e.weights.first()["cap"] * NEAR)
+    proposed = distance.near_candidates(e.districts, e.weights, bound).agg(F.count("*").alias("candidates"))
+    near = distance.near_pairs(e.districts, e.weights, bound).agg(F.count("*").alias("near"))
+    n = F.count("*")
+    return proposed.crossJoin(near).crossJoin(e.districts.agg((n * (n - 1) / 2).cast("bigint").alias("pairs")))
+
+
+@query
+def stratified_plans(spark, sf_dir):
+    """Plans drawn from each stratum by weight, with the probability that each was drawn."""
+    drawn = draws.stratified_draw(Ensemble(spark, sf_dir).weighted, DRAWN)
+    return drawn.select("word_uid", "plan_uid", *[F.round(c, FIXED_DIGITS).alias(c) for c in ("w", "inclusion")])
+
+
+@query
+def stratified_weights(spark, sf_dir):
+    """Stratum weights as the draws estimate them, beside the whole ensemble's."""
+    weighted = Ensemble(spark, sf_dir).weighted
+    told = draws.estimated_weights(draws.stratified_draw(weighted, DRAWN))
+    both = told.join(strata.stationary(weighted), "word_uid")
+    return both.select("word_uid", "drawn", F.round("estimate", FIXED_DIGITS).alias("estimate"), F.round("stationary", FIXED_DIGITS).alias("stationary"))
+
+
+@query
+def streamed_samples(spark, sf_dir):
+    """Samples accepted by a stream in three runs over growing input, some of which comes twice."""
+    ship(spark)
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    samples = checkpoint(Ensemble(spark, sf_dir).samples.select("sample_tag", "step", "plan_vector"))
+    for low, high in ((0, 60), (40, 150), (120, 1 << 40)):
+        samples.where((F.col("step") > low) & (F.col("step") <= high)).write.mode("append").parquet(f"{root}/in")
+        atlas_stream.take_new(spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint", BURN_IN, CHAIN)
+    return kept(spark.read.parquet(f"{root}/out").select("sample_tag", "step", "place", dotted("plan_vector")), root)

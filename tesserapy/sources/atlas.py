@@ -11,32 +11,35 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import checkpoint
+
 RECORD = "struct<name:string,districting:array<map<string,int>>>"
 
 
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """file_ordinal, tag, line_idx, value: numbered lines of the files in the order given.
+    """file_ordinal, tag, block, line_idx, value: numbered lines of the files in the order given.
 
-    A gzip file is one partition and its lines come in order. Plain files are
-    read whole as well, so that lines can be numbered.
+    Plain files are read in splits, gzip files in one. Within a split lines keep
+    their order, so a line's number is its place in the split after the counts of
+    the splits before; only those counts, a row for each split, are summed up in
+    order, and no task takes a whole plain file.
     """
     out = None
     for k, path in enumerate(paths):
-        lines = spark.read.text(path) if path.endswith(".gz") else _whole(spark, path)
         name = path.rsplit("/", 1)[-1].split(".")[0]
-        lines = lines.select("value", F.monotonically_increasing_id().alias("__id"))
-        lines = lines.withColumn("line_idx", F.row_number().over(Window.partitionBy(F.lit(k)).orderBy("__id")) - 1)
-        lines = lines.select(F.lit(k).alias("file_ordinal"), F.lit(name).alias("tag"), "line_idx", "value")
+        lines = spark.read.text(path).select("value", "_metadata.file_path", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+        lines = lines.select(F.lit(k).alias("file_ordinal"), F.lit(name).alias("tag"), "file_path", "block", "id", "value")
         out = lines if out is None else out.unionByName(lines)
     if out is None:
         raise ValueError("no atlas file was given")
-    return out
-
-
-def _whole(spark: SparkSession, path: str) -> DataFrame:
-    text = spark.read.text(path, wholetext=True)
-    body = F.regexp_replace("value", "\\r?\\n$", "")
-    return text.select(F.explode(F.split(body, "\\r?\\n")).alias("value"))
+    # The ids of a read and the counts over them must be of one reading.
+    out = checkpoint(out)
+    split = ["file_ordinal", "file_path", "block"]
+    sizes = out.groupBy(*split).agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = Window.partitionBy("file_ordinal").orderBy("file_path", "block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*[F.col(c).alias(f"s_{c}") for c in split], "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    met = out.join(starts, [out[c] == starts[f"s_{c}"] for c in split])
+    return met.select("file_ordinal", "tag", F.col("before").alias("block"), (F.col("before") + F.col("id") - F.col("first")).alias("line_idx"), "value")
 
 
 def header_districts(lines: DataFrame) -> int | None:
@@ -57,13 +60,20 @@ def read_samples(lines: DataFrame, labels: DataFrame, num_precincts: int, max_le
     rows = lines.where("line_idx >= 3").withColumn("r", F.from_json("value", RECORD))
     step = F.regexp_replace("r.name", "^step", "").cast("bigint")
     rows = rows.withColumn("step", step).where(F.col("step") > min_step)
-    place = F.row_number().over(Window.partitionBy("file_ordinal").orderBy("line_idx"))
-    rows = rows.withColumn("__n", place).where(F.col("__n") <= max_length)
-    # One row for each file.
-    before = Window.partitionBy(F.lit(0)).orderBy("__f").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy(F.col("file_ordinal").alias("__f")).agg(F.count("*").alias("__size"))
-    starts = sizes.select("__f", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"))
-    rows = rows.join(starts, F.col("file_ordinal") == F.col("__f")).withColumn("plan_id", (F.col("__start") + F.col("__n") - 1).cast("bigint"))
+    # Places are counted within a split, after the rows of the file's earlier splits.
+    place = F.row_number().over(Window.partitionBy("file_ordinal", "block").orderBy("line_idx"))
+    rows = rows.withColumn("__n", place)
+    # One row for each split, then one for each file.
+    split = rows.groupBy(F.col("file_ordinal").alias("__f"), F.col("block").alias("__b")).agg(F.count("*").alias("__size"))
+    earlier = Window.partitionBy("__f").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    split = split.withColumn("__before", F.coalesce(F.sum("__size").over(earlier), F.lit(0)))
+    sizes = split.groupBy(F.col("__f").alias("__g")).agg(F.least(F.sum("__size"), F.lit(max_length)).alias("__kept"))
+    before = Window.orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__g", F.coalesce(F.sum("__kept").over(before), F.lit(0)).alias("__start"))
+    places = split.join(starts, F.col("__f") == F.col("__g")).select("__f", "__b", "__before", "__start")
+    rows = rows.join(places, (F.col("file_ordinal") == F.col("__f")) & (F.col("block") == F.col("__b")))
+    rows = rows.where(F.col("__before") + F.col("__n") <= max_length)
+    rows = rows.withColumn("plan_id", (F.col("__start") + F.col("__before") + F.col("__n") - 1).cast("bigint"))
     entry = F.col("e")
     each = rows.select("plan_id", "step", "tag", F.posexplode("r.districting").alias("at", "e"))
     key = F.map_keys(entry)[0]

@@ -72,11 +72,15 @@ def process_samples(spark: SparkSession, root: str, map_file: str, paths: list[s
 def load_processed(spark: SparkSession, root: str, map_file: str, edge_samples: int = EDGES_ON_RELOAD[0], edge_bins: int = EDGES_ON_RELOAD[1]) -> Processed:
     """The tables that process_samples has stored; edges are computed and stored if they are missing.
 
-    The number of districts is that of the first plan.
+    The number of districts is that of the first plan. Districts whose stored
+    weight is not what the graph gives them belong to another graph: an error.
     """
     store, nodes = Store(spark, root), graph.precincts(graph.read_graph(spark, map_file))
     plans, districts = store.read("plans"), store.read("districts")
     num = catalog.num_districts_of(plans)
     weights = _weights(nodes, num)
+    own = F.aggregate("members", F.lit(0).cast("bigint"), lambda s, p: s + F.get("weights", p))
+    if districts.crossJoin(F.broadcast(weights.select("weights"))).where(~own.eqNullSafe(F.col("weight"))).take(1):
+        raise ValueError("the stored districts do not belong to this graph")
     edges = store.ensure("distance_edges", lambda: _edges(districts, weights, edge_samples, edge_bins))
     return Processed(store, weights, nodes.count(), num, store.read("samples"), districts, plans, store.read("distributions"), edges)

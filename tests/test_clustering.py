@@ -93,3 +93,117 @@ def test_quantile_edges_match_pandas(spark):
     kept = [v for v in values if v < 16] + [-1, 17]
     _, edges = pd.qcut(kept, q=5, retbins=True, duplicates="drop")
     assert got == np.unique(edges.astype(np.int32)).tolist()
+
+
+def cuts_wcss(members, weights, cap, merges, n):
+    """WCSS of every number of clusters, each cut on its own."""
+    w = lambda s: sum(weights[p] for p in s)
+    out, groups = {}, {v: [v] for v in range(n)}
+    for t in range(n):
+        if t:
+            a, b = merges[t - 1]
+            groups[n + t - 1] = groups.pop(a) + groups.pop(b)
+        total = 0
+        for own in groups.values():
+            count = {}
+            for v in own:
+                for p in members[v]:
+                    count[p] = count.get(p, 0) + 1
+            centre = {p for p, c in count.items() if 2 * c >= len(own)}
+            total += sum(min(cap, w(set(members[v]) ^ centre)) for v in own)
+        out[n - t] = total
+    return out
+
+
+@pytest.mark.parametrize(("n", "chain"), [(2, False), (9, False), (14, True), (23, False)])
+def test_elbow_curve_equals_every_cut(spark, monkeypatch, n, chain):
+    rng = np.random.default_rng(n)
+    members = [sorted(map(int, rng.choice(8, rng.integers(0, 6), replace=False))) for _ in range(n)]
+    weights = [int(x) for x in rng.integers(1, 9, 8)]
+    alive, merges = list(range(n)), []
+    for t in range(n - 1):
+        a, b = (alive.pop(), alive.pop(0)) if chain else (alive.pop(int(rng.integers(len(alive)))), alive.pop(int(rng.integers(len(alive) - 1))) if len(alive) > 1 else alive.pop())
+        merges.append((a, b))
+        alive.append(n + t)
+    districts = spark.createDataFrame(list(enumerate(members)), "district_uid bigint, members array<int>")
+    one = spark.createDataFrame([(weights, 12)], "weights array<bigint>, cap bigint")
+    rows = spark.createDataFrame([(t, a, b, 0, 0) for t, (a, b) in enumerate(merges)], "step int, a bigint, b bigint, distance bigint, size bigint")
+    monkeypatch.setattr(cluster, "STEPS", 4)
+    curve = cluster.elbow_curve(districts, rows, one, n)
+    want = cuts_wcss(members, weights, 12, merges, n)
+    assert {r["k"]: r["wcss"] for r in curve.collect()} == want
+    for k in (1, n // 2, n - 1):
+        if 0 < k < n:
+            cut = cluster.cut_linkage(rows, k, n)
+            assert cluster.wcss(districts, cut, cluster.centroids(districts, cut, one, k), one).first()["wcss"] == want[k]
+
+
+def test_knee_of_a_bent_curve(spark):
+    rows = [(1, 100), (2, 60), (3, 20), (4, 18), (5, 17), (6, 16)]
+    assert tuple(cluster.knee(spark.createDataFrame(rows, "k bigint, wcss bigint")).first()) == (3, 20)
+    assert tuple(cluster.knee(spark.createDataFrame([(1, 0)], "k bigint, wcss bigint")).first()) == (1, 0)
+    assert cluster.knee(spark.createDataFrame([], "k bigint, wcss bigint")).collect() == []
+
+
+def test_cut_of_the_ensembles_own_linkage(spark, sf_dir):
+    """The dendrogram of real districts, cut by following its merges one by one."""
+    from tesserapy.plans.queries import Ensemble, _linkage
+
+    e = Ensemble(spark, sf_dir)
+    rows, n = _linkage(spark, e)
+    found = [tuple(r) for r in rows.orderBy("step").collect()]
+    d = {(r["i"], r["j"]): r["d"] for r in distance.pair_distances(e.districts, e.weights).collect()}
+    assert found == brute([[d.get((max(i, j), min(i, j)), 0) for j in range(n)] for i in range(n)])
+    for k in (12, 5, 1, n):
+        groups = {v: {v} for v in range(n)}
+        for step, a, b, _, _ in found[: n - k if 0 < k < n else n - 1]:
+            groups[n + step] = groups.pop(a) | groups.pop(b)
+        want = {v: c for c, root in enumerate(sorted(groups)) for v in groups[root]}
+        assert {r["district_uid"]: r["cluster_id"] for r in cluster.cut_linkage(rows, k, n).collect()} == want
+    members = [list(r["members"]) for r in e.districts.orderBy("district_uid").collect()]
+    one = e.weights.first()
+    curve = {r["k"]: r["wcss"] for r in cluster.elbow_curve(e.districts, rows, e.weights, n).collect()}
+    assert curve == cuts_wcss(members, one["weights"], one["cap"], [(a, b) for _, a, b, _, _ in found], n)
+
+
+@pytest.mark.parametrize("bound", [0, 3, 8, 30])
+def test_near_pairs_equal_all_pairs_within(spark, bound):
+    rng = np.random.default_rng(bound)
+    members = [sorted(map(int, rng.choice(12, rng.integers(0, 7), replace=False))) for _ in range(70)]
+    weights = [int(x) for x in rng.integers(0, 7, 12)]
+    districts = spark.createDataFrame(list(enumerate(members)), "district_uid bigint, members array<int>")
+    one = spark.createDataFrame([(weights, 9)], "weights array<bigint>, cap bigint")
+    want = {(i, j): x for i in range(70) for j in range(i) if (x := sum(weights[p] for p in set(members[i]) ^ set(members[j]))) <= bound}
+    assert {(r["i"], r["j"]): r["d"] for r in distance.near_pairs(districts, one, bound).collect()} == want
+    assert distance.near_candidates(districts, one, bound).count() >= len(want)
+
+
+def test_near_candidates_are_far_fewer_than_pairs(spark):
+    rng = np.random.default_rng(1)
+    members = [sorted(map(int, rng.choice(400, 20, replace=False))) for _ in range(300)]
+    members += [sorted({*m[:-1], 400}) for m in members[:50]]
+    districts = spark.createDataFrame(list(enumerate(members)), "district_uid bigint, members array<int>")
+    one = spark.createDataFrame([([1] * 401, 100)], "weights array<bigint>, cap bigint")
+    assert distance.near_pairs(districts, one, 4).count() >= 50
+    assert distance.near_candidates(districts, one, 4).count() < 350 * 349 / 2 / 10
+
+
+@pytest.mark.parametrize("bins", [2, 3, 1024])
+def test_ordered_values_by_refining_histograms(spark, bins):
+    rng = np.random.default_rng(bins)
+    values = [int(x) for x in [*rng.integers(-50, 50, 200), *[7] * 100, 10**12, -(10**9)]]
+    df = spark.createDataFrame([(v,) for v in values], "v bigint").repartition(3)
+    ranks = [0, 1, 5, 150, 150, 200, len(values) - 2, len(values) - 1]
+    assert distance.ordered_values(df, ranks, bins) == {r: sorted(values)[r] for r in ranks}
+    with pytest.raises(ValueError):
+        distance.ordered_values(df, [len(values)])
+
+
+@pytest.mark.parametrize("bins", [1, 4, 50])
+def test_quantile_edges_are_linear_quantiles(spark, bins):
+    rng = np.random.default_rng(bins)
+    d = [int(x) for x in rng.integers(0, 30, 90)]
+    got = distance.quantile_edges(spark.createDataFrame([(x,) for x in d], "d bigint"), 25, bins).first()["edges"]
+    padded = [-1, 26, *[x for x in d if x < 25]]
+    assert got == sorted({int(x) for x in np.quantile(padded, np.linspace(0, 1, bins + 1))})
+    assert distance.quantile_edges(spark.createDataFrame([], "d bigint"), 25, 2).first()["edges"] == [-1, 12, 26]

@@ -1,6 +1,7 @@
 import gzip
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +61,26 @@ def test_atlas_reads_steps_limits_tags_and_both_keys(spark, tmp_path, labels):
     assert rows[0]["plan_vector"] == [0, 1, 0] and rows[2]["plan_vector"] == [0, -1, 2]
 
 
+def test_plain_atlas_in_many_splits(spark, tmp_path, labels):
+    steps = [s * 3 for s in range(1, 200)]
+    paths = [write_atlas(tmp_path / "a.jsonl", steps, listed=True), write_atlas(tmp_path / "b.jsonl", steps[::-1])]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 700)
+        spark.conf.set("spark.sql.files.openCostInBytes", 100)
+        lines = atlas.read_lines(spark, paths)
+        assert lines.select("file_ordinal", "block").distinct().count() > 20
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    got = {(r["file_ordinal"], r["line_idx"]): r["value"] for r in lines.collect()}
+    want = {(k, n): x for k, p in enumerate(paths) for n, x in enumerate(open(p).read().splitlines())}
+    assert got == want
+    rows = atlas.read_samples(lines, labels, 3, max_length=150, min_step=30).orderBy("plan_id").collect()
+    assert [(r["sample_tag"], r["step"]) for r in rows] == [("a", s) for s in steps if s > 30][:150] + [("b", s) for s in steps[::-1] if s > 30][:150]
+    assert [r["plan_id"] for r in rows] == list(range(300))
+
+
 def test_unknown_label_and_empty_result_are_errors(spark, tmp_path, labels):
     lines = atlas.read_lines(spark, [write_atlas(tmp_path / "x.jsonl.gz", [1], label="(9,9)")])
     with pytest.raises(Exception, match="unknown precinct label"):
@@ -98,3 +119,45 @@ def test_stream_counts_equal_batch_counts(spark, tmp_path):
     key = lambda df: sorted(map(tuple, df.collect()))
     assert key(spark.table("counts")) == key(plan_counts(rows, 2)) == [("t", "0.1|2", 1), ("t", "0.2|1", 2)]
     assert F is not None
+
+
+def test_stream_accepts_each_step_once_over_restarts(spark, tmp_path):
+    from tesserapy.streaming.atlas_stream import accept, accepted_batch, take_new
+
+    rng = np.random.default_rng(0)
+    rows = [(tag, int(step), [int(x) for x in rng.integers(0, 2, 3)]) for tag, top in (("a", 90), ("b", 25), (None, 10)) for step in range(1, top)]
+    whole = spark.createDataFrame(rows, "sample_tag string, step int, plan_vector array<int>")
+    src, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    for low, high in ((0, 20), (10, 40), (40, 40), (30, 100)):
+        whole.where((F.col("step") > low) & (F.col("step") <= high)).repartition(3).write.mode("append").parquet(src)
+        take_new(spark, src, out, mark, burn_in=4, most=50)
+    key = lambda df: sorted((str(r["sample_tag"]), r["step"], r["place"], r["plan_vector"]) for r in df.collect())
+    want = accepted_batch(whole, 4, 50)
+    assert key(spark.read.parquet(out)) == key(want)
+    assert [(t, len([r for r in rows if r[0] == t and r[1] > 4][:50])) for t in ("a", "b")] == [("a", 50), ("b", 20)] and want.count() == 50 + 20 + 5
+    take_new(spark, src, out, mark, burn_in=4, most=50)
+    assert key(spark.read.parquet(out)) == key(want)
+    twice = accepted_batch(whole.unionByName(whole).unionByName(spark.createDataFrame([("b", 6, [9, 9, 9])], whole.schema)), 4)
+    assert key(twice) == key(accepted_batch(whole, 4)) and accept is not None
+
+
+def test_a_store_is_checked_against_its_graph(spark, tmp_path):
+    from tesserapy.sources import ingest
+
+    maps = []
+    for name, matrix in (("one", [[3, 1], [1, 2]]), ("two", [[3, 1], [2, 2]]), ("small", [[3, 1]])):
+        maps.append(str(tmp_path / f"{name}.json"))
+        nodes = grid.grid_nodes(spark, 2, matrix if len(matrix) == 2 else [[3, 1], [1, 2]])
+        edges = grid.grid_edges(spark, 2)
+        if name == "small":
+            nodes, edges = nodes.where("precinct_idx < 3"), edges.where("src < 3 and dst < 3")
+        graph.write_graph(nodes, edges, maps[-1], 2)
+    labels = grid.grid_nodes(spark, 2).select("precinct_idx", F.col("precinct_id_str").alias("label"))
+    samples = spark.createDataFrame([(0, 1, "t", [0, 0, 1, 1]), (1, 2, "t", [0, 1, 0, 1])], "plan_id bigint, step bigint, sample_tag string, plan_vector array<int>")
+    atlas.write_samples(samples, labels, str(tmp_path / "t.jsonl.gz"), {"districts": 2}, one_file=True)
+    root = str(tmp_path / "store")
+    ingest.process_samples(spark, root, maps[0], [str(tmp_path / "t.jsonl.gz")], 10)
+    assert ingest.load_processed(spark, root, maps[0]).samples.count() == 2
+    for other in maps[1:]:
+        with pytest.raises(ValueError, match="another|belong"):
+            ingest.load_processed(spark, root, other)
