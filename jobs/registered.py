@@ -57,8 +57,8 @@ def oracle_sql() -> dict:
     parts = oracle._with(oracle.ensemble(), oracle.clusters(1), oracle.words(), oracle.STRATA)
     report = f"""{parts}, spelt as (select k.c, coalesce(string_agg(cast(p as varchar), '.' order by p), '') m from (select cast(unnest(range({oracle.K})) as int) c) k left join cm1 using (c) group by 1),
 named as (select word_uid, string_agg(m, '|' order by place) districts from (select word_uid, unnest(word) c, unnest(range(len(word))) place from (select word_uid, any_value(word) word from wx group by 1) u) q join spelt using (c) group by 1),
-found as (select sample_tag, word_uid, word_str, count(*) plans, round(sum(phi_freq), 9) weight from pf join (select plan_uid, sample_tag from dist) t using (plan_uid) group by all),
+found as (select sample_tag, word_uid, word_str, count(*) plans, sum(phi_freq) z, round(sum(phi_freq), 9) weight from pf join (select plan_uid, sample_tag from dist) t using (plan_uid) group by all),
 tags as (select count(distinct sample_tag) tags from dist),
-mean as (select word_uid, sum(weight) / any_value(tags) mean from found, tags group by 1)
-select sample_tag, word_uid, word_str, districts, plans, weight, cast(row_number() over (partition by sample_tag order by weight desc, word_uid) as int) rank, round(weight - mean, 9) gap from found join mean using (word_uid) join named using (word_uid)"""
+mean as (select word_uid, sum(z) / any_value(tags) mean from found, tags group by 1)
+select sample_tag, word_uid, word_str, districts, plans, weight, cast(row_number() over (partition by sample_tag order by weight desc, word_uid) as int) rank, round(z - mean, 9) gap from found join mean using (word_uid) join named using (word_uid)"""
     return {"job1_strata_report": report, "job2_comment_ledger": _ledger_sql()}

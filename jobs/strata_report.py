@@ -45,11 +45,12 @@ def report(spark: SparkSession, tables: str, config: dict) -> DataFrame:
     weighted = strata.pou_weights(checkpoint(words.enumerate_words(dist, lists, config["degree"])), dist, config["temperature"])
 
     each = weighted.join(dist.select("plan_uid", "sample_tag"), "plan_uid")
-    found = each.groupBy("sample_tag", "word_uid", "word_str").agg(F.count("*").alias("plans"), F.round(F.sum("phi_freq"), config["digits"]).alias("weight"))
+    found = each.groupBy("sample_tag", "word_uid", "word_str").agg(F.count("*").alias("plans"), F.sum("phi_freq").alias("z"))
+    found = found.withColumn("weight", F.round("z", config["digits"]))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("sample_tag").orderBy(F.desc("weight"), "word_uid")))
     tags = dist.select("sample_tag").distinct().agg(F.count("*").alias("tags"))
-    mean = found.groupBy("word_uid").agg(F.sum("weight").alias("sum")).crossJoin(F.broadcast(tags)).select("word_uid", (F.col("sum") / F.col("tags")).alias("mean"))
-    out = ranked.join(mean, "word_uid").withColumn("gap", F.round(F.col("weight") - F.col("mean"), config["digits"]))
+    mean = found.groupBy("word_uid").agg(F.sum("z").alias("sum")).crossJoin(F.broadcast(tags)).select("word_uid", (F.col("sum") / F.col("tags")).alias("mean"))
+    out = ranked.join(mean, "word_uid").withColumn("gap", F.round(F.col("z") - F.col("mean"), config["digits"]))
     return out.join(_spelt(weighted, letters), "word_uid").select("sample_tag", "word_uid", "word_str", "districts", "plans", "weight", "rank", "gap")
 
 
