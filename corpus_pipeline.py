@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserapy.llm import decontam, langid, lines, mixing, simhash
@@ -22,6 +22,11 @@ SHINGLE, SIMILARITY = 5, 0.8
 LANGUAGE_SHARE = 0.5
 
 
+def own_columns(docs: DataFrame) -> list[Column]:
+    """The columns of the documents, whatever characters their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter, and those of which no language holds half."""
     ship(spark)
@@ -29,7 +34,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     [name] = fresh(docs, "label")
     found = docs.withColumn(name, label(F.col("text")))
     good = (F.col(name)["lang_pred"] != langid.UNKNOWN) & (F.col(name)["score"] >= LANGUAGE_SHARE)
-    return found.where(good).select(*docs.columns)
+    return found.where(good).select(*own_columns(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,13 +42,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = lines.dedup_lines(docs, counts=False)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*own_columns(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies."""
     ship(spark)
-    return simhash.near_dedup(docs, shingle=SHINGLE, similarity=SIMILARITY).select(*docs.columns)
+    return simhash.near_dedup(docs, shingle=SHINGLE, similarity=SIMILARITY).select(*own_columns(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
