@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codecs import indicator, vec_to_str
-from ..operators import catalog, cluster, cover, distance, draws, fixed_point, frames, grid, hcc, matching, sampler, spectrum, strata, words
+from ..operators import catalog, cluster, cover, distance, draws, enumeration, fixed_point, frames, grid, hcc, matching, sampler, spectrum, strata, words
 from ..sources import atlas, ensemble, graph, ingest
 from ..sources.shared import checkpoint, discard, shared_dir
 from ..streaming import atlas_stream
@@ -748,3 +748,16 @@ def streamed_samples(spark, sf_dir):
         samples.where((F.col("step") > low) & (F.col("step") <= high)).write.mode("append").parquet(f"{root}/in")
         atlas_stream.take_new(spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint", BURN_IN, CHAIN)
     return kept(spark.read.parquet(f"{root}/out").select("sample_tag", "step", "place", dotted("plan_vector")), root)
+
+
+@query
+def balanced_partition_counts(spark, sf_dir):
+    """All partitions of the grid into two and into three connected parts within a tenth of equal populations."""
+    ship(spark)
+    people = [r["population"] for r in ensemble.precincts(spark, sf_dir).orderBy("precinct").collect()]
+    total, out = sum(people), None
+    for parts in (2, DISTRICTS):
+        low, high = -(-total * 9 // (10 * parts)), total * 11 // (10 * parts)
+        found = enumeration.partition_counts(spark, people, SIDE, parts, low, high)
+        out = found if out is None else out.unionByName(found)
+    return out
