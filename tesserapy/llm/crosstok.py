@@ -46,7 +46,7 @@ from .common import shared_dir
 #: Folder of the vocabulary files, and their names.
 FOLDER, FILE_A, FILE_B = "/opt/tokenizers", "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters of text that are aligned at once.
-PART = 4 << 20
+PART = 2 << 20
 #: An id pair is one number: the first id times this, plus the second id. Both vocabularies are smaller, and the number fits 31 bits.
 WIDTH = 32_768
 #: Place of the row that holds a batch's counts.
@@ -60,7 +60,7 @@ DOUBLE = re.compile(r"\A | (?:\s|\Z)")
 #: Letters that all versions of Unicode class alike: parts of these alone may go to the faster encoder of the same merges.
 SETTLED = re.compile(r"[\x00-\u024f\u2010-\u2027\u20ac]*")
 #: Parts that a worker remembers between batches, at most; after that it keeps those met again.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: The byte-level pattern of the first tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 HELD = "batch long, place int, {id}, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<int>, times array<int>"
