@@ -194,7 +194,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """doc_id, held_out, lang_pred, score (share of letters) of every row.
 
     ``und`` with score 0 for null texts and texts without a letter. A null id is
-    not held out. Repeated rows are labelled alike.
+    not held out. Repeated rows are labelled alike. A long text is a chunk
+    of its own. No documents: no rows. Other columns are left, whatever
+    their names.
     """
     key = F.col(id_col)
     rows = docs.select(key.alias("doc_id"), F.coalesce(fold_of(key, folds) == held, F.lit(False)).alias("held_out"), labeller(docs, model)(F.col(text_col)).alias("__l"))

@@ -192,7 +192,9 @@ def score(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_col: str =
     """doc_id, held_out, score, predicted of every row.
 
     Null and empty texts score as texts whose statistics are all zero. A null id
-    is not held out. Repeated rows are scored alike.
+    is not held out. Repeated rows are scored alike. The statistics of a long text
+    are counted in one chunk of its own. No documents: no rows. Other columns are
+    left, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

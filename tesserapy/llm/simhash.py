@@ -15,8 +15,9 @@ star contractions over DataFrames, each round written to the shared folder.
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -306,6 +307,8 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     Null and empty texts have fingerprint zero and link like any other. Rows
     with a null id are returned; they give no id to their component, whose id is
     null if it has no other row. Repeated rows are returned as often as they come.
+    A long text is a chunk of its own. No documents: no rows. Other
+    columns are left, whatever their names.
     """
     marked = checkpoint(fingerprints(docs, id_col, text_col, shingle))
     groups = checkpoint(marked.groupBy("fp").agg(F.min("doc_id").alias("__least")))
@@ -325,6 +328,8 @@ COMMON, ORDERED = 32, 1 << 19
 COUNTED = 1 << 21
 #: Runs of a shingle up to this long give all their pairs at once; of longer ones so many heads go first.
 SHORT, HEADS = 24, 4
+#: Texts of a block of a crowded shingle, about.
+SIDE = 512
 #: Words of 64 bits in a parity sketch, and their columns.
 SKETCH = 8
 PARITY = [f"s{k}" for k in range(SKETCH)]
@@ -504,18 +509,57 @@ def shared_prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFra
     return rows.repartition("token").sortWithinPartitions("token", "k").mapInArrow(repeated, "token long, k long, at long, long boolean")
 
 
-def prefix_pairs(held: DataFrame, similarity: float, heads: bool) -> DataFrame:
+def _band(similarity: float) -> Column:
+    """Number of a text's band of sizes: texts of the similarity lie in one band or in two neighbours."""
+    width = max(-math.log(similarity), 1e-3) * 1.001
+    return F.floor(F.log(F.shiftright("at", 32).cast("double")) / width).cast("int")
+
+
+def crowded(runs: DataFrame, similarity: float, side: int = SIDE) -> DataFrame:
+    """token, blocks: the shingles of over ``side`` texts, and in how many blocks of about ``side`` each band of sizes is dealt."""
+    sizes = runs.where("long").groupBy("token", _band(similarity).alias("band")).agg(F.count("*").alias("n"))
+    blocks = F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("n") / side).cast("int"))))
+    return sizes.groupBy("token").agg(F.sum("n").alias("n"), blocks.alias("blocks")).where(F.col("n") > side).select("token", "blocks")
+
+
+def _dealt(held: DataFrame, crowd: DataFrame, similarity: float) -> DataFrame:
+    """The rows by cell of their shingle: two blocks that meet, of one band or of two neighbours.
+
+    A row of a crowded shingle goes to a cell for each block that its own meets, so
+    a task never holds more than two blocks, and every pair that can have the
+    similarity meets in one cell. role: 0 meets all of the cell, 1 and 2 each other.
+    Rows of other shingles have one cell.
+    """
+    rows = held.withColumn("band", _band(similarity)).join(crowd.withColumnRenamed("token", "crowded"), F.col("token") == F.col("crowded"), "left")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("k"), F.try_element_at("blocks", F.col("band"))).cast("int"))
+
+    def cells(other: Column, of: Callable[[Column], Column]) -> Column:
+        n = F.coalesce(F.try_element_at("blocks", other), F.lit(0))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), of)).otherwise(F.array().cast("array<struct<cell:bigint,role:int>>"))
+
+    def cell(low: Column, i: Column, high: Column, j: Column, role: Column) -> Column:
+        return F.struct(F.xxhash64("token", low, i, high, j).alias("cell"), role.cast("int").alias("role"))
+
+    band, own, after, before = F.col("band"), F.col("own"), F.col("band") + 1, F.col("band") - 1
+    same = cells(band, lambda j: cell(band, F.least(own, j), band, F.greatest(own, j), F.when(own == j, 0).when(own < j, 1).otherwise(2)))
+    up = cells(after, lambda j: cell(band, own, after, j, F.lit(1)))
+    down = cells(before, lambda j: cell(before, j, band, own, F.lit(2)))
+    alone = F.array(F.struct(F.col("token").alias("cell"), F.lit(0).alias("role")))
+    return rows.withColumn("c", F.explode(F.when(F.col("crowded").isNull(), alone).otherwise(F.concat(same, up, down)))).select("c.cell", "k", "at", "root", "c.role", *PARITY)
+
+
+def prefix_pairs(held: DataFrame, similarity: float, heads: bool, crowd: DataFrame | None = None) -> DataFrame:
     """a, b: pairs of texts of different roots that may have the similarity.
 
     held: token, k, at, root and the parity sketch. Pairs whose sizes, whose places
     of the shingle, or whose sketches rule the similarity out are left: texts of n
     and m shingles that differ in d have (n + m - d) / (n + m + d). With heads,
     only pairs with a few members of each long run; else all pairs, without
-    exception.
+    exception, those of the crowded shingles dealt by pairs of blocks.
     """
 
-    def fit(at, root, i, j):
-        return (root[i] != root[j]) & _may_reach(at[i], at[j], similarity)
+    def fit(at, root, role, i, j):
+        return (root[i] != root[j]) & ((role[i] + role[j]) % 3 == 0) & _may_reach(at[i], at[j], similarity)
 
     def alike(at, sketch, i, j):
         apart = sum(np.bitwise_count((s[i] ^ s[j]).view(np.uint64)).astype(np.int64) for s in sketch)
@@ -526,9 +570,9 @@ def prefix_pairs(held: DataFrame, similarity: float, heads: bool) -> DataFrame:
         return pa.record_batch([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, key, at, root, *sketch in _whole_runs(batches):
-            starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-            sizes = np.diff(np.append(starts, len(token)))
+        for cell, key, at, root, role, *sketch in _whole_runs(batches):
+            starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+            sizes = np.diff(np.append(starts, len(cell)))
             mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
             small = mixed & (sizes <= SHORT)
             if small.any() and not heads:
@@ -536,17 +580,17 @@ def prefix_pairs(held: DataFrame, similarity: float, heads: bool) -> DataFrame:
                 i = np.flatnonzero(end)
                 for d in range(1, int(sizes[small].max())):
                     i = i[i + d < end[i]]
-                    ok = i[fit(at, root, i, i + d)]
+                    ok = i[fit(at, root, role, i, i + d)]
                     ok = ok[alike(at, sketch, ok, ok + d)]
                     if len(ok):
                         yield out(key[ok], key[ok + d])
             for s, n in zip(starts[mixed & ~small].tolist(), sizes[mixed & ~small].tolist(), strict=True):
                 rest = np.arange(s, s + n)
                 # Other heads in each run, so that a text meets many of its family.
-                front = rest[np.argsort((key[rest] ^ token[s]).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), kind="stable")][:HEADS] if heads else rest
+                front = rest[np.argsort((key[rest] ^ cell[s]).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), kind="stable")][:HEADS] if heads else rest
                 step = max(1, BLOCK // n)
                 for k in range(0, len(front), step):
-                    x, y = np.nonzero(fit(at, root, front[k : k + step, None], rest[None, :]))
+                    x, y = np.nonzero(fit(at, root, role, front[k : k + step, None], rest[None, :]))
                     x, y = front[k + x], rest[y]
                     if not heads:
                         x, y = x[y > x], y[y > x]
@@ -554,7 +598,11 @@ def prefix_pairs(held: DataFrame, similarity: float, heads: bool) -> DataFrame:
                     if ok.any():
                         yield out(key[x[ok]], key[y[ok]])
 
-    return held.repartition("token").sortWithinPartitions("token").select("token", "k", "at", "root", *PARITY).mapInArrow(scan, "a long, b long").distinct()
+    if crowd is None:
+        rows = held.select(F.col("token").alias("cell"), "k", "at", "root", F.lit(0).alias("role"), *PARITY)
+    else:
+        rows = _dealt(held, crowd, similarity)
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(scan, "a long, b long").distinct()
 
 
 def _near_texts(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, radius: int, seeds) -> tuple[DataFrame, DataFrame]:
@@ -602,9 +650,10 @@ def _near_texts(docs: DataFrame, id_col: str, text_col: str, shingle: int, simil
 
     roots = checkpoint(components(good(pairs)))
     runs = checkpoint(shared_prefixes(docs.select(_text_keys(text_col)[0].alias("k"), F.col(text_col).alias("text")), shingle, similarity))
+    crowd = checkpoint(crowded(runs, similarity))
     for heads in (True, False):
         home = texts.join(roots, "node", "left").select(F.col("k1").alias("k"), F.coalesce("root", "node").alias("root"), *PARITY)
-        more = prefix_pairs((runs.where("long") if heads else runs).join(home, "k"), similarity, heads)
+        more = prefix_pairs((runs.where("long") if heads else runs).join(home, "k"), similarity, heads, None if heads else crowd)
         one, two = (texts.select(F.col("k1").alias(k), F.struct("node", "k1", "k2").alias(n)) for k, n in (("a", "x"), ("b", "y")))
         edges = good(checkpoint(more.join(one, "a").join(two, "b").select("x", "y")))
         # What is known of the groups stands for the links that they came from.
@@ -625,8 +674,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     seeds, linked at ``radius`` bits as elsewhere here, which join most of a
     family at little cost. Prefix filtering then proposes every other pair of
     texts not yet in one group that can have the similarity. Every candidate is
-    compared exactly. Equal texts are one group; so are all texts without a word.
-    Null ids are one id.
+    compared exactly. Equal texts are one group; so are all texts without a word,
+    null ones included. Null ids are one id. A long text is one value of a row, and
+    its shingles one array. No documents: no rows. Other columns are left, whatever
+    their names.
     """
     marked, texts = _near_texts(docs, id_col, text_col, shingle, similarity, radius, seeds)
     least = texts.groupBy("root").agg(F.min("lead").alias("group_id"))
@@ -640,7 +691,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows that agree in id and text are one document. Different texts under one id,
     or without an id, are documents of their own; a null id comes after all others,
-    and of texts with equal ids a hash of the text decides.
+    and of texts with equal ids a hash of the text decides. Null texts, texts without
+    a word and long texts are as in ``near_groups``. Columns stay, whatever their
+    names. No documents: no rows.
     """
     marked, texts = _near_texts(docs, id_col, text_col, **{"shingle": NEAR_SHINGLE, "similarity": SIMILARITY, "radius": RADIUS, "seeds": SEEDS, **options})
     first = F.min(F.struct(F.col("lead").isNull().alias("none"), "lead", "k1", "k2")).alias("first")

@@ -403,7 +403,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     A row of the input is a row of the result. Null texts are empty; texts under
     ``length`` bytes lose nothing. Texts that rows repeat, whatever the ids, are
     removed as a whole if they are long enough. Rows with a null id are told
-    apart by their texts.
+    apart by their texts. A long text is cut into overlapping segments, so only
+    its removed ranges come together in one row. No documents: no rows. Other
+    columns are left, whatever their names.
     """
     rows = keyed(docs, id_col, text_col)
     ranges = covered(rows, length, gram, most).groupBy("id", "tag").agg(F.collect_list(F.struct("a", "b")).alias("__r"))

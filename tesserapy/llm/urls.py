@@ -109,7 +109,10 @@ def judge(pages: DataFrame, mined: DataFrame, id_col: str = "page_id", url_col:
 
     A row of the input is a row of the result. Null URLs and URLs without
     ``://`` have an empty host and path, fit no rule and are allowed unless a
-    mined rule fits their tokens.
+    mined rule fits their tokens. Repeated rows are judged alike, each with a row
+    of its own; a long URL is one value, and its distinct tokens are one array. No
+    pages: no rows; no mined rules: the fixed ones alone. Other columns are left,
+    whatever their names.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     rows = rows.withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url")))
