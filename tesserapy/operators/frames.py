@@ -20,6 +20,12 @@ def district_mask(spark, num_precincts: int, mask: list) -> DataFrame:
     return rows.join(picked, F.col("precinct") == F.col("p"), "left").select("precinct", F.col("p").isNotNull().alias("selected"))
 
 
+def district_masks(districts: DataFrame, num_precincts: int) -> DataFrame:
+    """district_uid, precinct, selected: the mask of every district."""
+    each = districts.select("district_uid", "members", F.explode(F.sequence(F.lit(0), F.lit(num_precincts - 1))).alias("precinct"))
+    return each.select("district_uid", "precinct", F.array_contains("members", F.col("precinct")).alias("selected"))
+
+
 def with_geometry(rows: DataFrame, shapes: DataFrame, key: str = "precinct") -> DataFrame:
     """The rows with the shape of their precinct."""
     return rows.join(shapes.withColumnRenamed("id", "__id"), F.col(key) == F.col("__id")).drop("__id")

@@ -168,6 +168,9 @@ lo as (select word_uid, key out from rk where place = {DRAWN} + 1),
 dr as (select word_uid, plan_uid, w, case when out is null then 1.0 else 1 - exp(-w * out) end inclusion from rk left join lo using (word_uid) where place <= {DRAWN})
 """
 
+#: Pairs of nations in the order in which they merge.
+PAIRED = "pairs as (select cast(p // 2 as bigint) k, cast(sum(w) as bigint) d from pop where p < 24 group by 1), merged as (select k, d, row_number() over (order by d, k) - 1 step from pairs)"
+
 #: Components of the flux graph, and the weights of each component scaled to 1.
 FIXED = """
 hop as (select word1 a, word2 b from fx where value > 0 union select word2, word1 from fx where value > 0),
@@ -202,17 +205,19 @@ def oracle_sql() -> dict[str, str]:
     dens = (base, one, DENSITY)
     word_cols = "plan_uid, place, array_to_string(word, '.') word, distance, min_distance, plan_str, word_str, word_uid"
     cell = "(select unnest(range(25)) id) q"
+    # Districts numbered as two files in a row hold them.
+    filed = base.replace("min(step * 3 + district_id) f", "min(case when sample_tag = 'row' then 0 else 100000000 end + step * 3 + district_id) f")
     label = "'(' || (id // 5) || ',' || (id % 5) || ')'"
     files = "select case when sample_tag = 'row' then 0 else 1 end f, step, sample_tag, string_agg(cast(district_id as varchar), '.' order by p) plan_vector from asg group by 1, 2, 3"
     ltr = "sum(dens * x) / nullif(sum(dens), 0)"
     return {
-        "grid_graph_nodes": f"""select cast(id as int) precinct_id, '(' || (id // 5) || ',' || (id % 5) || ')' precinct_id_str,
+        "grid_graph_nodes": _with(base) + f"""select cast(id as int) precinct_id, {label} precinct_id_str,
 cast((id // 5 = 0)::int + (id // 5 = 4)::int + (id % 5 = 0)::int + (id % 5 = 4)::int as int) border_length,
-cast(id // 5 as int) x_location, cast(id % 5 as int) y_location, 1 area, 1::bigint population, 'A' county from {cell}""",
-        "grid_graph_edges": """select cast(a.id as int) src, cast(b.id as int) dst, 1::bigint length from (select unnest(range(25)) id) a, (select unnest(range(25)) id) b
-where abs(a.id // 5 - b.id // 5) + abs(a.id % 5 - b.id % 5) = 1""",
-        "grid_shape": f"""select cast(id as int) id, '(' || (id // 5) || ',' || (id % 5) || ')' precinct, (id % 5) * 2.0::double x0, (id // 5) * 2.0::double y0,
-(id % 5) * 2.0::double + 2 x1, (id // 5) * 2.0::double + 2 y1, 'EPSG:3857' crs from {cell}""",
+cast(id // 5 as int) x_location, cast(id % 5 as int) y_location, 1 area, w::bigint population, 'A' county from (select p id, w from pop) q""",
+        "grid_graph_edges": """select cast(a.n_nationkey as int) src, cast(b.n_nationkey as int) dst, 1::bigint length from nation a, nation b
+where abs(a.n_nationkey // 5 - b.n_nationkey // 5) + abs(a.n_nationkey % 5 - b.n_nationkey % 5) = 1""",
+        "grid_shape": _with(base) + f"""select cast(id as int) as cell, w::bigint population, {label} precinct, (id % 5) * 2.0::double x0, (id // 5) * 2.0::double y0,
+(id % 5) * 2.0::double + 2 x1, (id // 5) * 2.0::double + 2 y1, 'EPSG:3857' crs from (select p id, w from pop) q""",
         "precinct_weights": _with(base) + "select cast(p as int) precinct, w population from pop",
         "distance_cap": _with(base) + "select cast(sum(w) as bigint) total, any_value(cap) as cap from pop, capq",
         "plan_assignments": _with(base) + "select step, sample_tag, cast(p as int) precinct, district_id from asg",
@@ -248,8 +253,8 @@ cast(id // 5 as int) x_location, cast(id % 5 as int) y_location, 1 area, w::bigi
         "graph_edges": """select cast(a.id as int) src, cast(b.id as int) dst, 1::bigint length from (select unnest(range(25)) id) a, (select unnest(range(25)) id) b
 where abs(a.id // 5 - b.id // 5) + abs(a.id % 5 - b.id % 5) = 1""",
         "graph_weights": _with(base) + "select string_agg(cast(w as varchar), '.' order by p) weights, cast(sum(w) as bigint) total, any_value(cap) as cap from pop, capq",
-        "hcc_paired_linkage": "select cast(id as int) step, 2 * id + 1 as a, 2 * id as b, id + 1 as distance, 2::bigint as size from (select unnest(range(12)) id) q",
-        "hcc_paired_cut": "select id as district_uid, cast(id // 2 as int) cluster_id from (select unnest(range(24)) id) q",
+        "hcc_paired_linkage": _with(base, PAIRED) + "select cast(step as int) step, 2 * k + 1 as a, 2 * k as b, d as distance, 2::bigint as size from merged",
+        "hcc_paired_cut": _with(base, PAIRED) + "select 2 * k + unnest([0, 1]) as district_uid, cast(step as int) cluster_id from merged",
         "hcc_linkage_totals": _with(base, PAIRS) + "select n - 1 as merges, n as last_size, f as first_distance, 2 * n - 2 as children, 0::bigint as falls from (select count(*) n from cat) x, (select cast(min(d) as bigint) f from dd) y",
         "sampled_plan_checks": "select 4 * 20 * 3::bigint as districts, 0::bigint as unbalanced, 0::bigint as split",
         "spectra_traces": _with(*strata) + """, deg as (select word1, count(*) n from fx where value > 0 group by 1),
@@ -286,7 +291,7 @@ from mats a join mats b on a.kind = b.kind and a.word1 = b.word2 and a.word2 = b
         "word_facets": _with(*dens, LETTERS) + ", f as (select place, letter, cast(p as int) precinct, dens from wl join den on c = letter) select place, letter, precinct, " + _r("dens", "value") + ", " + _r("min(dens) over ()", "vmin") + ", " + _r("max(dens) over ()", "vmax") + " from f",
         "letter_alphas": _with(*dens, LETTERS) + ", f as (select place, letter, cast(p as int) precinct, dens, max(dens) over (partition by place) peak from wl join den on c = letter) select place, letter, precinct, " + _r("dens / peak", "alpha") + " from f where peak > 0",
         "plan_frame": _with(base) + "select plan_uid, mem.p precinct, cast(max(k) as int) district_id, (mem.p % 5)::double x0, (mem.p // 5)::double y0 from (select plan_uid, unnest(string_split(plan_str, '.'))::bigint district_uid, unnest(range(3)) k from dist) q join mem using (district_uid) group by 1, 2, 4, 5",
-        "district_mask": "select cast(n_nationkey as int) precinct, n_nationkey in (0, 1, 5, 6) selected from nation",
+        "district_mask": _with(base) + "select c.district_uid, cast(n_nationkey as int) precinct, m.p is not null as selected from cat c cross join nation left join mem m on m.district_uid = c.district_uid and m.p = n_nationkey",
         "atlas_round_trip": _with(base) + "select step - 1 as plan_id, step, 'atlas' as sample_tag, string_agg(cast(district_id as varchar), '.' order by p) plan_vector from asg group by 1, 2, 3",
         "plan_step_distance": _with(base, PAIRS, NEXT) + "select sample_tag, step, next_step, cast(d as bigint) d from ma",
         "word_cover": _with(*word_parts, COVER, recursive=True) + "select word_uid, cast(n - 1 as bigint) as place, gain from picks where n > 0",
@@ -299,6 +304,7 @@ from mats a join mats b on a.kind = b.kind and a.word1 = b.word2 and a.word2 = b
         "stratified_plans": _with(*strata, DRAWS) + f"select word_uid, plan_uid, round(w, {FIXED_DIGITS}) w, round(inclusion, {FIXED_DIGITS}) inclusion from dr",
         "stratified_weights": _with(*strata, DRAWS) + f"select word_uid, count(*) drawn, round(sum(w / inclusion), {FIXED_DIGITS}) estimate, any_value(round(stationary, {FIXED_DIGITS})) stationary from dr join st using (word_uid) group by 1",
         "streamed_samples": _with(base) + f", one as (select sample_tag, step, string_agg(cast(district_id as varchar), '.' order by p) plan_vector, row_number() over (partition by sample_tag order by step) - 1 place from asg where step > {BURN_IN} group by 1, 2) select sample_tag, step, place, plan_vector from one where place < {CHAIN}",
+        "ingested_stationary": _with(filed, one, words(), STRATA) + "select word_uid, word_str, " + _r("stationary", "stationary") + " from st",
         "flux_fixed_point": _with(*strata, FIXED, recursive=True) + f"select word_uid, component, round(stationary / sum(stationary) over (partition by component), {FIXED_DIGITS}) z from st join comp using (word_uid)",
     }
 

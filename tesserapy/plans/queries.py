@@ -121,19 +121,30 @@ def _dist_out(rows: DataFrame) -> DataFrame:
     return rows.select("plan_uid", "sample_tag", "plan_str", F.col("count").alias("cnt"), *rounded("freq"))
 
 
+def _people(spark: SparkSession, sf_dir: str) -> list[list[int]]:
+    """Populations of the grid's cells, row by row."""
+    people = [r["population"] for r in ensemble.precincts(spark, sf_dir).orderBy("precinct").collect()]
+    return [people[k : k + SIDE] for k in range(0, CELLS, SIDE)]
+
+
 @query
 def grid_graph_nodes(spark, sf_dir):
-    return grid.grid_nodes(spark, SIDE).drop("precinct_idx")
+    """Nodes of the grid with the customers of each nation as population."""
+    return grid.grid_nodes(spark, SIDE, _people(spark, sf_dir)).drop("precinct_idx")
 
 
 @query
 def grid_graph_edges(spark, sf_dir):
-    return grid.grid_edges(spark, SIDE).drop("place")
+    """Neighbours on the grid that are both nations."""
+    nation = ensemble.precincts(spark, sf_dir)
+    ends = [nation.select(F.col("precinct").alias(c)) for c in ("src", "dst")]
+    return grid.grid_edges(spark, SIDE).drop("place").join(ends[0], "src", "left_semi").join(ends[1], "dst", "left_semi").select("src", "dst", "length")
 
 
 @query
 def grid_shape(spark, sf_dir):
-    return grid.grid_shape(spark, SIDE, 2.0).drop("wkt")
+    """The cell of each nation, with its population."""
+    return frames.with_geometry(ensemble.precincts(spark, sf_dir).withColumnRenamed("precinct", "cell"), grid.grid_shape(spark, SIDE, 2.0), "cell").drop("wkt")
 
 
 @query
@@ -429,7 +440,8 @@ def plan_frame(spark, sf_dir):
 
 @query
 def district_mask(spark, sf_dir):
-    return frames.district_mask(spark, CELLS, [0, 1, 5, 6])
+    """Which precincts each district selects."""
+    return frames.district_masks(Ensemble(spark, sf_dir).districts, CELLS)
 
 
 @query
@@ -442,37 +454,38 @@ def atlas_round_trip(spark, sf_dir):
     return kept(atlas.read_samples(lines, labels, CELLS, 1 << 30).select("plan_id", "step", "sample_tag", dotted("plan_vector")), path)
 
 
-def _chains(spark) -> DataFrame:
+def _chains(spark, sf_dir) -> DataFrame:
+    """Four short chains on the grid, with the customers of each nation as population."""
+    people = [x for row in _people(spark, sf_dir) for x in row]
     edges = [(r["src"], r["dst"]) for r in grid.grid_edges(spark, SIDE).collect()]
     settings = sampler.Settings(pop_dev=0.1, cycle_walk_steps=200, cycle_walk_out_freq=10)
-    return sampler.sample_plans(spark, [1] * CELLS, edges, DISTRICTS, settings, chains=4)
+    return sampler.sample_plans(spark, people, edges, DISTRICTS, settings, chains=4)
 
 
 @query
 def sampled_plans(spark, sf_dir):
     """Four short chains on the grid, as counts by plan."""
-    return _chains(spark).groupBy(dotted("plan_vector")).agg(F.count("*").alias("count"))
+    return _chains(spark, sf_dir).groupBy(dotted("plan_vector")).agg(F.count("*").alias("count"))
 
 
 @query
 def sampled_plan_checks(spark, sf_dir):
     """Districts of the sampled plans, and how many are out of balance or not connected."""
-    rows = _chains(spark).select("chain", "step", "plan_vector", F.explode(F.sequence(F.lit(0), F.lit(DISTRICTS - 1))).alias("d"))
+    rows = _chains(spark, sf_dir).select("chain", "step", "plan_vector", F.explode(F.sequence(F.lit(0), F.lit(DISTRICTS - 1))).alias("d"))
     rows = rows.withColumn("members", F.expr("filter(sequence(0, size(plan_vector) - 1), p -> plan_vector[p] = d)"))
     near = f"abs(p div {SIDE} - q div {SIDE}) + abs(p % {SIDE} - q % {SIDE}) = 1"
     reached = f"aggregate(members, slice(members, 1, 1), (r, x) -> array_union(r, filter(members, p -> exists(r, q -> {near}))))"
-    size = F.size("members")
-    unbalanced = (size < CELLS / DISTRICTS * 0.9) | (size > CELLS / DISTRICTS * 1.1)
+    rows = rows.crossJoin(F.broadcast(ensemble.weights(spark, sf_dir).select("weights", "total")))
+    size, people, mean = F.size("members"), F.aggregate("members", F.lit(0).cast("bigint"), lambda s, p: s + F.get("weights", p)), F.col("total") / DISTRICTS
+    unbalanced = (people < mean * 0.9 - 1e-6) | (people > mean * 1.1 + 1e-6)
     split = F.size(F.expr(reached)) < size
     return rows.agg(F.count("*").alias("districts"), F.count(F.when(unbalanced, 1)).alias("unbalanced"), F.count(F.when(split, 1)).alias("split"))
 
 
 def _graph(spark, sf_dir) -> str:
     """The grid with the customers of each nation as population, written as a graph document."""
-    people = [r["population"] for r in ensemble.precincts(spark, sf_dir).orderBy("precinct").collect()]
-    matrix = [people[k : k + SIDE] for k in range(0, CELLS, SIDE)]
     path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}.json"
-    graph.write_graph(grid.grid_nodes(spark, SIDE, matrix), grid.grid_edges(spark, SIDE), path, DISTRICTS)
+    graph.write_graph(grid.grid_nodes(spark, SIDE, _people(spark, sf_dir)), grid.grid_edges(spark, SIDE), path, DISTRICTS)
     return path
 
 
@@ -596,25 +609,27 @@ def distance_edges_sampled(spark, sf_dir):
 PAIRED = 24
 
 
-def _paired(spark) -> DataFrame:
-    """Distances of vertices that lie in pairs: k + 1 within pair k, over 1000 elsewhere."""
+def _paired(spark, sf_dir) -> DataFrame:
+    """Distances of nations that lie in pairs: the customers of both within a pair, more than all elsewhere."""
+    people = ensemble.precincts(spark, sf_dir).where(F.col("precinct") < PAIRED)
+    total = people.agg(F.sum("population").alias("total"))
     i, j = F.col("i"), F.col("j")
-    rows = spark.range(PAIRED).toDF("i").crossJoin(spark.range(PAIRED).toDF("j")).where(i > j)
+    rows = people.toDF("i", "wi").join(people.toDF("j", "wj"), i > j).crossJoin(F.broadcast(total))
     own = F.floor(i / 2) == F.floor(j / 2)
-    return rows.select("i", "j", F.when(own, F.floor(i / 2) + 1).otherwise(1000 + i - j).cast("bigint").alias("d"))
+    return rows.select(i.cast("bigint").alias("i"), j.cast("bigint").alias("j"), F.when(own, F.col("wi") + F.col("wj")).otherwise(F.col("total") + i - j).cast("bigint").alias("d"))
 
 
 @query
 def hcc_paired_linkage(spark, sf_dir):
     """Each pair of vertices merges first, in order of distance."""
     ship(spark)
-    return hcc.linkage(_paired(spark), PAIRED).where(F.col("step") < PAIRED // 2)
+    return hcc.linkage(_paired(spark, sf_dir), PAIRED).where(F.col("step") < PAIRED // 2)
 
 
 @query
 def hcc_paired_cut(spark, sf_dir):
     ship(spark)
-    return cluster.cut_linkage(hcc.linkage(_paired(spark), PAIRED), PAIRED // 2, PAIRED)
+    return cluster.cut_linkage(hcc.linkage(_paired(spark, sf_dir), PAIRED), PAIRED // 2, PAIRED)
 
 
 @query
@@ -754,10 +769,19 @@ def streamed_samples(spark, sf_dir):
 def balanced_partition_counts(spark, sf_dir):
     """All partitions of the grid into two and into three connected parts within a tenth of equal populations."""
     ship(spark)
-    people = [r["population"] for r in ensemble.precincts(spark, sf_dir).orderBy("precinct").collect()]
+    people = [x for row in _people(spark, sf_dir) for x in row]
     total, out = sum(people), None
     for parts in (2, DISTRICTS):
         low, high = -(-total * 9 // (10 * parts)), total * 11 // (10 * parts)
         found = enumeration.partition_counts(spark, people, SIDE, parts, low, high)
         out = found if out is None else out.unionByName(found)
     return out
+
+
+@query
+def ingested_stationary(spark, sf_dir):
+    """Stratum weights from a loaded store: its alphabet, the words of its plans, and their shares."""
+    places = _ingested(spark, sf_dir)
+    p = ingest.load_processed(spark, *places)
+    weighted = p.strata(checkpoint(p.words(p.alphabet(K, epochs=1, threshold=0.0, from_linkage=False), DEGREE)), 1.0)
+    return kept(strata.stationary(weighted).select("word_uid", "word_str", *rounded("stationary")), *places)

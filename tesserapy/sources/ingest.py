@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import catalog, distance, hcc
+from ..operators import catalog, cluster, distance, hcc, strata, words
 from . import atlas, graph
 from .store import Store
 
@@ -38,6 +38,25 @@ class Processed:
         return self.store.ensure("linkage", lambda: hcc.linkage(self.distances(), self.districts.count()))
 
 
+    def alphabet(self, k: int, epochs: int = 50, threshold: float = 0.01, from_linkage: bool = True) -> DataFrame:
+        """Centroids of k clusters of the districts: the dendrogram's cut, or the numbers modulo k, after refinement."""
+        if from_linkage:
+            start = cluster.cut_linkage(self.linkage(), k, self.districts.count())
+        else:
+            start = cluster.seed_assignment(self.districts, k)
+        return cluster.kcentroids(self.districts, start, self.weights, k, threshold, epochs)[1]
+
+    def words(self, letters: DataFrame, degree: int, **options) -> DataFrame:
+        """The nearest words of every stored plan over an alphabet."""
+        chosen = letters.select(F.col("cluster_id").alias("l"), F.col("cluster_id").alias("pos"))
+        lists = words.letters_by_centroid(self.districts, letters, self.weights, chosen)
+        return words.enumerate_words(self.distributions, lists, degree, **options)
+
+    def strata(self, word_rows: DataFrame, temperature: float) -> DataFrame:
+        """The words with their shares of the plans."""
+        return strata.pou_weights(word_rows, self.distributions, temperature)
+
+
 def _weights(nodes: DataFrame, num_districts: int) -> DataFrame:
     one = graph.weights(nodes).first()
     row = [(list(one["weights"]), one["total"], graph.distance_cap(one["total"], num_districts))]
