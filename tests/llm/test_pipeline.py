@@ -72,4 +72,26 @@ def test_run_and_registry(spark, sf_dir):
     entry = importlib.import_module("__spark_entry__")
     assert entry.queries()["pipeline"] is cp.run and cp.ORACLE_SQL is None and "pipeline" not in entry.oracle_sql()
     assert cp.run(spark, sf_dir).count() > 0
-    assert [n for n in entry.queries() if n.startswith("op")] == [f"op{n}_" + x for n, x in enumerate(("substring_dedup", "language_id", "decontamination", "ann", "warc", "simhash", "url_filter", "mixing", "quality", "line_dedup"), 1)]
+    assert [n for n in entry.queries() if n.startswith("op")] == [f"op{n}_" + x for n, x in enumerate(("substring_dedup", "language_id", "decontamination", "ann", "warc", "simhash", "url_filter", "mixing", "quality", "line_dedup", "pii", "crosstok"), 1)]
+
+
+def test_run_with_odd_names_null_texts_and_no_documents(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    names = ("a.b", "back`tick", "label", "root", "cell", "token")
+    odd = docs
+    for name in names:
+        odd = odd.withColumn(name, docs["doc_id"] * 2)
+    nulls = spark.createDataFrame([(None, None, None, None, None), (10**6, None, "en", "src0", None), (10**6 + 1, "", "en", None, 0)], docs.schema)
+    for name in names:
+        nulls = nulls.withColumn(name, nulls["doc_id"] * 2)
+    for place, rows in (("odd", odd.unionByName(nulls)), ("none", odd.limit(0))):
+        rows.write.parquet(str(tmp_path / place / "documents.parquet"))
+        spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(str(tmp_path / place / "benchmark.parquet"))
+    got = cp.run(spark, str(tmp_path / "odd"))
+    assert set(names) < set(got.columns)
+    rows = got.select("doc_id", "`a.b`", "`back``tick`").collect()
+    assert rows and all(r[1] == r[2] == 2 * r[0] for r in rows)
+    plain = cp.run(spark, sf_dir)
+    assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in plain.select("doc_id").collect())
+    empty = cp.run(spark, str(tmp_path / "none"))
+    assert empty.collect() == [] and set(names) < set(empty.columns)

@@ -239,3 +239,10 @@ def test_crowded_shingles_are_dealt_without_losing_a_pair(spark):
         most = max(r["n"] for r in dealt.where("cell not in (11, 12)").groupBy("cell").agg(F.count("*").alias("n")).collect())
         assert most <= 230 if side == 1000 else most < 5 * side
         assert {tuple(r) for r in simhash.prefix_pairs(held, 0.8, False, crowd).collect()} == want
+
+
+def test_cluster_with_clashing_columns_and_a_long_text(spark):
+    long = " ".join(f"w{k}" for k in range(120_000))
+    rows = [(4, long, 1, "p", 2.0), (3, long + " end", 2, "q", 3.0), (8, "something else", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id int, node string, fp double").withColumnRenamed("node", "a.b")
+    assert sorted((r["doc_id"], r["component_id"]) for r in simhash.cluster(docs).collect()) == [(3, 3), (4, 3), (8, 8)]

@@ -90,3 +90,16 @@ def test_long_texts_are_scanned_in_pieces():
     small, whole = substrings.Scanner(piece=4096), substrings.Scanner()
     runs = lambda s: sum(int(x[3].sum()) for x in s.segments(data, np.array([0, len(data)])))
     assert runs(small) == runs(whole) == len(data) - 199
+
+
+def test_very_long_text_with_clashing_columns(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    body = " ".join(word() for _ in range(60_000))
+    shared = body[100_000:101_000]
+    texts = [body, "short " + shared + " tail", body[:150] + " other", shared * 2]
+    rows = [(k, t, k, "x", b"y") for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_bytes int, g string, kept binary").withColumnRenamed("g", "a.b")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substrings.dedup(docs).collect()}
+    assert [got[k] for k in range(len(texts))] == brute([t.encode() for t in texts], 200)
+    assert got[0][1] >= 1000 and got[2][1] == 0

@@ -53,3 +53,13 @@ def test_labels_by_document_number_and_empty_tables(spark):
     assert {r["url"][-7:]: r["blocked"] for r in urls.labelled_urls(pages, labels).collect()} == {"17.html": True, "t/en/18": True}
     assert urls.filter_urls(spark, pages, labels.limit(0)).count() == 3
     assert urls.filter_urls(spark, pages.limit(0), labels).count() == 0
+
+
+def test_long_urls_repeated_rows_and_clashing_columns(spark):
+    long = "http://a.com/de/" + "x/" * 100_000
+    rows = [(1, long, "h", 1), (1, long, "h", 2), (2, "http://b.org/" + "y" * 300_000, None, 3), (None, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, rule int").withColumn("a.b", F.lit(1)).withColumn("verdict", F.lit("x"))
+    rules = spark.createDataFrame([], urls.RULE_SCHEMA)
+    got = sorted((str(r["page_id"]), r["host"], len(r["path"]), r["rule"], r["verdict"]) for r in urls.judge(pages, rules).collect())
+    assert got == [("1", "a.com", 200_004, "com/de/", "block")] * 2 + [("2", "b.org", 300_001, "org/", "allow"), ("None", "", 0, None, "allow")]
+    assert urls.judge(pages.limit(0), rules).collect() == []
