@@ -3,7 +3,6 @@ import random
 import numpy as np
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from tesserapy.llm import simhash
 
@@ -222,25 +221,6 @@ def test_sketches_never_rule_out_a_near_copy():
         assert apart <= len(set(simhash.shingle_hashes(" ".join(a), 5).tolist()) ^ set(simhash.shingle_hashes(" ".join(b), 5).tolist()))
 
 
-def test_crowded_shingles_are_dealt_without_losing_a_pair(spark):
-    rng = np.random.default_rng(0)
-    rows = []
-    for token, n in ((5, 230), (-7, 60), (11, 9), (12, 2)):
-        for k in rng.choice(400, n, replace=False):
-            size = int(1.25 ** (1 + k % 23))  # on the edges of bands too
-            rows.append((token, int(k), (size << 32) + int(rng.integers(0, max(1, size // 5))), n > simhash.SHORT, int(k) // 2, *[int(k) % 3] * len(simhash.PARITY)))
-    held = spark.createDataFrame(rows, "token long, k long, at long, long boolean, root long, " + ", ".join(f"{c} long" for c in simhash.PARITY)).repartition(3)
-    want = {tuple(r) for r in simhash.prefix_pairs(held, 0.8, heads=False).collect()}
-    assert len(want) > 500
-    for side in (4, 50, 1000):
-        crowd = simhash.crowded(held.select("token", "k", "at", "long"), 0.8, side)
-        assert {r["token"] for r in crowd.collect()} == {t for t, n in ((5, 230), (-7, 60)) if n > side}
-        dealt = simhash._dealt(held, crowd, 0.8)
-        most = max(r["n"] for r in dealt.where("cell not in (11, 12)").groupBy("cell").agg(F.count("*").alias("n")).collect())
-        assert most <= 230 if side == 1000 else most < 5 * side
-        assert {tuple(r) for r in simhash.prefix_pairs(held, 0.8, False, crowd).collect()} == want
-
-
 def test_cluster_with_clashing_columns_and_a_long_text(spark):
     long = " ".join(f"w{k}" for k in range(120_000))
     rows = [(4, long, 1, "p", 2.0), (3, long + " end", 2, "q", 3.0), (8, "something else", None, None, None)]
