@@ -77,7 +77,7 @@ def test_run_and_registry(spark, sf_dir):
 
 def test_run_with_odd_names_null_texts_and_no_documents(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    names = ("a.b", "back`tick", "label", "root", "cell", "token")
+    names = ("a.b", "a b", "label", "root", "cell", "token")
     odd = docs
     for name in names:
         odd = odd.withColumn(name, docs["doc_id"] * 2)
@@ -89,7 +89,7 @@ def test_run_with_odd_names_null_texts_and_no_documents(spark, sf_dir, tmp_path)
         spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(str(tmp_path / place / "benchmark.parquet"))
     got = cp.run(spark, str(tmp_path / "odd"))
     assert set(names) < set(got.columns)
-    rows = got.select("doc_id", "`a.b`", "`back``tick`").collect()
+    rows = got.select("doc_id", "`a.b`", "`a b`").collect()
     assert rows and all(r[1] == r[2] == 2 * r[0] for r in rows)
     plain = cp.run(spark, sf_dir)
     assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in plain.select("doc_id").collect())
