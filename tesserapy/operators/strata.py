@@ -90,18 +90,47 @@ def laplacian(flux_rows: DataFrame) -> DataFrame:
 def spectra(flux_rows: DataFrame, laplacian_rows: DataFrame, num_words: int) -> DataFrame:
     """kind, idx, re, im: eigenvalues of the flux matrix and of the Laplacian.
 
-    The matrices have a row for each word and go to one task as sparse cells.
+    The matrices have a row for each word and go to one task as sparse cells. A
+    word without weight has a row of NaN, and no other word leads to it: the
+    eigenvalues of the other words do not depend on it, and its own are NaN, last.
     """
     one = flux_rows.select(F.lit("flux").alias("kind"), "word1", "word2", F.col("value").cast("double").alias("value"))
     two = laplacian_rows.select(F.lit("laplacian").alias("kind"), "word1", "word2", F.col("value").cast("double").alias("value"))
 
     def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat([pd.DataFrame({"kind": [], "word1": [], "word2": [], "value": []}), *frames])
-        for kind, solver in (("flux", np.linalg.eigvals), ("laplacian", np.linalg.eigvalsh)):
+        apart = None
+        for kind in ("flux", "laplacian"):
             cells = rows[rows["kind"] == kind]
             matrix = np.zeros((num_words, num_words))
             matrix[cells["word1"].astype(int), cells["word2"].astype(int)] = cells["value"]
-            values = np.sort_complex(np.asarray(solver(matrix), complex)) if num_words else np.zeros(0, complex)
+            apart = undefined_block(matrix) if apart is None else apart
+            values = np.sort_complex(np.concatenate([_eigenvalues(matrix[np.ix_(part, part)]) for part in (~apart, apart)]))
             yield pd.DataFrame({"kind": kind, "idx": np.arange(len(values), dtype=np.int32), "re": values.real, "im": values.imag})
 
-    return one.unionByName(two).repartition(1).mapInPandas(solve, "kind string, idx int, re double, im double")
+    found = one.unionByName(two).repartition(1).mapInPandas(solve, "kind string, idx int, re double, im double")
+    # NaN leaves pandas as null.
+    return found.select("kind", "idx", *[F.coalesce(n, F.lit(NAN)).alias(n) for n in ("re", "im")])
+
+
+def undefined_block(matrix: np.ndarray) -> np.ndarray:
+    """The rows that lead to a row holding NaN and are led to by one, such rows included.
+
+    No cycle of cells crosses the border, so the eigenvalues of the matrix are
+    those of this block and those of the rest.
+    """
+    start, links = ~np.isfinite(matrix).all(axis=1), matrix != 0
+
+    def spread(links: np.ndarray) -> np.ndarray:
+        found = start
+        while (more := found | links[:, found].any(axis=1)).sum() > found.sum():
+            found = more
+        return found
+
+    return spread(links) & spread(links.T)
+
+
+def _eigenvalues(matrix: np.ndarray) -> np.ndarray:
+    if not np.isfinite(matrix).all():
+        return np.full(len(matrix), complex(NAN, NAN))
+    return np.asarray((np.linalg.eigvalsh if (matrix == matrix.T).all() else np.linalg.eigvals)(matrix), complex)
