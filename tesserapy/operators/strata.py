@@ -73,14 +73,20 @@ def flux_labelled(flux_rows: DataFrame, weighted: DataFrame) -> DataFrame:
     return flux_rows.join(one, "word1").join(two, "word2").select("word1_str", "word2_str", "value")
 
 
-def adjacency(flux_rows: DataFrame) -> DataFrame:
-    """word1, word2 of positive flux, the diagonal included."""
-    return flux_rows.where(positive(F.col("value"))).select("word1", "word2")
+def adjacency(flux_rows: DataFrame, undefined: bool = False) -> DataFrame:
+    """word1, word2 of positive flux, the diagonal included.
+
+    A word without weight has NaN for flux to the words that share a plan with
+    it. Those cells are none here; with ``undefined`` they count, as in SQL,
+    where NaN is above all numbers.
+    """
+    value = F.col("value")
+    return flux_rows.where(value > 0 if undefined else positive(value)).select("word1", "word2")
 
 
-def laplacian(flux_rows: DataFrame) -> DataFrame:
-    """word1, word2, value of the non-zero cells: row degree on the diagonal minus adjacency."""
-    near = adjacency(flux_rows)
+def laplacian(flux_rows: DataFrame, undefined: bool = False) -> DataFrame:
+    """word1, word2, value of the non-zero cells: row degree on the diagonal minus adjacency, ``undefined`` as there."""
+    near = adjacency(flux_rows, undefined)
     degree = near.groupBy("word1").agg(F.count("*").alias("n"), F.sum((F.col("word1") == F.col("word2")).cast("int")).alias("own"))
     diagonal = degree.select("word1", F.col("word1").alias("word2"), (F.col("n") - F.col("own")).cast("bigint").alias("value"))
     rest = near.where("word1 <> word2").select("word1", "word2", F.lit(-1).cast("bigint").alias("value"))

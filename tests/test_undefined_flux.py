@@ -83,3 +83,13 @@ def test_spectra_query_returns_a_value_for_every_word(spark, still):
     assert len(values) == len(values_of(got, "laplacian")) == len(weights)
     assert sum(math.isnan(re) for re, _ in values) == weights.count(0)
     assert max(re for re, _ in values if not math.isnan(re)) == pytest.approx(1.0)
+
+
+def test_spectra_traces_equal_sql(spark, still):
+    assert_equals_sql(spark, still, "spectra_traces")
+
+
+def test_leading_laplacian_values_are_those_of_spectra(spark, still):
+    every = sorted((re for re, _ in values_of(registry.queries()["spectra"](spark, still).collect(), "laplacian")), reverse=True)
+    rows = registry.queries()["spectra_leading"](spark, still).where("kind = 'laplacian'").orderBy("idx").collect()
+    assert np.allclose([r["value"] for r in rows], every[:5], atol=2e-6)
